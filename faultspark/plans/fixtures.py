@@ -91,8 +91,10 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     return n.select(
         c("l_linestatus").alias("grid"), c("l_orderkey").alias("sim_idx"),
         (c("_n") + 1).cast("int").alias("win"), ((c("_n") + 1) * 5.0).alias("post_ms"),
-        c("l_returnflag").alias("etype"), c("l_suppkey").alias("line"),
-        c("l_quantity").alias("length_km"), (c("l_discount") * 10.0 + 0.0).alias("y"),
+        F.when(c("l_returnflag") == "A", "flt_1phg_incipient").when(c("l_returnflag") == "R", "flt_1phg_hif")
+        .otherwise("flt_2ph_shc").alias("etype"), c("l_suppkey").alias("line"),
+        c("l_quantity").alias("length_km"), (c("l_quantity") - 1.0).alias("r_f"),
+        (c("l_extendedprice") / 1000.0 - 1.0).alias("rho"), (c("l_discount") * 10.0 + 0.0).alias("y"),
         F.when(F.pmod("l_partkey", F.lit(10)) != 0, (c("l_quantity") - 1.0) / 49.0).alias("est"),
         (c("l_tax") * 12.5 + 0.0).alias("est2"))
 

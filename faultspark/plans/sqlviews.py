@@ -37,7 +37,8 @@ EPISODES = f"""eps AS (
 
 PRED = """pred AS (
   SELECT l_linestatus AS grid, l_orderkey AS sim_idx, CAST(w AS INTEGER) AS win, w * 5.0::DOUBLE AS post_ms,
-         l_returnflag AS etype, l_suppkey AS line, l_quantity AS length_km,
+         CASE l_returnflag WHEN 'A' THEN 'flt_1phg_incipient' WHEN 'R' THEN 'flt_1phg_hif' ELSE 'flt_2ph_shc' END AS etype,
+         l_suppkey AS line, l_quantity AS length_km, l_quantity - 1.0::DOUBLE AS r_f, l_extendedprice / 1000.0::DOUBLE - 1 AS rho,
          l_discount * 10.0::DOUBLE + 0.0 AS y,
          CASE WHEN l_partkey % 10 != 0 THEN (l_quantity - 1) / 49.0::DOUBLE END AS est,
          l_tax * 12.5::DOUBLE + 0.0 AS est2
