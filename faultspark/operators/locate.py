@@ -81,17 +81,17 @@ def loop_context(df: DataFrame) -> DataFrame:
     z1, z0 = lines.z1(), lines.z0()
     i = {p: cx(f"s_l_i{p}") for p in "abc"}
     v = {p: cx(f"s_l_v{p}") for p in "abc"}
-    df = put(df, {
-        "k0": (z0 - z1) / (z1 * 3.0),
-        **{f"d{t}_{q}{p}": cx(f"{t}_l_{q}{p}") - cx(f"{t}_p_{q}{p}") for t in "sr" for q in "iv" for p in "abc"},
-    })
-    df = put(df, {
-        "I0": zero_seq(*i.values()), "I2": neg_seq(*i.values()),
-        "s0I": zero_seq(*[cx(f"ds_i{p}") for p in "abc"]), "s1I": pos_seq(*[cx(f"ds_i{p}") for p in "abc"]),
-        "s0V": zero_seq(*[cx(f"ds_v{p}") for p in "abc"]), "s1V": pos_seq(*[cx(f"ds_v{p}") for p in "abc"]),
-        "r0I": zero_seq(*[cx(f"dr_i{p}") for p in "abc"]), "r1I": pos_seq(*[cx(f"dr_i{p}") for p in "abc"]),
-        "r0V": zero_seq(*[cx(f"dr_v{p}") for p in "abc"]), "r1V": pos_seq(*[cx(f"dr_v{p}") for p in "abc"]),
-    })
+    diff = {f"{t}{q}": [cx(f"{t}_l_{q}{p}") - cx(f"{t}_p_{q}{p}") for p in "abc"] for t in "sr" for q in "iv"}
+    first = {"k0": (z0 - z1) / (z1 * 3.0), "I0": zero_seq(*i.values()), "I2": neg_seq(*i.values())}
+    for t in "sr":
+        for q, name in (("i", "I"), ("v", "V")):
+            first[f"{t}0{name}"] = zero_seq(*diff[t + q])
+            first[f"{t}1{name}"] = pos_seq(*diff[t + q])
+    for p, d in zip("abc", diff["si"]):
+        first[f"ds_i{p}"] = d
+    spent = [f"{t}_{st}_{q}{p}_{x}" for t in "sr" for st in "lp" for q in "iv" for p in "abc" for x in ("re", "im")
+             if (st, q) == ("p", "i") or q == "v" and (t, st) != ("s", "l")]
+    df = put(df, first).drop(*spent)
     df = put(df, {"_gi": cx("k0") * cx("I0") * 3.0, "_gd": cx("k0") * cx("s0I") * 3.0})
     loop = F.col("loop")
     return put(df, {

@@ -109,6 +109,19 @@ def quantiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, float],
     return found.groupBy(*keys).agg(*aggs).select(*out_keys, *probs)
 
 
+def column_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, dict[str, float]]) -> DataFrame:
+    """Quantiles of several columns in one pass: {column: {output: prob}}."""
+    cells = [F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in wanted]
+    keyed, ks = _keyed(df, keys)
+    long = keyed.select(*ks, F.inline(F.array(*cells)))
+    probs = {f"_q{p}": p for p in sorted({p for w in wanted.values() for p in w.values()})}
+    q = quantiles(long, [*ks, "_c"], "_v", {n.replace(".", "_"): p for n, p in probs.items()})
+    aggs = [F.max(F.when(F.col("_c") == c, F.col(f"_q{p}".replace(".", "_")))).alias(name)
+            for c, w in wanted.items() for name, p in w.items()]
+    names = [name for w in wanted.values() for name in w]
+    return q.groupBy(*ks).agg(*aggs).select(*keys, *names)
+
+
 def ecdf(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """Empirical distribution: one row per distinct value and group."""
     out_keys = keys

@@ -7,13 +7,11 @@ in one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultspark.functions.scalar import bucketise, is_incipient, is_transient, ladder, score, to_metres
-from faultspark.operators.numbering import best_row, quantiles
+from faultspark.operators.numbering import best_row, column_quantiles, quantiles
 
 # --- fixed bin edges of the reports -------------------------------------------
 TIME_EDGES = [0.0, 17.5, 32.5, 52.5, float("inf")]
@@ -202,7 +200,7 @@ def conditioning_report(df: DataFrame, by: list[str], episode: list[str]) -> Dat
               ("_oR", {"med_abs_eobs_R": 0.5}), ("_oT", {"med_abs_eobs_T": 0.5}),
               ("rho", {"rho_med": 0.5, "rho_p90": 0.9}), ("_k", {"kappaT_med": 0.5}),
               ("_a", {"angerr_T_med": 0.5, "angerr_T_p90": 0.9}), ("Dreq_deg", {"Dreq_med": 0.5})]
-    return reduce(lambda a, w: with_quantiles(a, d, by, w[0], w[1]), wanted, agg)
+    return agg.join(column_quantiles(d, by, dict(wanted)), by, "left")
 
 
 def scenario_table(df: DataFrame, by: list[str], errors: dict[str, str], flag: str = "sat",
@@ -277,8 +275,7 @@ def error_stats(df: DataFrame, by: list[str], err: str = "e", length: str = "len
     """n, mean and P95 in percent and in metres."""
     d = df.where(F.col(err).isNotNull()).withColumn("_m", to_metres(F.col(err), F.col(length)))
     agg = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(err).alias("mae"), F.avg("_m").alias("mae_m"))
-    agg = with_quantiles(agg, d, by, err, {"p95": 0.95})
-    return with_quantiles(agg, d, by, "_m", {"p95_m": 0.95})
+    return agg.join(column_quantiles(d, by, {err: {"p95": 0.95}, "_m": {"p95_m": 0.95}}), by, "left")
 
 
 def format_metrics(df: DataFrame, name: str, value: str, digits: int) -> DataFrame:

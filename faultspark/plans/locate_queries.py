@@ -124,32 +124,30 @@ def _loopq(ph: dict[str, q.S], extra: q.S | None) -> q.S:
 def _classical_stage() -> str:
     z1, z0 = q.S("z1r", "z1x"), q.S("z0r", "z0x")
     v = q.var
-    out = {"k0": (z0 - z1) / (z1 * 3)}
+    s1 = {"k0": (z0 - z1) / (z1 * 3)}
     for t in "sr":
         for c in CH:
-            out[f"d{t}_{c}"] = v(f"{t}_l_{c}") - v(f"{t}_p_{c}")
-    out["I0"], _, out["I2"] = q.seq(*[v(f"s_l_i{p}") for p in "abc"])
+            s1[f"d{t}_{c}"] = v(f"{t}_l_{c}") - v(f"{t}_p_{c}")
+    s2 = {}
+    s2["I0"], _, s2["I2"] = q.seq(*[v(f"s_l_i{p}") for p in "abc"])
     for t in "sr":
         for k in "iv":
             zero, pos, _n = q.seq(*[v(f"d{t}_{k}{p}") for p in "abc"])
-            out[f"{t}0{k}"], out[f"{t}1{k}"] = zero, pos
-    out["V"] = _loopq({p: v(f"s_l_v{p}") for p in "abc"}, None)
-    out["I"] = _loopq({p: v(f"s_l_i{p}") for p in "abc"}, v("k0") * v("I0") * 3)
-    out["D"] = _loopq({p: v(f"ds_i{p}") for p in "abc"}, v("k0") * v("s0i") * 3)
+            s2[f"{t}0{k}"], s2[f"{t}1{k}"] = zero, pos
+    s3 = {"V": _loopq({p: v(f"s_l_v{p}") for p in "abc"}, None)}
+    s3["I"] = _loopq({p: v(f"s_l_i{p}") for p in "abc"}, v("k0") * v("I0") * 3)
+    s3["D"] = _loopq({p: v(f"ds_i{p}") for p in "abc"}, v("k0") * v("s0i") * 3)
     one, a, aa = q.const(1), q.A, q.AA
     rot = {"ag": one, "bg": aa, "cg": a, "ab": one - aa, "bc": aa - a, "ca": a - one}
-    out["P2"] = _case({lp: v("I2") / rot[lp] for lp in ss.LOOPS})
+    s3["P2"] = _case({lp: v("I2") / rot[lp] for lp in ss.LOOPS})
     neg = q.const(-1)
     for name, t, s in (("ZSA", "s", 1), ("ZSB", "r", 1), ("Z0SA", "s", 0), ("Z0SB", "r", 0)):
         i = v(f"{t}{s}i")
         z = (v(f"{t}{s}v") * neg) / i
-        out[name] = q.S(f"(CASE WHEN {i.abs()} > 1e-9 THEN {z.re} END)", f"(CASE WHEN {i.abs()} > 1e-9 THEN {z.im} END)")
-    out["qv"] = v("V") / (z1 * v("I"))
-    out["bz"] = v("ZSB") / z1
-    out["K1"] = v("bz") + v("qv") + one
-    out["K2"] = v("qv") * (v("bz") + one)
-    out["K3"] = v("D") / (z1 * v("I")) * ((v("ZSA") + v("ZSB")) / z1 + one)
-    return "cl AS (SELECT *, " + q.cols(out) + " FROM ctx)"
+        s3[name] = q.S(f"(CASE WHEN {i.abs()} > 1e-9 THEN {z.re} END)", f"(CASE WHEN {i.abs()} > 1e-9 THEN {z.im} END)")
+    s4 = {"qv": v("V") / (z1 * v("I")), "bz": v("ZSB") / z1, "az": (v("ZSA") + v("ZSB")) / z1, "dz": v("D") / (z1 * v("I"))}
+    s5 = {"K1": v("bz") + v("qv") + one, "K2": v("qv") * (v("bz") + one), "K3": v("dz") * (v("az") + one)}
+    return q.staged("cl", "ctx", [s1, s2, s3, s4, s5])
 
 
 def _tak(pol: q.S) -> str:
@@ -158,28 +156,30 @@ def _tak(pol: q.S) -> str:
     return f"(CASE WHEN abs({den}) > 1e-12 THEN {(q.var('V') * pol.conj()).im} / nullif({den}, 0) END)"
 
 
-def _mt() -> str:
+def _cl2() -> str:
     z0 = q.S("z0r", "z0x")
-    out, d = [], "0.5::DOUBLE"
+    st = [[f"CASE WHEN {q.var('I').abs()} > 1e-9 THEN {(q.var('V') / q.var('I')).im} / z1x END AS R0",
+           f"{_tak(q.var('D'))} AS Ta", f"{_tak(q.var('P2'))} AS Tb",
+           "K1_re - K3_re * K1_im / nullif(K3_im, 0) AS pq", "K2_re - K3_re * K2_im / nullif(K3_im, 0) AS qq"],
+          ["R0 AS R", "Ta AS T", "CASE WHEN three_ph THEN R0 ELSE Tb END AS T2", "pq * pq - 4 * qq AS disc"],
+          ["(pq - sqrt(greatest(disc, 0))) / 2 AS ra", "(pq + sqrt(greatest(disc, 0))) / 2 AS rb"],
+          ["""CASE WHEN abs(K3_im) < 1e-12 OR disc < 0 THEN NULL
+              WHEN ra BETWEEN -0.1 AND 1.1 AND rb BETWEEN -0.1 AND 1.1 THEN CASE WHEN abs(ra - 0.5) <= abs(rb - 0.5) THEN ra ELSE rb END
+              WHEN ra BETWEEN -0.1 AND 1.1 THEN ra WHEN rb BETWEEN -0.1 AND 1.1 THEN rb END AS E"""]]
+    d = "0.5::DOUBLE"
     for k in range(3):
         ratio = (q.var("Z0SB") + z0 * f"(1 - {d})") / (q.var("Z0SA") + z0 + q.var("Z0SB"))
-        out += [f"{ratio.re} AS w{k}_re", f"{ratio.im} AS w{k}_im", f"atan2(w{k}_im, w{k}_re) AS th{k}"]
+        st.append([f"atan2({ratio.im}, {ratio.re}) AS th{k}"])
         pol = q.var("I0") * 3 * q.S(f"cos(th{k})", f"(-sin(th{k}))")
-        out += [f"{pol.re} AS pol{k}_re", f"{pol.im} AS pol{k}_im", f"{_tak(q.var(f'pol{k}'))} AS t{k}",
-                f"coalesce({q.clip(f't{k}', -1, 2)}, 0.5) AS d{k}"]
-        d = f"d{k}"
-    return ", ".join(out)
+        st.append({f"pol{k}": pol})
+        st.append([f"{_tak(q.var(f'pol{k}'))} AS tk{k}"])
+        st.append([f"coalesce({q.clip(f'tk{k}', -1, 2)}, 0.5) AS dk{k}"])
+        d = f"dk{k}"
+    st.append(["CASE WHEN loop IN ('ab', 'bc', 'ca') THEN T WHEN Z0SA_re IS NOT NULL AND Z0SB_re IS NOT NULL THEN dk2 END AS MT"])
+    return q.staged("cl2", "cl", st)
 
 
-_CL2 = f"""cl2 AS (SELECT *, CASE WHEN {q.var('I').abs()} > 1e-9 THEN {(q.var('V') / q.var('I')).im} / z1x END AS R,
-  {_tak(q.var('D'))} AS T, CASE WHEN three_ph THEN R ELSE {_tak(q.var('P2'))} END AS T2,
-  K1_re - K3_re * K1_im / K3_im AS pq, K2_re - K3_re * K2_im / K3_im AS qq, pq * pq - 4 * qq AS disc,
-  (pq - sqrt(greatest(disc, 0))) / 2 AS ra, (pq + sqrt(greatest(disc, 0))) / 2 AS rb,
-  ra BETWEEN -0.1 AND 1.1 AS oka, rb BETWEEN -0.1 AND 1.1 AS okb,
-  CASE WHEN abs(K3_im) < 1e-12 OR disc < 0 THEN NULL WHEN oka AND okb THEN CASE WHEN abs(ra - 0.5) <= abs(rb - 0.5) THEN ra ELSE rb END
-       WHEN oka THEN ra WHEN okb THEN rb END AS E, {_mt()},
-  CASE WHEN loop IN ('ab', 'bc', 'ca') THEN T WHEN Z0SA_re IS NOT NULL AND Z0SB_re IS NOT NULL THEN d2 END AS MT FROM cl)"""
-CLASSICAL = [*ss.BASE, ss.WINDOW_PHASORS, LPL, EPISODES, OVW, LWN, _PRE, _CTX, _classical_stage(), _CL2]
+CLASSICAL = [*ss.BASE, ss.WINDOW_PHASORS, LPL, EPISODES, OVW, LWN, _PRE, _CTX, _classical_stage(), _cl2()]
 
 
 def classical(spark, sf):
@@ -224,16 +224,18 @@ def _cond_sql() -> str:
     v = q.var
     fi = _case({f"{p}g": v(f"s_l_i{p}") + v(f"r_l_i{p}") for p in "abc"})
     f, z, m = v("IFc") / v("I"), v("V") / v("I"), v("D") / v("I")
-    out = [f"{fi.re} AS IFc_re", f"{fi.im} AS IFc_im", f"{f.re} AS f_re", f"{f.im} AS f_im", f"{z.re} AS zz_re", f"{z.im} AS zz_im",
-           f"{m.re} AS m_re", f"{m.im} AS m_im", f"{z1.abs()} AS absZ", f"{z1.arg()} AS th", "r_f / absZ AS rho",
-           f"{v('f').abs()} AS ratio_IF_I", f"{v('f').arg()} AS b", f"{v('m').arg()} AS bh_T", "0.0::DOUBLE AS bh_R", "degrees(b) AS beta_deg"]
+    st = [{"IFc": fi}, {"f": f, "zz": z, "m": m}]
+    st.append([f"{z1.abs()} AS absZ", f"{z1.arg()} AS th", f"{v('f').abs()} AS ratio_IF_I", f"{v('f').arg()} AS b", f"{v('m').arg()} AS bh_T",
+               "0.0::DOUBLE AS bh_R"])
+    st.append(["r_f / absZ AS rho", "degrees(b) AS beta_deg"])
+    last = []
     for k in "RT":
         t = q.S(f"cos(bh_{k})", f"(-sin(bh_{k}))")
-        out += [f"{(v('zz') * t).im} / {(z1 * t).im} - y AS e_obs_{k}",
-                f"rho * ratio_IF_I * sin(b - bh_{k}) / sin(th - bh_{k}) AS e_pred_{k}", f"ratio_IF_I / sin(th - bh_{k}) AS kappa_{k}",
-                f"degrees(atan2(sin(b - bh_{k}), cos(b - bh_{k}))) AS angerr_{k}_deg"]
-    out.append("degrees(asin(least(1.0, 0.05::DOUBLE / greatest(rho * abs(kappa_T), 1e-12)))) AS Dreq_deg")
-    return f"cond AS (SELECT *, {', '.join(out)} FROM cl WHERE etype = 'flt_1phg_shc' AND post_ms >= 25 AND r_l_ia_re IS NOT NULL)"
+        last += [f"{(v('zz') * t).im} / {(z1 * t).im} - y AS e_obs_{k}",
+                 f"rho * ratio_IF_I * sin(b - bh_{k}) / sin(th - bh_{k}) AS e_pred_{k}", f"ratio_IF_I / sin(th - bh_{k}) AS kappa_{k}",
+                 f"degrees(atan2(sin(b - bh_{k}), cos(b - bh_{k}))) AS angerr_{k}_deg"]
+    st += [last, ["degrees(asin(least(1.0, 0.05::DOUBLE / greatest(rho * abs(kappa_T), 1e-12)))) AS Dreq_deg"]]
+    return q.staged("cond", "cl", st, "WHERE etype = 'flt_1phg_shc' AND post_ms >= 25 AND r_l_ia_re IS NOT NULL")
 
 
 _COND_COLS = ["absZ", "rho", "ratio_IF_I", "beta_deg"] + [f"{k}_{m}{x}" for m in "RT" for k, x in (
@@ -312,9 +314,10 @@ def _episode_sql() -> list[str]:
         for k in "pf":
             for c in "vi":
                 out[f"{c}{t}{k}"] = q.seq(*[v(f"{t}_{k}_{c}{p}") for p in "abc"])[1]
-    out["z"] = (v("vsp") - v("vrp")) / ((v("isp") - v("irp")) * 0.5)
-    out["d"] = (v("vsf") - v("vrf") + v("z") * v("irf")) / (v("z") * (v("isf") + v("irf")))
-    return [SIG, LINE_PARAMS, LPL, EPISODES, le, ep, both, f"el AS (SELECT line, {q.cols(out)} FROM eb)"]
+    s2 = {}
+    s2["z"] = (v("vsp") - v("vrp")) / ((v("isp") - v("irp")) * 0.5)
+    s3 = {"d": (v("vsf") - v("vrf") + v("z") * v("irf")) / (v("z") * (v("isf") + v("irf")))}
+    return [SIG, LINE_PARAMS, LPL, EPISODES, le, ep, both, q.staged("el", "eb", [out, s2, s3])]
 
 
 EPISODE_SQL = _episode_sql()

@@ -62,3 +62,17 @@ def seq(a: S, b: S, c: S) -> tuple[S, S, S]:
 
 def clip(x: str, lo, hi) -> str:
     return f"CASE WHEN {x} < {lo} THEN {lo}::DOUBLE WHEN {x} > {hi} THEN {hi}::DOUBLE ELSE {x} END"
+
+
+def staged(name: str, src: str, stages: list, where: str = "") -> str:
+    """Chain of views, one per stage, so that no alias is expanded twice.
+
+    A stage is a dict of complex values or a list of "expr AS alias" items.
+    """
+    out = []
+    for k, st in enumerate(stages):
+        items = cols(st) if isinstance(st, dict) else ", ".join(st)
+        this = name if k == len(stages) - 1 else f"{name}_s{k}"
+        out.append(f"{this} AS MATERIALIZED (SELECT *, {items} FROM {src} {where if k == 0 else ''})")
+        src = this
+    return ",\n".join(out)

@@ -57,11 +57,12 @@ def loop_stage() -> str:
     i = [q.var(f"l_i{p}") for p in "abc"]
     v = [q.var(f"l_v{p}") for p in "abc"]
     z1, z0 = q.S("z1r", "z1x"), q.S("z0r", "z0x")
-    out = dict(zip(("i0", "i1", "i2"), q.seq(*i))) | dict(zip(("v0", "v1", "v2"), q.seq(*v)))
-    out |= {f"d{p}": q.var(f"l_i{p}") - q.var(f"f_i{p}") for p in "abc"}
-    out["k0"] = (z0 - z1) / (z1 * 3)
+    base = dict(zip(("i0", "i1", "i2"), q.seq(*i))) | dict(zip(("v0", "v1", "v2"), q.seq(*v)))
+    base |= {f"d{p}": q.var(f"l_i{p}") - q.var(f"f_i{p}") for p in "abc"}
+    base["k0"] = (z0 - z1) / (z1 * 3)
     one, a, aa = q.const(1), q.A, q.AA
     rot = {"ag": one, "bg": aa, "cg": a, "ab": one - aa, "bc": aa - a, "ca": a - one}
+    out = {}
     for lp in LOOPS:
         if lp[1] == "g":
             p = lp[0]
@@ -74,7 +75,7 @@ def loop_stage() -> str:
             out[f"I{lp}"] = q.var(f"l_i{p}") - q.var(f"l_i{r}")
             out[f"D{lp}"] = q.var(f"d{p}") - q.var(f"d{r}")
         out[f"P{lp}"] = q.var("i2") / rot[lp]
-    return f"wl AS (SELECT *, {q.cols(out)} FROM wp JOIN lpt USING (rec))"
+    return q.staged("wl", "(SELECT * FROM wp JOIN lpt USING (rec))", [base, out])
 
 
 def est(v: q.S, i: q.S, pol: q.S) -> str:
