@@ -30,25 +30,25 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list, weight: Column,
     ``bucket`` must not decrease along ``order``. The order must be total for
     the result to be unique.
     """
-    rows = df.withColumns({"_b": bucket, "_w": weight})
-    totals = (rows.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bw"))
-              .withColumn("_s", F.floor(F.col("_b") / fan)))
-    supers = totals.groupBy(*keys, "_s").agg(F.sum("_bw").alias("_sw"))
+    rows = df.withColumns({"__bkt": bucket, "__wgt": weight})
+    totals = (rows.groupBy(*keys, "__bkt").agg(F.sum("__wgt").alias("__bw"))
+              .withColumn("__sup", F.floor(F.col("__bkt") / fan)))
+    supers = totals.groupBy(*keys, "__sup").agg(F.sum("__bw").alias("__sw"))
     zero = F.lit(0)
     earlier = (Window.unboundedPreceding, -1)
-    ws = Window.partitionBy(*keys).orderBy("_s").rowsBetween(*earlier)
-    wb = Window.partitionBy(*keys, "_s").orderBy("_b").rowsBetween(*earlier)
+    ws = Window.partitionBy(*keys).orderBy("__sup").rowsBetween(*earlier)
+    wb = Window.partitionBy(*keys, "__sup").orderBy("__bkt").rowsBetween(*earlier)
     offsets = (
         totals.join(
-            supers.withColumn("_so", F.coalesce(F.sum("_sw").over(ws), zero)).drop("_sw"),
-            [*keys, "_s"])
-        .withColumn("_o", F.col("_so") + F.coalesce(F.sum("_bw").over(wb), zero))
-        .select(*keys, "_b", "_o")
+            supers.withColumn("__so", F.coalesce(F.sum("__sw").over(ws), zero)).drop("__sw"),
+            [*keys, "__sup"])
+        .withColumn("__off", F.col("__so") + F.coalesce(F.sum("__bw").over(wb), zero))
+        .select(*keys, "__bkt", "__off")
     )
-    wr = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(*earlier)
-    return (rows.join(offsets, [*keys, "_b"])
-            .withColumn(out, F.col("_o") + F.coalesce(F.sum("_w").over(wr), zero))
-            .drop("_b", "_w", "_o"))
+    wr = Window.partitionBy(*keys, "__bkt").orderBy(*order).rowsBetween(*earlier)
+    return (rows.join(offsets, [*keys, "__bkt"])
+            .withColumn(out, F.col("__off") + F.coalesce(F.sum("__wgt").over(wr), zero))
+            .drop("__bkt", "__wgt", "__off"))
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list, bucket: Column,

@@ -89,7 +89,12 @@ def pane_table(samples: DataFrame, part: list[str], aggs: dict[str, Column], cfg
             .agg(*[a.alias(k) for k, a in aggs.items()], seen.alias("_cnt")))
 
 
-ROLLERS = {"sum": F.sum, "max": F.max, "min": F.min}
+ROLLERS = {
+    "sum": lambda c, w: F.sum(c).over(w),
+    "max": lambda c, w: F.max(c).over(w),
+    "min": lambda c, w: F.min(c).over(w),
+    "join": lambda c, w: F.flatten(F.collect_list(c).over(w)),
+}
 
 
 def roll_panes(panes: DataFrame, part: list[str], specs: dict[str, tuple], cfg: SignalConfig,
@@ -108,7 +113,7 @@ def roll_panes(panes: DataFrame, part: list[str], specs: dict[str, tuple], cfg:
         panes = panes.select("*", F.explode(F.sequence(
             F.floor(F.col("pane") / per), F.floor((F.col("pane") + cfg.win_panes - 1) / per))).alias(run))
     w = Window.partitionBy(*part, *([run] if run not in part else [])).orderBy("pane")
-    out = {k: ROLLERS[kind](c).over(w.rangeBetween(lo, hi)) for k, (kind, c, lo, hi) in specs.items()}
+    out = {k: ROLLERS[kind](c, w.rangeBetween(lo, hi)) for k, (kind, c, lo, hi) in specs.items()}
     out["_cnt"] = F.sum("_cnt").over(w.rangeBetween(-(cfg.win_panes - 1), 0))
     rolled = (panes.withColumns(out).where(F.col("_cnt") == cfg.win)
               .withColumn("win_end", ((F.col("pane") + 1) * cfg.hop).cast("int")))
@@ -189,6 +194,19 @@ def reference_cycle(samples: DataFrame, starts: DataFrame, keys: list[str], cols
     return sums.where(F.col("_cnt") == cfg.cycle).select(*keys, *out)
 
 
+def raw_windows(samples: DataFrame, wanted: DataFrame, keys: list[str], cols: list[str],
+                cfg: SignalConfig) -> DataFrame:
+    """Raw window arrays built from samples: panes first, then their joins.
+
+    No array is longer than a window, whatever the length of the record.
+    """
+    cells = F.array_sort(F.collect_list(F.struct("n", *cols)))
+    panes = pane_table(samples.select(*keys, "n", *cols), keys, {"_p": cells}, cfg)
+    panes = panes.select(*keys, "pane", "_cnt", *[F.col(f"_p.{c}").cast("array<float>").alias(c) for c in cols])
+    specs = {c: ("join", c, -(cfg.win_panes - 1), 0) for c in cols}
+    return wanted.join(roll_panes(panes, keys, specs, cfg), [*keys, "win_end"])
+
+
 def collect_windows(records: DataFrame, windows: DataFrame, keys: list[str], cols: list[str],
                     cfg: SignalConfig, narrow: bool = True) -> DataFrame:
     """Raw window arrays sliced from per-record channel arrays."""
