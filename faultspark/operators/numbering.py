@@ -1,9 +1,9 @@
 """Ranks, running totals and exact quantiles without one-task groups.
 
 A plain ``row_number`` or ``percentile`` brings a whole group to one task. Here
-a group is first cut into value buckets; the bucket totals (a small table) are
-accumulated in two levels, and only rows of one bucket are ever ordered
-together. Results are exact, and a group may hold most of the table.
+a group that is too large is cut into value buckets; the bucket totals (a small
+table) are accumulated in two levels, and only rows of one bucket are ever
+ordered together. Results are exact, and a group may hold most of the table.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Buckets per super-bucket in the two-level accumulation.
 FAN = 4096
+#: Groups above this many rows are ordered bucket by bucket.
+HOT_ROWS = 1_000_000
 #: Value buckets per factor of two in :func:`magnitude_bucket`.
 PER_OCTAVE = 4096
 
@@ -24,14 +26,19 @@ def magnitude_bucket(x: Column, per_octave: int = PER_OCTAVE) -> Column:
 
 
 def prefix_sum(df: DataFrame, keys: list[str], order: list, weight: Column,
-               bucket: Column, out: str = "before", fan: int = FAN) -> DataFrame:
+               bucket: Column, out: str = "before", fan: int = FAN, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the sum of ``weight`` over the earlier rows of the same group.
 
-    ``bucket`` must not decrease along ``order``. The order must be total for
-    the result to be unique.
+    ``bucket`` must not decrease along ``order``; the order must be total for
+    the result to be unique. Groups up to ``hot_rows`` rows are ordered whole,
+    larger ones per bucket with the totals of earlier buckets added.
     """
-    rows = df.withColumns({"__bkt": bucket, "__wgt": weight})
-    totals = (rows.groupBy(*keys, "__bkt").agg(F.sum("__wgt").alias("__bw"))
+    # The list of hot groups has at most rows / hot_rows entries, so it can be
+    # broadcast at any scale: a million entries for 10**12 rows.
+    hot = F.broadcast(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__cnt")).where(F.col("__cnt") > hot_rows)
+                      .select(*keys, F.lit(True).alias("__hot")))
+    rows = df.withColumns({"__bkt": bucket.cast("bigint"), "__wgt": weight})
+    totals = (rows.join(hot, keys).groupBy(*keys, "__bkt").agg(F.sum("__wgt").alias("__bw"))
               .withColumn("__sup", F.floor(F.col("__bkt") / fan)))
     supers = totals.groupBy(*keys, "__sup").agg(F.sum("__bw").alias("__sw"))
     zero = F.lit(0)
@@ -45,16 +52,18 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list, weight: Column,
         .withColumn("__off", F.col("__so") + F.coalesce(F.sum("__bw").over(wb), zero))
         .select(*keys, "__bkt", "__off")
     )
+    # Rows meet their offsets on the key the ordering needs anyway.
+    placed = rows.join(hot, keys, "left").withColumn("__bkt", F.when(F.col("__hot"), F.col("__bkt")).otherwise(F.lit(-1)))
     wr = Window.partitionBy(*keys, "__bkt").orderBy(*order).rowsBetween(*earlier)
-    return (rows.join(offsets, [*keys, "__bkt"])
-            .withColumn(out, F.col("__off") + F.coalesce(F.sum("__wgt").over(wr), zero))
-            .drop("__bkt", "__wgt", "__off"))
+    return (placed.join(offsets, [*keys, "__bkt"], "left")
+            .withColumn(out, F.coalesce(F.col("__off"), zero) + F.coalesce(F.sum("__wgt").over(wr), zero))
+            .drop("__bkt", "__wgt", "__off", "__hot"))
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list, bucket: Column,
-                out: str = "n") -> DataFrame:
+                out: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Zero-based position of every row in its group."""
-    return prefix_sum(df, keys, order, F.lit(1).cast("bigint"), bucket, out)
+    return prefix_sum(df, keys, order, F.lit(1).cast("bigint"), bucket, out, hot_rows=hot_rows)
 
 
 def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:

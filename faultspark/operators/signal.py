@@ -53,40 +53,40 @@ def deriv_quadratic(df: DataFrame, cols: list[str], part: list[str], cfg: Signal
     NULL.
     """
     h = cfg.fir_half
+    size = 2 * h + 1
     m2 = float(sum(k * k for k in range(-h, h + 1)))
-    mean2 = m2 / (2 * h + 1)
+    mean2 = m2 / size
     q2 = sum((k * k - mean2) ** 2 for k in range(-h, h + 1))
-    w = in_order(part, n)
+    near = in_order(part, n).rangeBetween(-h, h)
     whole = Window.partitionBy(*part)
     at = F.col(n)
-    full = (F.lag(n, h).over(w) == at - h) & (F.lead(n, h).over(w) == at + h)
-    stage = {"_full": full, "_last": F.max(n).over(whole)}
+    # Positions relative to a nearby sample keep the moving sums well scaled.
+    df = df.withColumn("_m", F.pmod(at, F.lit(cfg.block)).cast("double") + F.when(
+        F.floor(at / cfg.block) == F.col(part[-1]), 0.0).when(
+        F.floor(at / cfg.block) < F.col(part[-1]), -float(cfg.block)).otherwise(float(cfg.block))
+        if part[-1] == "blk" else at.cast("double"))
+    stage = {"_cnt": F.count(n).over(near), "_last": F.max(n).over(whole)}
     for c in cols:
-        slope, bend = F.lit(0.0), -mean2 * F.col(c)
-        for k in range(1, h + 1):
-            nxt, prv = F.lead(c, k).over(w), F.lag(c, k).over(w)
-            slope = slope + (nxt - prv) * float(k)
-            bend = bend + (nxt + prv) * (k * k - mean2)
-        stage[f"_b_{c}"] = slope / m2
-        stage[f"_c_{c}"] = bend / q2
+        stage[f"_s_{c}"] = F.sum(c).over(near)
+        stage[f"_p_{c}"] = F.sum(F.col(c) * F.col("_m")).over(near)
     df = df.withColumns(stage)
-    first_fit = F.col("_full") & (at == h)
-    last_fit = F.col("_full") & (at == F.col("_last") - h)
+    head, tail = at - h, at - F.col("_last") + h
     edges = {}
-    for c in cols:
-        for p in ("b", "c"):
-            v = F.col(f"_{p}_{c}")
-            edges[f"_{p}0_{c}"] = F.max(F.when(first_fit, v)).over(whole)
-            edges[f"_{p}1_{c}"] = F.max(F.when(last_fit, v)).over(whole)
+    for side, k, inside in (("0", head, at < size), ("1", tail, at > F.col("_last") - size)):
+        edges[f"_k{side}"] = F.count(F.when(inside, at)).over(whole)
+        for c in cols:
+            x = F.when(inside, F.col(c))
+            edges[f"_b{side}_{c}"] = F.sum(x * k).over(whole)
+            edges[f"_c{side}_{c}"] = F.sum(x * (k * k - mean2)).over(whole)
     df = df.withColumns(edges)
     out = {}
     for c in cols:
-        head = F.col(f"_b0_{c}") + F.col(f"_c0_{c}") * 2.0 * (at - h)
-        tail = F.col(f"_b1_{c}") + F.col(f"_c1_{c}") * 2.0 * (at - F.col("_last") + h)
-        out[c + suffix] = (F.when(F.col("_full"), F.col(f"_b_{c}"))
-                           .when(at < h, head)
-                           .when(at > F.col("_last") - h, tail)) * cfg.fs
-    return df.withColumns(out).drop(*stage, *edges)
+        fit = lambda side, k: F.when(
+            F.col(f"_k{side}") == size, F.col(f"_b{side}_{c}") / m2 + F.col(f"_c{side}_{c}") * (2.0 / q2) * k)  # noqa: B023
+        inner = (F.col(f"_p_{c}") - F.col("_m") * F.col(f"_s_{c}")) / m2
+        out[c + suffix] = (F.when(F.col("_cnt") == size, inner).when(at < h, fit("0", head))
+                           .when(at > F.col("_last") - h, fit("1", tail))) * cfg.fs
+    return df.withColumns(out).drop("_m", *stage, *edges)
 
 
 DERIVATIVES = {"quadratic": deriv_quadratic, "central": deriv_central}

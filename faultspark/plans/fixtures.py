@@ -17,7 +17,7 @@ EVENT_TYPES = [
     "flt_1phg_incipient", "flt_1phg_incipient_w_arc", "flt_1phg_hif", "flt_1phg_hif_w_arc",
 ]
 #: Orders per numbering bucket.
-ORDERS_PER_BUCKET = 1024
+ORDERS_PER_BUCKET = 65536
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -87,7 +87,8 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col
     li = table(spark, sf, "lineitem")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    n = number_rows(li, ["l_orderkey"], order, c("l_linenumber"), "_n")
+    bucket = c("l_linenumber") * 2 ** 20 + F.least(F.floor(c("l_partkey") / 256), F.lit(2 ** 20 - 1))
+    n = number_rows(li, ["l_orderkey"], order, bucket, "_n")
     return n.select(
         c("l_linestatus").alias("grid"), c("l_orderkey").alias("sim_idx"),
         (c("_n") + 1).cast("int").alias("win"), ((c("_n") + 1) * 5.0).alias("post_ms"),
