@@ -395,11 +395,34 @@ def staged_windows(spark, sf):
     return windows.hop_windows(eps, CFG).select("line", "nf", "win_end", "tau_ms")
 
 
-@query("staged_locator")
+def _staged_sql() -> str:
+    """Residuals from explicit regressions on time, then a 2x2 system."""
+    sigs = [f"{k}{t}_{m}" for k in "vi" for t in "sr" for m in ("al", "be")]
+    views = ss.modal_cte()[:4] + [
+        EPISODES, HWN,
+        "wr AS (SELECT h.line, h.win_end, h.nf, h.tau_ms, CAST(unnest(range(greatest(h.win_end - 40, CASE WHEN tau_ms >= 21 THEN h.win_end - 16 ELSE h.nf + 1 END), h.win_end)) AS INTEGER) AS n FROM hwn h WHERE tau_ms >= 3)",
+        f"sr AS (SELECT w.line, w.win_end, tau_ms, w.n, (w.n - w.win_end) / 16.0::DOUBLE AS t, cos(2 * pi() * (w.n % 16) / 16) AS c, sin(2 * pi() * (w.n % 16) / 16) AS s, {', '.join(sigs)} FROM wr w JOIN md USING (line, n))",
+        f"rg AS (SELECT line, win_end, count(*) AS k, {', '.join(f'regr_slope({x}, t) AS a_{x}, regr_intercept({x}, t) AS b_{x}' for x in ['c', 's', *sigs])} FROM sr WHERE tau_ms < 21 GROUP BY 1, 2)",
+        f"rs AS (SELECT line, win_end, k, {', '.join(f'{x} - a_{x} * t - b_{x} AS {x}' for x in ['c', 's', *sigs])} FROM sr JOIN rg USING (line, win_end) WHERE tau_ms < 21)",
+        f"n2 AS (SELECT line, win_end, any_value(k) AS k, sum(c * c) AS cc, sum(c * s) AS cs, sum(s * s) AS ss, {', '.join(f'sum({x} * c) AS c_{x}, sum({x} * s) AS s_{x}' for x in sigs)} FROM rs GROUP BY 1, 2)",
+        f"ph AS (SELECT line, win_end, {', '.join(f'(c_{x} * ss - s_{x} * cs) / (cc * ss - cs * cs) AS {x}_re, -(s_{x} * cc - c_{x} * cs) / (cc * ss - cs * cs) AS {x}_im' for x in sigs)} FROM n2 WHERE k >= 4 AND cc * ss - cs * cs > 1e-12 UNION ALL "
+        f"SELECT line, win_end, {', '.join(f'0.125::DOUBLE * sum({x} * c) AS {x}_re, -0.125::DOUBLE * sum({x} * s) AS {x}_im' for x in sigs)} FROM sr WHERE tau_ms >= 21 GROUP BY 1, 2)"]
+    j = q.const(1j)
+    pos = {k: (q.var(f"{k}_al") + j * q.var(f"{k}_be")) * "0.5::DOUBLE" for k in ("vs", "is", "vr", "ir")}
+    z = q.S("z1r", "z1x")
+    tail = q.staged("pe", "(SELECT * FROM ph JOIN lpl USING (line))", [
+        {"num": pos["vs"] - pos["vr"] + z * pos["ir"], "den": z * (pos["is"] + pos["ir"])}, {"d": q.var("num") / q.var("den")}])
+    return f"""{with_views(*views, tail)}
+SELECT h.line, h.win_end, {r('tau_ms', 3)} AS tau_ms, {r('CASE WHEN tau_ms < 3 THEN 0.5 ELSE greatest(-1000, least(1000, d_re)) END', 3)} AS est
+FROM hwn h LEFT JOIN pe ON pe.line = h.line AND pe.win_end = h.win_end WHERE tau_ms < 3 OR d_re IS NOT NULL"""
+
+
+@query("staged_locator", _staged_sql())
 def staged_locator(spark, sf):
     """Phasor, least-squares or mid-line estimate by time after inception."""
     df = locate.staged_locator(fx.two_terminal(spark, sf), staged_windows(spark, sf), line_totals(spark, sf), ["line"], CFG)
-    return round_doubles(df.select("line", "win_end", "tau_ms", "est"), 3)
+    est = F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), F.col("est"))).alias("est")
+    return round_doubles(df.where(F.col("est").isNotNull()).select("line", "win_end", "tau_ms", est), 3)
 
 
 _MODE = {f"{k}{t}_{m}": e for k in "iv" for t, a in (("s", "s"), ("r", "b")) for m, e in (
