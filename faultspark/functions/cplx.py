@@ -1,15 +1,14 @@
 """Complex numbers as pairs of DOUBLE columns.
 
-Spark has no complex type. ``Cx`` keeps the two parts as ordinary Column
-expressions, so the algebra stays inside generated code. Operators that reuse
-a complex value many times first materialise it with :func:`put`, which keeps
-expression trees small.
+Spark has no complex type. ``Cx`` keeps the two parts as SQL expressions (or
+Columns), so the algebra stays inside generated code and a long formula costs
+one call into the JVM. Operators that reuse a complex value many times first
+materialise it with :func:`put`, which keeps expression trees small.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,33 +16,67 @@ from pyspark.sql import functions as F
 ALPHA = complex(-0.5, math.sqrt(3.0) / 2.0)
 
 
-@dataclass(frozen=True)
+def lit_text(x: float) -> str:
+    return f"({float(x)!r}D)"
+
+
+def as_column(x) -> Column:
+    return F.expr(x) if isinstance(x, str) else x
+
+
+def _op(sign: str, a, b):
+    """a sign b, as text while both sides are text."""
+    if isinstance(a, str) and isinstance(b, str):
+        return f"({a} {sign} {b})"
+    a, b = as_column(a), as_column(b)
+    return {"+": a + b, "-": a - b, "*": a * b}[sign]
+
+
+def _ratio(a, b):
+    if isinstance(a, str) and isinstance(b, str):
+        return f"try_divide({a}, {b})"
+    return F.try_divide(as_column(a), as_column(b))
+
+
 class Cx:
-    re: Column
-    im: Column
+    """Complex value; ``re`` and ``im`` are Columns."""
+
+    def __init__(self, re, im):
+        self.x, self.y = re, im
+
+    @property
+    def re(self) -> Column:
+        return as_column(self.x)
+
+    @property
+    def im(self) -> Column:
+        return as_column(self.y)
 
     def __add__(self, o):
         o = lift(o)
-        return Cx(self.re + o.re, self.im + o.im)
+        return Cx(_op("+", self.x, o.x), _op("+", self.y, o.y))
 
     def __radd__(self, o):
         return self + o
 
     def __sub__(self, o):
         o = lift(o)
-        return Cx(self.re - o.re, self.im - o.im)
+        return Cx(_op("-", self.x, o.x), _op("-", self.y, o.y))
 
     def __rsub__(self, o):
         return lift(o) - self
 
     def __neg__(self):
-        return Cx(-self.re, -self.im)
+        return self * -1.0
 
     def __mul__(self, o):
-        if isinstance(o, (int, float, Column)):
-            return Cx(self.re * o, self.im * o)
+        if isinstance(o, (int, float)):
+            o = lit_text(o)
+        if isinstance(o, (str, Column)):
+            return Cx(_op("*", self.x, o), _op("*", self.y, o))
         o = lift(o)
-        return Cx(self.re * o.re - self.im * o.im, self.re * o.im + self.im * o.re)
+        return Cx(_op("-", _op("*", self.x, o.x), _op("*", self.y, o.y)),
+                  _op("+", _op("*", self.x, o.y), _op("*", self.y, o.x)))
 
     def __rmul__(self, o):
         return self * o
@@ -51,24 +84,29 @@ class Cx:
     def __truediv__(self, o):
         """Quotient; NULL parts when the divisor is exactly zero."""
         if isinstance(o, (int, float)):
-            return Cx(self.re / F.lit(float(o)), self.im / F.lit(float(o)))
-        if isinstance(o, Column):
-            return Cx(F.try_divide(self.re, o), F.try_divide(self.im, o))
+            o = lit_text(o)
+        if isinstance(o, (str, Column)):
+            return Cx(_ratio(self.x, o), _ratio(self.y, o))
         o = lift(o)
-        n = o.norm2()
-        p = self * o.conj()
-        return Cx(F.try_divide(p.re, n), F.try_divide(p.im, n))
+        n, p = o._norm2(), self * o.conj()
+        return Cx(_ratio(p.x, n), _ratio(p.y, n))
 
     def conj(self):
-        return Cx(self.re, -self.im)
+        return Cx(self.x, _op("*", self.y, lit_text(-1.0)))
+
+    def _norm2(self):
+        return _op("+", _op("*", self.x, self.x), _op("*", self.y, self.y))
 
     def norm2(self) -> Column:
-        return self.re * self.re + self.im * self.im
+        return as_column(self._norm2())
 
     def abs(self) -> Column:
-        return F.sqrt(self.norm2())
+        n = self._norm2()
+        return F.expr(f"sqrt({n})") if isinstance(n, str) else F.sqrt(n)
 
     def arg(self) -> Column:
+        if isinstance(self.x, str) and isinstance(self.y, str):
+            return F.expr(f"atan2({self.y}, {self.x})")
         return F.atan2(self.im, self.re)
 
     def turn(self, theta: Column):
@@ -79,14 +117,14 @@ class Cx:
 def lift(x) -> Cx:
     if isinstance(x, Cx):
         return x
-    if isinstance(x, Column):
-        return Cx(x, F.lit(0.0))
+    if isinstance(x, (str, Column)):
+        return Cx(x, lit_text(0.0))
     z = complex(x)
-    return Cx(F.lit(z.real), F.lit(z.imag))
+    return Cx(lit_text(z.real), lit_text(z.imag))
 
 
 def cx(name: str) -> Cx:
-    return Cx(F.col(f"{name}_re"), F.col(f"{name}_im"))
+    return Cx(f"{name}_re", f"{name}_im")
 
 
 def parts(values: dict[str, Cx]) -> dict[str, Column]:

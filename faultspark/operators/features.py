@@ -61,29 +61,24 @@ def select_features(df: DataFrame, keys: list[str], allow: list[str]) -> DataFra
 
 
 def td_loop_signals(df: DataFrame, cfg: SignalConfig) -> DataFrame:
-    """Per loop: voltage v, R-L response u and current i (sample level)."""
-    c = F.col
-    r1, l1 = c("z1r"), c("z1x") / cfg.omega
-    r0, l0 = c("z0r"), c("z0x") / cfg.omega
-    df = df.withColumns({"_i0": (c("ia") + c("ib") + c("ic")) / 3.0,
-                         "_i0d": (c("ia_d") + c("ib_d") + c("ic_d")) / 3.0,
-                         "_l1": l1, "_dr": r0 - r1, "_dl": l0 - l1})
+    """Per loop: voltage v, R-L response u, current change g (sample level)."""
+    w = repr(cfg.omega) + "D"
+    df = df.withColumns({k: F.expr(v) for k, v in {
+        "_i0": "(ia + ib + ic) / 3.0D", "_i0d": "(ia_d + ib_d + ic_d) / 3.0D", "_l1": f"z1x / {w}",
+        "_dr": "z0r - z1r", "_dl": f"z0x / {w} - z1x / {w}"}.items()})
     out = {}
     for lp in LOOPS:
         if lp in GROUND:
             p = lp[0]
-            out[f"v_{lp}"] = c(f"v{p}")
-            out[f"u_{lp}"] = (r1 * c(f"i{p}") + c("_l1") * c(f"i{p}_d")
-                              + c("_dr") * c("_i0") + c("_dl") * c("_i0d"))
-            out[f"i_{lp}"] = c(f"i{p}")
-            out[f"g_{lp}"] = c(f"i{p}_g")
+            out[f"v_{lp}"] = f"v{p}"
+            out[f"u_{lp}"] = f"z1r * i{p} + _l1 * i{p}_d + _dr * _i0 + _dl * _i0d"
+            out[f"g_{lp}"] = f"i{p}_g"
         else:
             p, q = lp
-            out[f"v_{lp}"] = c(f"v{p}") - c(f"v{q}")
-            out[f"u_{lp}"] = (r1 * (c(f"i{p}") - c(f"i{q}")) + c("_l1") * (c(f"i{p}_d") - c(f"i{q}_d")))
-            out[f"i_{lp}"] = c(f"i{p}") - c(f"i{q}")
-            out[f"g_{lp}"] = c(f"i{p}_g") - c(f"i{q}_g")
-    return df.withColumns(out)
+            out[f"v_{lp}"] = f"v{p} - v{q}"
+            out[f"u_{lp}"] = f"z1r * (i{p} - i{q}) + _l1 * (i{p}_d - i{q}_d)"
+            out[f"g_{lp}"] = f"i{p}_g - i{q}_g"
+    return df.withColumns({k: F.expr(v) for k, v in out.items()})
 
 
 FIT_SUMS = ("vv", "uu", "gg", "vu", "vg", "ug")
@@ -103,8 +98,7 @@ def window_sums(samples: DataFrame, params: DataFrame, keys: list[str], cfg: Sig
         span = (cfg.win - cfg.cycle) // cfg.hop
         for lp in LOOPS:
             for s in FIT_SUMS:
-                a, b = (F.col(f"{x}_{lp}") for x in s)
-                aggs[f"{s}_{lp}"] = F.sum(a * b)
+                aggs[f"{s}_{lp}"] = F.expr(f"sum({s[0]}_{lp} * {s[1]}_{lp})")
                 specs[f"{s}_{lp}"] = ("sum", f"{s}_{lp}", -(span - 1), 0)
         require = F.col("u_ag")
     if phasors:
@@ -258,7 +252,7 @@ def unnormalise(df: DataFrame) -> DataFrame:
     z1 = lines.z1()
     out = {}
     for lp in LOOPS:
-        z = Cx(F.col(f"{lp}_zr"), F.col(f"{lp}_zi")) * z1
+        z = Cx(f"{lp}_zr", f"{lp}_zi") * z1
         out[f"{lp}_zr"], out[f"{lp}_zi"] = z.re, z.im
         out[f"{lp}_absz"] = F.col(f"{lp}_absz") * z1.abs()
     return df.withColumns(out)

@@ -18,11 +18,11 @@ def totals(params: DataFrame) -> DataFrame:
 
 
 def z1() -> Cx:
-    return Cx(F.col("z1r"), F.col("z1x"))
+    return Cx("z1r", "z1x")
 
 
 def z0() -> Cx:
-    return Cx(F.col("z0r"), F.col("z0x"))
+    return Cx("z0r", "z0x")
 
 
 def attach(df: DataFrame, params: DataFrame, keys: list[str], salt: str | None = None,

@@ -18,17 +18,13 @@ from faultspark.operators.numbering import first_k, quantiles
 METHODS = ["R", "T", "T2", "MT", "E"]
 
 
-def choose(loop: Column, values: dict[str, Cx]) -> Cx:
-    """Complex value of the row's loop."""
-    re = im = None
-    for lp, v in values.items():
-        hit = loop == lp
-        re = F.when(hit, v.re) if re is None else re.when(hit, v.re)
-        im = F.when(hit, v.im) if im is None else im.when(hit, v.im)
-    return Cx(re, im)
+def choose(loop: str, values: dict[str, Cx]) -> Cx:
+    """Complex value of the row's loop, named by column ``loop``."""
+    case = lambda get: f"CASE {loop} " + " ".join(f"WHEN '{lp}' THEN {get(v)}" for lp, v in values.items()) + " END"
+    return Cx(case(lambda v: v.x), case(lambda v: v.y))
 
 
-def loop_quantity(loop: Column, ph: dict[str, Cx], extra: Cx | None) -> Cx:
+def loop_quantity(loop: str, ph: dict[str, Cx], extra: Cx | None) -> Cx:
     """Phase value plus a ground term, or the difference of two phases."""
     out = {}
     for lp in LOOPS:
@@ -93,7 +89,7 @@ def loop_context(df: DataFrame) -> DataFrame:
              if (st, q) == ("p", "i") or q == "v" and (t, st) != ("s", "l")]
     df = put(df, first).drop(*spent)
     df = put(df, {"_gi": cx("k0") * cx("I0") * 3.0, "_gd": cx("k0") * cx("s0I") * 3.0})
-    loop = F.col("loop")
+    loop = "loop"
     return put(df, {
         "V": loop_quantity(loop, v, None),
         "I": loop_quantity(loop, i, cx("_gi")),
@@ -138,18 +134,18 @@ def eriksson(df: DataFrame, out: str = "E") -> DataFrame:
 def modified_takagi(df: DataFrame, out: str = "MT", rounds: int = 3) -> DataFrame:
     """Zero-sequence polarised estimate with the angle corrected for d."""
     z0 = lines.z0()
-    d = F.lit(0.5)
+    d = "0.5D"
     for k in range(rounds):
-        ratio = (cx("Z0SB") + z0 * (1.0 - d)) / (cx("Z0SA") + z0 + cx("Z0SB"))
+        ratio = (cx("Z0SB") + z0 * F.expr(f"1 - {d}")) / (cx("Z0SA") + z0 + cx("Z0SB"))
         df = put(df, {f"_w{k}": ratio})
         pol = (cx("I0") * 3.0).turn(cx(f"_w{k}").arg())
         df = put(df, {f"_pol{k}": pol})
         df = df.withColumn(f"_t{k}", takagi(cx("V"), cx("I"), lines.z1(), cx(f"_pol{k}")))
         df = df.withColumn(f"_d{k}", F.coalesce(clip(F.col(f"_t{k}"), -1, 2), F.lit(0.5)))
-        d = F.col(f"_d{k}")
+        d = f"_d{k}"
     known = F.col("Z0SA_re").isNotNull() & F.col("Z0SB_re").isNotNull()
     ground = F.col("loop").isin(GROUND)
-    return df.withColumn(out, F.when(~ground, F.col("T")).when(known, d))
+    return df.withColumn(out, F.when(~ground, F.col("T")).when(known, F.col(d)))
 
 
 def classical_estimates(samples: DataFrame, wins: DataFrame, params: DataFrame, keys: list[str],
@@ -181,7 +177,7 @@ def conditioning(samples: DataFrame, wins: DataFrame, params: DataFrame, keys: l
     """
     wins = wins.where((F.col("etype") == "flt_1phg_shc") & (F.col("post_ms") >= min_post_ms))
     df = loop_context(window_context(samples, wins, params, keys, cfg))
-    phase = lambda t: choose(F.col("loop"), {f"{p}g": cx(f"{t}_l_i{p}") for p in "abc"})
+    phase = lambda t: choose("loop", {f"{p}g": cx(f"{t}_l_i{p}") for p in "abc"})
     df = put(df, {"IF": phase("s") + phase("r")}).where(F.col("IF_re").isNotNull())
     df = put(df, {"_f": cx("IF") / cx("I"), "_z": cx("V") / cx("I"), "_m": cx("D") / cx("I")})
     z = lines.z1()
@@ -274,8 +270,8 @@ def staged_locator(samples: DataFrame, wins: DataFrame, params: DataFrame, keys:
     early = rows.where(~late & (F.col("n") >= F.col("nf") + skip)).withColumn(
         "t", (F.col("n") - F.col("win_end")) / float(cfg.cycle))
     ph = full.unionByName(ls_phasors(early, group, PARTS, cfg))
-    j = Cx(F.lit(0.0), F.lit(1.0))
-    pos = {q: (cx(f"{q}_al") + j * cx(f"{q}_be")) * 0.5 for q in ("vs", "is", "vr", "ir")}
+    j = 1j
+    pos = {q: (cx(f"{q}_al") + cx(f"{q}_be") * j) * 0.5 for q in ("vs", "is", "vr", "ir")}
     df = ph.join(params, keys)
     num, den = two_ended.phasor_ratio(pos["vs"], pos["is"], pos["vr"], pos["ir"], lines.z1())
     df = put(df, {"_n": num, "_d": den}).select(*group, (cx("_n") / cx("_d")).re.alias("_est"))
@@ -316,7 +312,7 @@ def compare_impedance(identified: DataFrame, nameplate: DataFrame, line: list[st
     """Magnitude ratio and angles of identified against nameplate values."""
     c = F.col
     df = identified.join(nameplate, line)
-    zi, zn = Cx(c("z_re"), c("z_im")), lines.z1()
+    zi, zn = cx("z"), lines.z1()
     return df.select(*line, (zi.abs() / zn.abs()).alias("ratio_abs"), F.degrees(zn.arg()).alias("ang_np"),
                      F.degrees(zi.arg()).alias("ang_id"), (c("z_re") / c("z1r")).alias("ratio_r"),
                      (c("z_im") / c("z1x")).alias("ratio_x"))

@@ -57,35 +57,33 @@ def deriv_quadratic(df: DataFrame, cols: list[str], part: list[str], cfg: Signal
     m2 = float(sum(k * k for k in range(-h, h + 1)))
     mean2 = m2 / size
     q2 = sum((k * k - mean2) ** 2 for k in range(-h, h + 1))
-    near = in_order(part, n).rangeBetween(-h, h)
-    whole = Window.partitionBy(*part)
-    at = F.col(n)
-    # Positions relative to a nearby sample keep the moving sums well scaled.
-    df = df.withColumn("_m", F.pmod(at, F.lit(cfg.block)).cast("double") + F.when(
-        F.floor(at / cfg.block) == F.col(part[-1]), 0.0).when(
-        F.floor(at / cfg.block) < F.col(part[-1]), -float(cfg.block)).otherwise(float(cfg.block))
-        if part[-1] == "blk" else at.cast("double"))
-    stage = {"_cnt": F.count(n).over(near), "_last": F.max(n).over(whole)}
+    by = ", ".join(part)
+    near = f"OVER (PARTITION BY {by} ORDER BY {n} RANGE BETWEEN {h} PRECEDING AND {h} FOLLOWING)"
+    whole = f"OVER (PARTITION BY {by})"
+    # Positions relative to the block keep the moving sums well scaled.
+    origin = f"blk * {cfg.block}" if "blk" in part else "0"
+    df = df.withColumn("_m", F.expr(f"CAST({n} - {origin} AS DOUBLE)"))
+    stage = {"_cnt": f"count({n}) {near}", "_last": f"max({n}) {whole}"}
     for c in cols:
-        stage[f"_s_{c}"] = F.sum(c).over(near)
-        stage[f"_p_{c}"] = F.sum(F.col(c) * F.col("_m")).over(near)
-    df = df.withColumns(stage)
-    head, tail = at - h, at - F.col("_last") + h
+        stage[f"_s_{c}"] = f"sum({c}) {near}"
+        stage[f"_p_{c}"] = f"sum({c} * _m) {near}"
+    df = df.withColumns({k: F.expr(v) for k, v in stage.items()})
+    offset = {"0": f"({n} - {h})", "1": f"({n} - _last + {h})"}
+    inside = {"0": f"{n} < {size}", "1": f"{n} > _last - {size}"}
     edges = {}
-    for side, k, inside in (("0", head, at < size), ("1", tail, at > F.col("_last") - size)):
-        edges[f"_k{side}"] = F.count(F.when(inside, at)).over(whole)
+    for side, k in offset.items():
+        edges[f"_k{side}"] = f"count(CASE WHEN {inside[side]} THEN {n} END) {whole}"
         for c in cols:
-            x = F.when(inside, F.col(c))
-            edges[f"_b{side}_{c}"] = F.sum(x * k).over(whole)
-            edges[f"_c{side}_{c}"] = F.sum(x * (k * k - mean2)).over(whole)
-    df = df.withColumns(edges)
+            x = f"CASE WHEN {inside[side]} THEN {c}"
+            edges[f"_b{side}_{c}"] = f"sum({x} * {k} END) {whole}"
+            edges[f"_c{side}_{c}"] = f"sum({x} * ({k} * {k} - {mean2!r}D) END) {whole}"
+    df = df.withColumns({k: F.expr(v) for k, v in edges.items()})
     out = {}
     for c in cols:
-        fit = lambda side, k: F.when(
-            F.col(f"_k{side}") == size, F.col(f"_b{side}_{c}") / m2 + F.col(f"_c{side}_{c}") * (2.0 / q2) * k)  # noqa: B023
-        inner = (F.col(f"_p_{c}") - F.col("_m") * F.col(f"_s_{c}")) / m2
-        out[c + suffix] = (F.when(F.col("_cnt") == size, inner).when(at < h, fit("0", head))
-                           .when(at > F.col("_last") - h, fit("1", tail))) * cfg.fs
+        fit = {s: f"CASE WHEN _k{s} = {size} THEN _b{s}_{c} / {m2!r}D + _c{s}_{c} * {2.0 / q2!r}D * {k} END" for s, k in offset.items()}
+        out[c + suffix] = F.expr(
+            f"{cfg.fs!r}D * CASE WHEN _cnt = {size} THEN (_p_{c} - _m * _s_{c}) / {m2!r}D "
+            f"WHEN {n} < {h} THEN {fit['0']} WHEN {n} > _last - {h} THEN {fit['1']} END")
     return df.withColumns(out).drop("_m", *stage, *edges)
 
 

@@ -112,7 +112,7 @@ def phasor_estimate(samples: DataFrame, params: DataFrame, keys: list[str], cfg:
     z = lines.z1()
     num, den = phasor_ratio(seq1("s_l_", "v"), seq1("s_l_", "i"), seq1("r_l_", "v"), seq1("r_l_", "i"), z)
     df = df.withColumns({"_nr": num.re, "_ni": num.im, "_dr": den.re, "_di": den.im})
-    n, d = Cx(F.col("_nr"), F.col("_ni")), Cx(F.col("_dr"), F.col("_di"))
+    n, d = Cx("_nr", "_ni"), Cx("_dr", "_di")
     return df.select(*keys, "win_end", F.when(d.abs() > 1e-9, (n / d).re).alias("ph_est"))
 
 

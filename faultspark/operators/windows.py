@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultspark.config import SignalConfig
@@ -89,12 +89,11 @@ def pane_table(samples: DataFrame, part: list[str], aggs: dict[str, Column], cfg
             .agg(*[a.alias(k) for k, a in aggs.items()], seen.alias("_cnt")))
 
 
-ROLLERS = {
-    "sum": lambda c, w: F.sum(c).over(w),
-    "max": lambda c, w: F.max(c).over(w),
-    "min": lambda c, w: F.min(c).over(w),
-    "join": lambda c, w: F.flatten(F.collect_list(c).over(w)),
-}
+def bound(offset: int) -> str:
+    return "CURRENT ROW" if offset == 0 else f"{abs(offset)} {'PRECEDING' if offset < 0 else 'FOLLOWING'}"
+
+
+ROLLERS = {"sum": "sum({c}) {w}", "max": "max({c}) {w}", "min": "min({c}) {w}", "join": "flatten(collect_list({c}) {w})"}
 
 
 def roll_panes(panes: DataFrame, part: list[str], specs: dict[str, tuple], cfg: SignalConfig,
@@ -112,9 +111,13 @@ def roll_panes(panes: DataFrame, part: list[str], specs: dict[str, tuple], cfg:
         run = "_run"
         panes = panes.select("*", F.explode(F.sequence(
             F.floor(F.col("pane") / per), F.floor((F.col("pane") + cfg.win_panes - 1) / per))).alias(run))
-    w = Window.partitionBy(*part, *([run] if run not in part else [])).orderBy("pane")
-    out = {k: ROLLERS[kind](c, w.rangeBetween(lo, hi)) for k, (kind, c, lo, hi) in specs.items()}
-    out["_cnt"] = F.sum("_cnt").over(w.rangeBetween(-(cfg.win_panes - 1), 0))
+    by = ", ".join([*part, *([run] if run not in part else [])])
+
+    def over(lo, hi):
+        return f"OVER (PARTITION BY {by} ORDER BY pane RANGE BETWEEN {bound(lo)} AND {bound(hi)})"
+
+    out = {k: F.expr(ROLLERS[kind].format(c=c, w=over(lo, hi))) for k, (kind, c, lo, hi) in specs.items()}
+    out["_cnt"] = F.expr(f"sum(_cnt) {over(-(cfg.win_panes - 1), 0)}")
     rolled = (panes.withColumns(out).where(F.col("_cnt") == cfg.win)
               .withColumn("win_end", ((F.col("pane") + 1) * cfg.hop).cast("int")))
     rolled = owned_windows(rolled, cfg, blk=run)
@@ -152,8 +155,8 @@ def dft_sums(cols: list[str], cfg: SignalConfig) -> dict[str, Column]:
     g = 2.0 / cfg.cycle
     out = {}
     for c in cols:
-        out[f"{c}_c"] = F.sum(F.col(c) * F.col("_cos")) * g
-        out[f"{c}_s"] = F.sum(F.col(c) * F.col("_sin")) * (-g)
+        out[f"{c}_c"] = F.expr(f"sum({c} * _cos) * {g!r}D")
+        out[f"{c}_s"] = F.expr(f"sum({c} * _sin) * {-g!r}D")
     return out
 
 
