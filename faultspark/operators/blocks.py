@@ -27,3 +27,22 @@ def owned_samples(df: DataFrame, cfg: SignalConfig, n: str = "n", blk: str = "bl
 def owned_windows(df: DataFrame, cfg: SignalConfig, end: str = "win_end", blk: str = "blk") -> DataFrame:
     """Keep the windows whose last sample the block owns."""
     return df.where(F.floor((F.col(end) - 1) / cfg.block) == F.col(blk))
+
+
+def wanted_blocks(blocked: DataFrame, wanted: DataFrame, keys: list[str], cfg: SignalConfig,
+                  end: str = "win_end", blk: str = "blk") -> DataFrame:
+    """Keep only blocks that own a wanted window.
+
+    The join key is the block key, so beyond the broadcast threshold it needs
+    no shuffle besides the one the blocks need anyway.
+    """
+    own = wanted.select(*keys, F.floor((F.col(end) - 1) / cfg.block).alias(blk)).distinct()
+    return blocked.join(own, [*keys, blk], "left_semi")
+
+
+def touched_samples(samples: DataFrame, wanted: DataFrame, keys: list[str], cfg: SignalConfig,
+                    n: str = "n", end: str = "win_end") -> DataFrame:
+    """Keep only samples in the block-length slots that wanted windows touch."""
+    slots = wanted.select(*keys, F.explode(F.sequence(
+        F.floor((F.col(end) - cfg.win) / cfg.block), F.floor((F.col(end) - 1) / cfg.block))).alias("_slot")).distinct()
+    return samples.withColumn("_slot", F.floor(F.col(n) / cfg.block)).join(slots, [*keys, "_slot"], "left_semi").drop("_slot")

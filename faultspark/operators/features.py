@@ -15,7 +15,7 @@ from faultspark.config import SignalConfig
 from faultspark.functions.cplx import ALPHA, Cx, cx, neg_seq, pos_seq, put, zero_seq
 from faultspark.functions.scalar import clip
 from faultspark.operators import lines, signal, windows
-from faultspark.operators.blocks import halo_blocks
+from faultspark.operators.blocks import halo_blocks, wanted_blocks
 
 # --- fixed values of the feature definition ---------------------------------
 LOOPS = ["ag", "bg", "cg", "ab", "bc", "ca"]
@@ -85,10 +85,17 @@ FIT_SUMS = ("vv", "uu", "gg", "vu", "vg", "ug")
 
 
 def window_sums(samples: DataFrame, params: DataFrame, keys: list[str], cfg: SignalConfig,
-                phasors: bool = True, td: bool = True, deriv: str = "quadratic") -> DataFrame:
-    """All window sums behind the features, after one shuffle of the samples."""
+                phasors: bool = True, td: bool = True, deriv: str = "quadratic",
+                wanted: DataFrame | None = None) -> DataFrame:
+    """All window sums behind the features, after one shuffle of the samples.
+
+    With ``wanted`` (keys, win_end) only blocks owning such a window are read
+    into the shuffle, and only those windows are returned.
+    """
     part = [*keys, "blk"]
     df = halo_blocks(samples, cfg)
+    if wanted is not None:
+        df = wanted_blocks(df, wanted, keys, cfg)
     aggs, specs = {}, {}
     require = None
     if td:
@@ -107,7 +114,10 @@ def window_sums(samples: DataFrame, params: DataFrame, keys: list[str], cfg: Sig
         specs |= windows.cycle_specs(signal.CHANNELS, cfg, "l_", "last")
         specs |= windows.cycle_specs(signal.CHANNELS, cfg, "f_", "first")
     panes = windows.pane_table(df, part, aggs, cfg, require=require)
-    return windows.roll_panes(panes, part, specs, cfg, blk="blk").join(params, keys)
+    rolled = windows.roll_panes(panes, part, specs, cfg, blk="blk")
+    if wanted is not None:
+        rolled = rolled.join(wanted.select(*keys, "win_end"), [*keys, "win_end"], "left_semi")
+    return rolled.join(params, keys)
 
 
 def loop_phasors(df: DataFrame) -> DataFrame:
@@ -236,10 +246,10 @@ def td_features(df: DataFrame) -> DataFrame:
 
 
 def window_features(samples: DataFrame, params: DataFrame, keys: list[str], cfg: SignalConfig,
-                    deriv: str = "quadratic", group: str = "all") -> DataFrame:
-    """Features of every complete hop window, with the line totals."""
+                    deriv: str = "quadratic", group: str = "all", wanted: DataFrame | None = None) -> DataFrame:
+    """Features of every complete (or every wanted) hop window, with the line totals."""
     phasors, td = group in ("phasor", "all"), group in ("td", "all")
-    df = window_sums(samples, params, keys, cfg, phasors, td, deriv)
+    df = window_sums(samples, params, keys, cfg, phasors, td, deriv, wanted)
     if phasors:
         df = phasor_features(df)
     if td:

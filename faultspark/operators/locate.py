@@ -12,6 +12,7 @@ from faultspark.functions.cplx import Cx, cx, pos_seq, put, zero_seq
 from faultspark.functions.scalar import clip, defined, is_transient
 from faultspark.functions.cplx import neg_seq, wrap_angle
 from faultspark.operators import lines, signal, two_ended, windows
+from faultspark.operators.blocks import halo_blocks, owned_samples, touched_samples
 from faultspark.operators.features import CURRENT_FLOOR, DENOMINATOR_FLOOR, GROUND, LOOPS, ROTATION
 from faultspark.operators.numbering import first_k, quantiles
 
@@ -56,7 +57,7 @@ def window_context(samples: DataFrame, wins: DataFrame, params: DataFrame, keys:
     columns are then NULL.
     """
     kt = [*keys, "term"]
-    ph = two_ended.window_phasors(samples, kt, signal.CHANNELS, cfg)
+    ph = two_ended.window_phasors(touched_samples(samples, wins, keys, cfg), kt, signal.CHANNELS, cfg)
     eps = wins.select(*keys, "nf").distinct()
     starts = eps.select(*keys, (F.col("nf") - cfg.memory_gap - cfg.cycle).alias("pre"),
                         F.explode(F.array(F.lit(0), F.lit(1))).alias("term"))
@@ -257,8 +258,6 @@ def staged_locator(samples: DataFrame, wins: DataFrame, params: DataFrame, keys:
     of the post-fault samples; earlier: mid-line. Positive sequence is
     (alpha + j beta) / 2 of the modal phasors.
     """
-    from faultspark.operators.blocks import halo_blocks, owned_samples
-
     pairs = signal.pair_terminals(halo_blocks(samples, cfg), keys, signal.CHANNELS)
     modal = owned_samples(signal.modal_inputs(pairs), cfg).drop("blk")
     late = F.col("tau_ms") >= full_ms

@@ -274,9 +274,9 @@ FROM ft f JOIN (SELECT o.sim_idx, o.win_end, {LOOP_SQL.replace('etype', 'e.etype
 def td_one_ended(spark, sf):
     """The time-domain fit of the labelled loop, picked by column name."""
     c = F.col
-    feat = features.window_features(fx.sig(spark, sf), rec_totals(spark, sf), ["rec"], CFG, group="td")
     w = windows.overlap_windows(fx.episodes(spark, sf), CFG).select(
         c("sim_idx").alias("rec"), "win_end", features.oracle_loop(c("etype"), c("ph1"), c("ph2")).alias("loop"))
+    feat = features.window_features(fx.sig(spark, sf), rec_totals(spark, sf), ["rec"], CFG, group="td", wanted=w)
     df = feat.join(w, ["rec", "win_end"])
     return round_doubles(df.select("rec", "win_end", "loop", lookup_by_name(features.LOOPS, c("loop"), "_dtd").alias("est")), 4)
 
@@ -337,11 +337,12 @@ def episode_locator(spark, sf):
 def corridors(spark, sf):
     """Lines grouped seven ways, each with several episodes."""
     per = episode_locator_df(spark, sf).withColumn("corridor", F.pmod("line", F.lit(7)))
-    plate = line_totals(spark, sf).where(F.col("line") < 7).withColumn("corridor", F.pmod("line", F.lit(7))).drop("line")
+    cols = ["length_km", "z1r", "z1x", "z0r", "z0x"]
+    plate = line_totals(spark, sf).groupBy(F.pmod("line", F.lit(7)).alias("corridor")).agg(*[F.avg(x).alias(x) for x in cols])
     return per, plate
 
 
-_COR = "cor AS (SELECT line % 7 AS corridor, * EXCLUDE (line) FROM lpl WHERE line < 7), ec AS (SELECT line % 7 AS corridor, line, z_re, z_im FROM el WHERE z_re IS NOT NULL)"
+_COR = "cor AS (SELECT line % 7 AS corridor, avg(length_km) AS length_km, avg(z1r) AS z1r, avg(z1x) AS z1x, avg(z0r) AS z0r, avg(z0x) AS z0x FROM lpl GROUP BY 1), ec AS (SELECT line % 7 AS corridor, line, z_re, z_im FROM el WHERE z_re IS NOT NULL)"
 
 
 @query("identify_impedance", f"""{with_views(*EPISODE_SQL, _COR)}, idn AS (

@@ -248,8 +248,8 @@ SELECT f.rec, f.win_end, {r('v.post_ms')} AS post_ms, {_feature_select(features.
 FROM feat f JOIN ovw v ON v.sim_idx = f.rec AND v.win_end = f.win_end""")
 def episode_tokens(spark, sf):
     """All 77 features of the wanted windows of every episode."""
-    feat = features.window_features(fx.sig(spark, sf), rec_totals(spark, sf), ["rec"], CFG)
     w = windows.overlap_windows(fx.episodes(spark, sf), CFG).select(F.col("sim_idx").alias("rec"), "win_end", "post_ms")
+    feat = features.window_features(fx.sig(spark, sf), rec_totals(spark, sf), ["rec"], CFG, wanted=w)
     df = feat.join(w, ["rec", "win_end"]).select("rec", "win_end", "post_ms", *features.FEATURES)
     return round_doubles(round_cols(df, features.FEATURES, 4))
 
