@@ -86,8 +86,14 @@ def multinomial_replicates(df: DataFrame, by: list[str], episode: str, errors: d
         bucket, n = int(pdf["_bucket"].iloc[0]), int(pdf["n_ep"].iloc[0])
         m = _bucket_counts(n, bucket, b, seed, size)
         rng = np.random.default_rng([seed, bucket, n, 1])
-        counts = rng.multinomial(m, np.full(len(pdf), 1.0 / len(pdf)))
-        sums = counts @ pdf[names].to_numpy(float)
+        values = pdf[names].to_numpy(float)
+        sums = np.zeros((b, len(names)))
+        for lo in range(0, b, 256):  # replicates in slices keep the draws small
+            part = m[lo:lo + 256]
+            picks = rng.integers(0, len(pdf), int(part.sum()))
+            rep = np.repeat(np.arange(len(part)), part)
+            for k in range(len(names)):
+                sums[lo:lo + len(part), k] = np.bincount(rep, weights=values[picks, k], minlength=len(part))
         out = pd.DataFrame(sums, columns=names)
         out.insert(0, "rep", np.arange(b, dtype="int32"))
         for k in reversed(by):
