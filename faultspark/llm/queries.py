@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultspark.llm import decontaminate, html, packing, pii, quality, secrets, simhash, toxicity
+from faultspark.llm import decontaminate, html, neighbours, packing, pii, quality, repeats, secrets, simhash, toxicity
 from faultspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in documents, by a forest fitted on findings of the same documents."""
     docs = table(spark, sf_dir, "documents")
@@ -47,6 +51,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_toxicity, op2_html, op3_pii, op4_decontamination, op6_secrets, op7_quality, op8_simhash, op9_packing)}
+    op1_toxicity, op2_html, op3_pii, op4_decontamination, op5_repeats, op6_secrets, op7_quality, op8_simhash,
+    op9_packing, op10_neighbours)}
 SQL: dict[str, str] = {}
