@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultspark.sources.stage import ensure_checkpoint_dir
+
 #: Rows of one Arrow batch. Texts may be long, so a batch is kept small.
 BATCH_ROWS = 1000
 
@@ -44,9 +45,8 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
-def byte_rows(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
-    for v in batch.column(name):
-        yield v.as_py() or b""
+def byte_texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
+    return [v or b"" for v in batch.column(name).to_pylist()]
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -54,14 +54,9 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below the one that driver and executors share (``spark.checkpoint.dir``)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not found.isDefined():
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = found.get()
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A new folder name below the checkpoint folder, which driver and executors share."""
+    ensure_checkpoint_dir(spark.range(0))
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:

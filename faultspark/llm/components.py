@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultspark.sources.stage import ensure_checkpoint_dir
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step: link the neighbours of each node to its smallest neighbour (or itself).
@@ -31,6 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     matter. Each round is written to the shared folder, so lost executors do not restart the iteration. The loop ends
     when a round changes nothing: then every edge points from a node to its root.
     """
+    ensure_checkpoint_dir(edges)
     state = edges.where("a <> b").select("a", "b").distinct().checkpoint()
     mark = None
     while True:

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultspark.llm.common import byte_texts
+
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Fingerprint bits in which a candidate may differ.
@@ -245,7 +247,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK
             for b in batches:
                 index = index or ItemIndex(shared.value, radius)
                 docs_of, found = b.column("doc_id"), []
-                for row, words in enumerate(document_words([v.as_py() or b"" for v in b.column("bytes")], hashes)):
+                for row, words in enumerate(document_words(byte_texts(b, "bytes"), hashes)):
                     found += [(row, *x) for x in search(index, words)]
                 cols = list(zip(*found)) or [()] * 5
                 yield pa.RecordBatch.from_arrays(

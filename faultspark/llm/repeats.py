@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultspark.llm.common import stored
+from faultspark.llm.common import byte_texts, stored
 from faultspark.llm.suffixes import deep_shallow, extents
 
 LENGTH, RUN = 400, 100
@@ -154,10 +154,6 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _binary(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    return [v or b"" for v in batch.column(name).to_pylist()]
-
-
 def remove(docs: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
     bytes_of = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
@@ -168,7 +164,7 @@ def remove(docs: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chooser = Chooser(length, run)
         for b in batches:
-            for i, at, h in chooser.batch(_binary(b, "data")):
+            for i, at, h in chooser.batch(byte_texts(b, "data")):
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("content").take(pa.array(i)), pa.array(at.astype(np.int64))],
                                                  names=["h", "content", "at"])
 
@@ -186,7 +182,7 @@ def remove(docs: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = length - run
         for b in batches:
-            for key, some, data in zip(b.column("content").to_pylist(), b.column("places").to_pylist(), _binary(b, "data")):
+            for key, some, data in zip(b.column("content").to_pylist(), b.column("places").to_pylist(), byte_texts(b, "data")):
                 at = [p["at"] for p in some]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p["h"] for p in some], pa.int64()), pa.array([key] * len(at), pa.binary()), pa.array(at, pa.int64()),
@@ -222,7 +218,7 @@ def remove(docs: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             removed, spans, kept = [], [], []
-            for data, some in zip(_binary(b, "data"), b.column("spans").to_pylist()):
+            for data, some in zip(byte_texts(b, "data"), b.column("spans").to_pylist()):
                 merged = united([(s["a"], s["b"]) for s in some])
                 left, at = hashlib.sha256(), 0
                 for x, y in merged:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultspark.llm.common import byte_rows, stored
+from faultspark.llm.common import byte_texts, stored
 from faultspark.llm.components import components
 
 SEED = 42
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long, for every row."""
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t) for t in byte_rows(b, "bytes")], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t) for t in byte_texts(b, "bytes")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("bytes"))
