@@ -2,8 +2,8 @@
 
 The page is cut into blocks at block-level tags. Pass one decides blocks by where they stand (menus, footers, forms, adverts by
 tag, class or id), by link density, and by length with stop-word density. Pass two gives the short or odd blocks that are left
-the label of the nearest decided neighbour in the same article, the nearer one first. Where an article (or main) element has
-text, what stands outside of it is not main text.
+the label of the nearest decided neighbour, the nearer side first; within an article element (or main) a list of links
+passes nothing on, as text goes on behind it. Where an article has text, what stands outside of it is not main text.
 
 A null or empty page, or one without main text, gives an empty string. Unclosed, wrongly nested and unknown tags are
 taken as browsers do in the main: an end tag closes up to its element or nothing. Rows are taken one by one, so ties, repeated
@@ -141,7 +141,7 @@ def classify(found: list[Block]) -> None:
         last: dict[int, int] = {}
         for i in order:
             side[i] = last.get(found[i].scope)
-            if found[i].label != OPEN and not found[i].banned:
+            if found[i].label == GOOD or (found[i].label == BAD and not found[i].banned and not found[i].scope):
                 last[found[i].scope] = i
     given = []
     for i, b in enumerate(found):

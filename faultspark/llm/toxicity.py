@@ -93,6 +93,7 @@ class Network:
         for w, f in zip(WIDTHS, self.filters):
             padded = np.concatenate([emb, np.zeros((w - 1, emb.shape[1]), emb.dtype)]) if w > 1 else emb
             out = sum(padded[i:i + len(emb)] @ f[i] for i in range(w))
+            out[np.concatenate([cut[1:] - 1, cut[1:] - 2])] = 0  # windows that start behind a text
             top = np.maximum.reduceat(out, cut[:-1], axis=0)
             spot = np.empty(top.shape, np.int64)
             for d in range(len(cut) - 1):
@@ -214,16 +215,20 @@ class Scorer:
         for doc, lo, hi in self._stretches(ends):
             seq = np.concatenate([np.r_[ids[a:b], ids[b:min(b + 2, ends[d + 1])], 0, 0] for d, a, b in zip(doc, lo, hi)])
             cut = np.cumsum([0] + [b - a + min(2, ends[d + 1] - b) + 2 for d, a, b in zip(doc, lo, hi)])[:-1]
+            beyond = np.concatenate([np.arange(b - a + min(2, ends[d + 1] - b) + 2) >= (b - a if b < ends[d + 1] else ends[-1] + 9)
+                                     for d, a, b in zip(doc, lo, hi)])  # starts of windows that belong to the next stretch
             col = 0
             for k, w in enumerate(WIDTHS):
                 p = self.products[:, col:col + w * FILTERS]
                 out = p[seq, :FILTERS]
                 for i in range(1, w):
                     out[:len(seq) - i] += p[seq[i:], i * FILTERS:(i + 1) * FILTERS]
+                out[seq == 0] = 0
+                out[beyond] = -np.inf
                 best = np.maximum.reduceat(out, cut, axis=0)
                 np.maximum.at(top[:, k * FILTERS:(k + 1) * FILTERS], doc, best)
                 col += w * FILTERS
-            np.add.at(votes, doc, np.add.reduceat(self.votes[seq], cut, axis=0))
+            np.add.at(votes, doc, np.add.reduceat(np.where(beyond[:, None], 0, self.votes[seq]), cut, axis=0))
         act = np.maximum(top + self.net.bias, 0)
         tongue = np.where(votes.max(1, initial=0) > 0, votes.argmax(1) if n else 0, len(LANGUAGES))
         return (act @ self.net.weights + self.net.offset).astype(np.float64), tongue

@@ -170,7 +170,8 @@ STORY = "This is the story of the house on the hill and of the people that lived
     (f"<div class='cookie-notice'>{STORY}</div><div id=content><p>{STORY}</p><p>Yes &amp;\n no&nbsp;more</p></div>", f"{STORY}\n\nYes & no more"),
     (f"<article><p>{STORY}</p><form>{STORY}</form><section class=comments><p>{STORY}</p></section></article><div>{STORY}</div>", STORY),
     (f"<article><p>{STORY}<script>var a='<p>{STORY}</p>'</script><style>p{{}}</style><!-- {STORY} --></article>", STORY),
-    (f"<p>{STORY}</p><ul><li><a href='/a>b'>one two</a></li></ul><p>x <b>y</b>z</p>", f"{STORY}\n\nx yz"),
+    (f"<p>{STORY}</p><ul><li><a href='/a>b'>one two</a></li></ul><p>x <b>y</b>z</p>", STORY),
+    (f"<main><p>{STORY}</p><ul><li><a href='/a>b'>one two</a></li></ul><p>x <b>y</b>z</p></main>", f"{STORY}\n\nx yz"),
     ("<article>Short.</article>", "Short."), ("<nav><p>" + STORY, ""), (f"<p>{STORY}</p></div></nav><p>{STORY}</p>", f"{STORY}\n\n{STORY}"),
     ("<p>a <b", ""), (f"<article><p>{STORY}</p><p>2 < 3 &lt;b&gt;</p></article>", f"{STORY}\n\n2 < 3 <b>"),
 ])
