@@ -17,7 +17,6 @@ class SignalConfig:
     fs: float = 9600.0
     f0: float = 50.0
     t0: float = 1.0
-    n_samples: int = 4801
     win: int = 480
     hop: int = 48
     active_len: int = 289
@@ -63,6 +62,6 @@ class SignalConfig:
 
 #: 50 Hz at 800 samples per second: 16-sample cycle, 50 ms window, 5 ms hop.
 COMPACT = SignalConfig(
-    fs=800.0, f0=50.0, t0=1.0, n_samples=600, win=40, hop=4,
+    fs=800.0, f0=50.0, t0=1.0, win=40, hop=4,
     active_len=24, memory_gap=2, fir_half=5, block_hops=64,
 )

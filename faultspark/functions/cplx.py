@@ -139,10 +139,6 @@ def put(df: DataFrame, values: dict[str, Cx]) -> DataFrame:
     return df.withColumns(parts(values))
 
 
-def as_struct(z: Cx) -> Column:
-    return F.struct(z.re.alias("re"), z.im.alias("im"))
-
-
 def zero_seq(a: Cx, b: Cx, c: Cx) -> Cx:
     return (a + b + c) * (1.0 / 3.0)
 

@@ -101,7 +101,7 @@ def window_sums(samples: DataFrame, params: DataFrame, keys: list[str], cfg: Sig
     if td:
         df = signal.DERIVATIVES[deriv](df, signal.CURRENTS, part, cfg)
         df = signal.delta_cycle(df, signal.CURRENTS, part, cfg)
-        df = td_loop_signals(lines.attach(df, params, keys, salt="blk"), cfg)
+        df = td_loop_signals(lines.attach(df, params, keys), cfg)
         span = (cfg.win - cfg.cycle) // cfg.hop
         for lp in LOOPS:
             for s in FIT_SUMS:

@@ -25,15 +25,10 @@ def z0() -> Cx:
     return Cx("z0r", "z0x")
 
 
-def attach(df: DataFrame, params: DataFrame, keys: list[str], salt: str | None = None,
-           salts: int = 8) -> DataFrame:
+def attach(df: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
     """Join a parameter dimension.
 
     No broadcast hint: Spark broadcasts the side only if its measured size is
-    under the session threshold. Beyond that, ``salt`` (a block number) spreads
-    a hot line over ``salts`` shuffle keys.
+    under the session threshold, and splits a hot line's partition beyond it.
     """
-    if salt is None:
-        return df.join(params, keys)
-    dim = params.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    return df.withColumn("_salt", F.pmod(F.col(salt), F.lit(salts)).cast("int")).join(dim, [*keys, "_salt"]).drop("_salt")
+    return df.join(params, keys)

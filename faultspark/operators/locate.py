@@ -14,7 +14,7 @@ from faultspark.functions.cplx import neg_seq, wrap_angle
 from faultspark.operators import lines, signal, two_ended, windows
 from faultspark.operators.blocks import halo_blocks, owned_samples, touched_samples
 from faultspark.operators.features import CURRENT_FLOOR, DENOMINATOR_FLOOR, GROUND, LOOPS, ROTATION
-from faultspark.operators.numbering import first_k, quantiles
+from faultspark.operators.numbering import column_quantiles, first_k, quantiles
 
 METHODS = ["R", "T", "T2", "MT", "E"]
 
@@ -53,24 +53,15 @@ def window_context(samples: DataFrame, wins: DataFrame, params: DataFrame, keys:
                    cfg: SignalConfig) -> DataFrame:
     """Last-cycle and pre-fault phasors of both ends for the wanted windows.
 
-    ``wins`` has (keys, win_end, nf, ...). The remote end may be missing; its
-    columns are then NULL.
+    ``wins`` has (keys, win_end, nf, ...). Columns of what is missing are NULL:
+    the remote end, or the pre-fault cycle of an early fault. Each set of
+    phasors takes one grouped pass over the samples of both ends.
     """
-    kt = [*keys, "term"]
-    ph = two_ended.window_phasors(touched_samples(samples, wins, keys, cfg), kt, signal.CHANNELS, cfg)
-    eps = wins.select(*keys, "nf").distinct()
-    starts = eps.select(*keys, (F.col("nf") - cfg.memory_gap - cfg.cycle).alias("pre"),
-                        F.explode(F.array(F.lit(0), F.lit(1))).alias("term"))
-    pre = windows.reference_cycle(samples, starts, kt, signal.CHANNELS, cfg, "p_")
-
-    def side(df: DataFrame, term: int, tag: str, at: list[str]) -> DataFrame:
-        cols = [c for c in df.columns if c not in (*kt, *at)]
-        return df.where(F.col("term") == term).select(*keys, *at, *[F.col(c).alias(f"{tag}_{c}") for c in cols])
-
-    df = wins.join(side(ph, 0, "s", ["win_end"]), [*keys, "win_end"])
-    df = df.join(side(ph, 1, "r", ["win_end"]), [*keys, "win_end"], "left")
-    df = df.join(side(pre, 0, "s", []), keys).join(side(pre, 1, "r", []), keys, "left")
-    return df.join(params, keys)
+    ph = two_ended.both_phasors(touched_samples(samples, wins, keys, cfg), keys, signal.CHANNELS, cfg)
+    starts = wins.select(*keys, (F.col("nf") - cfg.memory_gap - cfg.cycle).alias("pre")).distinct()
+    pre = two_ended.both_cycles(samples, starts, keys, signal.CHANNELS, cfg, "p_")
+    df = wins.join(ph, [*keys, "win_end"]).withColumn("pre", F.col("nf") - cfg.memory_gap - cfg.cycle)
+    return df.join(pre, [*keys, "pre"], "left").drop("pre").join(params, keys)
 
 
 def loop_context(df: DataFrame) -> DataFrame:
@@ -303,8 +294,7 @@ def identify_impedance(per_episode: DataFrame, nameplate: DataFrame, line: list[
 
 def median_impedance(per_episode: DataFrame, line: list[str]) -> DataFrame:
     """Median over all episodes of a line, real and imaginary part."""
-    re = quantiles(per_episode, line, "z_re", {"z_re": 0.5})
-    return re.join(quantiles(per_episode, line, "z_im", {"z_im": 0.5}), line)
+    return column_quantiles(per_episode, line, {"z_re": {"z_re": 0.5}, "z_im": {"z_im": 0.5}})
 
 
 def compare_impedance(identified: DataFrame, nameplate: DataFrame, line: list[str]) -> DataFrame:
@@ -341,6 +331,6 @@ def orientation_check(df: DataFrame, by: list[str], est: str, y: str) -> DataFra
                                (F.avg(F.abs(v - (1 - F.col(y)))) * 100).alias("mae_reversed"))
 
 
-def bolted(df: DataFrame) -> Column:
+def bolted(max_ohm: float = 1.0) -> Column:
     """Near-zero fault resistance, no transient type, late window."""
-    return (F.col("r_f") <= 1) & ~is_transient(F.col("etype")) & (F.col("post_ms") >= 25)
+    return (F.col("r_f") <= max_ohm) & ~is_transient(F.col("etype")) & (F.col("post_ms") >= 25)

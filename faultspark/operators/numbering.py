@@ -1,9 +1,10 @@
 """Ranks, running totals and exact quantiles without one-task groups.
 
 A plain ``row_number`` or ``percentile`` brings a whole group to one task. Here
-a group that is too large is cut into value buckets; the bucket totals (a small
-table) are accumulated in two levels, and only rows of one bucket are ever
-ordered together. Results are exact, and a group may hold most of the table.
+every group is cut into value buckets; the bucket totals (a small table) are
+accumulated in two levels, and only rows of one bucket are ever ordered
+together. Results are exact, and a group may hold most of the table. NULL is a
+group key like any other value.
 """
 
 from __future__ import annotations
@@ -13,8 +14,6 @@ from pyspark.sql import functions as F
 
 #: Buckets per super-bucket in the two-level accumulation.
 FAN = 4096
-#: Groups above this many rows are ordered bucket by bucket.
-HOT_ROWS = 1_000_000
 #: Value buckets per factor of two in :func:`magnitude_bucket`.
 PER_OCTAVE = 4096
 
@@ -25,49 +24,48 @@ def magnitude_bucket(x: Column, per_octave: int = PER_OCTAVE) -> Column:
     return F.when(x < 0, -size).otherwise(size).cast("bigint")
 
 
+def group_key(keys: list[str]) -> dict[str, Column]:
+    """One key column for joins and windows; structs are equal when their NULL fields are."""
+    return {"__key": F.struct(*keys)} if keys else {}
+
+
+def join_groups(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; ``keys`` must not be empty."""
+    return (df.withColumns(group_key(keys)).join(other.withColumns(group_key(keys)).drop(*keys), "__key", how).drop("__key"))
+
+
 def prefix_sum(df: DataFrame, keys: list[str], order: list, weight: Column,
-               bucket: Column, out: str = "before", fan: int = FAN, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add the sum of ``weight`` over the earlier rows of the same group.
+               bucket: Column, out: str = "before", fan: int = FAN, total: str | None = None) -> DataFrame:
+    """Add the sum of ``weight`` over the earlier rows of the same group, and its ``total`` if named.
 
     ``bucket`` must not decrease along ``order``; the order must be total for
-    the result to be unique. Groups up to ``hot_rows`` rows are ordered whole,
-    larger ones per bucket with the totals of earlier buckets added.
+    the result to be unique. ``keys`` may be empty. Rows are dealt by (group,
+    bucket) once, for the join with the bucket's offset and for the ordering.
     """
-    # The list of hot groups has at most rows / hot_rows entries, so it can be
-    # broadcast at any scale: a million entries for 10**12 rows.
-    hot = F.broadcast(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__cnt")).where(F.col("__cnt") > hot_rows)
-                      .select(*keys, F.lit(True).alias("__hot")))
-    rows = df.withColumns({"__bkt": bucket.cast("bigint"), "__wgt": weight})
-    totals = (rows.join(hot, keys).groupBy(*keys, "__bkt").agg(F.sum("__wgt").alias("__bw"))
+    key = list(group_key(keys))
+    rows = df.withColumns({**group_key(keys), "__bkt": bucket.cast("bigint"), "__wgt": weight})
+    totals = (rows.groupBy(*key, "__bkt").agg(F.sum("__wgt").alias("__bw"))
               .withColumn("__sup", F.floor(F.col("__bkt") / fan)))
-    supers = totals.groupBy(*keys, "__sup").agg(F.sum("__bw").alias("__sw"))
     zero = F.lit(0)
     earlier = (Window.unboundedPreceding, -1)
-    ws = Window.partitionBy(*keys).orderBy("__sup").rowsBetween(*earlier)
-    wb = Window.partitionBy(*keys, "__sup").orderBy("__bkt").rowsBetween(*earlier)
-    offsets = (
-        totals.join(
-            supers.withColumn("__so", F.coalesce(F.sum("__sw").over(ws), zero)).drop("__sw"),
-            [*keys, "__sup"])
-        .withColumn("__off", F.col("__so") + F.coalesce(F.sum("__bw").over(wb), zero))
-        .select(*keys, "__bkt", "__off")
-    )
-    # Rows meet their offsets on the key the ordering needs anyway.
-    placed = rows.join(hot, keys, "left").withColumn("__bkt", F.when(F.col("__hot"), F.col("__bkt")).otherwise(F.lit(-1)))
-    wr = Window.partitionBy(*keys, "__bkt").orderBy(*order).rowsBetween(*earlier)
-    return (placed.join(offsets, [*keys, "__bkt"], "left")
-            .withColumn(out, F.coalesce(F.col("__off"), zero) + F.coalesce(F.sum("__wgt").over(wr), zero))
-            .drop("__bkt", "__wgt", "__off", "__hot"))
+    whole = Window.partitionBy(*key)
+    supers = totals.groupBy(*key, "__sup").agg(F.sum("__bw").alias("__sw")).select(
+        *key, "__sup", F.coalesce(F.sum("__sw").over(whole.orderBy("__sup").rowsBetween(*earlier)), zero).alias("__so"),
+        F.sum("__sw").over(whole).alias("__all"))
+    wb = Window.partitionBy(*key, "__sup").orderBy("__bkt").rowsBetween(*earlier)
+    offsets = totals.join(supers, [*key, "__sup"]).select(
+        *key, "__bkt", (F.col("__so") + F.coalesce(F.sum("__bw").over(wb), zero)).alias("__off"), "__all")
+    wr = Window.partitionBy(*key, "__bkt").orderBy(*order).rowsBetween(*earlier)
+    done = rows.join(offsets, [*key, "__bkt"]).withColumn(out, F.col("__off") + F.coalesce(F.sum("__wgt").over(wr), zero))
+    if total:
+        done = done.withColumn(total, F.col("__all"))
+    return done.drop(*key, "__bkt", "__wgt", "__off", "__all")
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list, bucket: Column,
-                out: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Zero-based position of every row in its group."""
-    return prefix_sum(df, keys, order, F.lit(1).cast("bigint"), bucket, out, hot_rows=hot_rows)
-
-
-def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
-    return (df, keys) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
+                out: str = "n", total: str | None = None) -> DataFrame:
+    """Zero-based position of every row in its group, and the group's size if ``total`` is named."""
+    return prefix_sum(df, keys, order, F.lit(1).cast("bigint"), bucket, out, total=total)
 
 
 def value_counts(df: DataFrame, keys: list[str], x: str) -> DataFrame:
@@ -84,11 +82,10 @@ def quantiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, float],
     One pass counts values per bucket; only the buckets that hold a wanted
     rank are then ordered.
     """
-    out_keys = keys
-    df, keys = _keyed(df, keys)
-    v = value_counts(df, keys, x).withColumn("_b", magnitude_bucket(F.col("x"), per_octave))
-    per_bucket = v.groupBy(*keys, "_b").agg(F.sum("w").alias("_bw"))
-    w_key = Window.partitionBy(*keys)
+    key = list(group_key(keys))
+    v = value_counts(df, keys, x).withColumns({"_b": magnitude_bucket(F.col("x"), per_octave), **group_key(keys)})
+    per_bucket = v.groupBy(*key, "_b").agg(F.sum("w").alias("_bw"))
+    w_key = Window.partitionBy(*key)
     ranked = per_bucket.withColumns({
         "_n": F.sum("_bw").over(w_key),
         "_o": F.coalesce(
@@ -105,9 +102,9 @@ def quantiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, float],
     targets = (ranked
                .withColumn("_want", F.filter(F.array(*wanted), hit(F.col("_o"), F.col("_bw"))))
                .where(F.size("_want") > 0)
-               .select(*keys, "_b", "_o", "_want"))
-    w_in = Window.partitionBy(*keys, "_b").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    found = (v.join(targets, [*keys, "_b"])
+               .select(*key, "_b", "_o", "_want"))
+    w_in = Window.partitionBy(*key, "_b").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    found = (v.join(targets, [*key, "_b"])
              .withColumn("_at", F.col("_o") + F.coalesce(F.sum("w").over(w_in), F.lit(0)))
              .select(*keys, "x", F.explode(F.filter("_want", hit(F.col("_at"), F.col("w")))).alias("_t")))
     pick = lambda n, s: F.max(F.when((F.col("_t.name") == n) & (F.col("_t.side") == s), F.col("x")))
@@ -115,38 +112,31 @@ def quantiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, float],
     for name in probs:
         t = F.max(F.when(F.col("_t.name") == name, F.col("_t.t")))
         aggs.append((pick(name, "lo") + (pick(name, "hi") - pick(name, "lo")) * t).alias(name))
-    return found.groupBy(*keys).agg(*aggs).select(*out_keys, *probs)
+    return found.groupBy(*keys).agg(*aggs).select(*keys, *probs)
 
 
 def column_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, dict[str, float]]) -> DataFrame:
     """Quantiles of several columns in one pass: {column: {output: prob}}."""
     cells = [F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in wanted]
-    keyed, ks = _keyed(df, keys)
-    long = keyed.select(*ks, F.inline(F.array(*cells)))
+    long = df.select(*keys, F.inline(F.array(*cells)))
     probs = {f"_q{p}": p for p in sorted({p for w in wanted.values() for p in w.values()})}
-    q = quantiles(long, [*ks, "_c"], "_v", {n.replace(".", "_"): p for n, p in probs.items()})
+    q = quantiles(long, [*keys, "_c"], "_v", {n.replace(".", "_"): p for n, p in probs.items()})
     aggs = [F.max(F.when(F.col("_c") == c, F.col(f"_q{p}".replace(".", "_")))).alias(name)
             for c, w in wanted.items() for name, p in w.items()]
     names = [name for w in wanted.values() for name in w]
-    return q.groupBy(*ks).agg(*aggs).select(*keys, *names)
+    return q.groupBy(*keys).agg(*aggs).select(*keys, *names)
 
 
 def ecdf(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """Empirical distribution: one row per distinct value and group."""
-    out_keys = keys
-    df, keys = _keyed(df, keys)
-    v = value_counts(df, keys, x)
-    total = v.groupBy(*keys).agg(F.sum("w").alias("n"))
-    run = prefix_sum(v, keys, ["x"], F.col("w"), magnitude_bucket(F.col("x")))
-    return (run.join(total, keys)
-            .select(*out_keys, F.col("x").alias(x), F.col("w").alias("n_at"),
-                    ((F.col("before") + F.col("w")) / F.col("n")).alias("ecdf")))
+    run = prefix_sum(value_counts(df, keys, x), keys, ["x"], F.col("w"), magnitude_bucket(F.col("x")), total="n")
+    return run.select(*keys, F.col("x").alias(x), F.col("w").alias("n_at"),
+                      ((F.col("before") + F.col("w")) / F.col("n")).alias("ecdf"))
 
 
 def group_codes(df: DataFrame, col: str, bucket: Column, out: str = "code") -> DataFrame:
     """Dense zero-based code of each distinct value, in value order."""
-    return number_rows(df.select(col).where(F.col(col).isNotNull()).distinct()
-                       .withColumn("_all", F.lit(0)), ["_all"], [col], bucket, out).drop("_all")
+    return number_rows(df.select(col).where(F.col(col).isNotNull()).distinct(), [], [col], bucket, out)
 
 
 def first_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:

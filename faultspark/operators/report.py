@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultspark.functions.scalar import bucketise, is_incipient, is_transient, ladder, score, to_metres
-from faultspark.operators.numbering import best_row, column_quantiles, quantiles
+from faultspark.operators.numbering import best_row, column_quantiles, join_groups, quantiles
 
 # --- fixed bin edges of the reports -------------------------------------------
 TIME_EDGES = [0.0, 17.5, 32.5, 52.5, float("inf")]
@@ -36,8 +36,9 @@ def share(cond: Column) -> Column:
 def with_quantiles(agg: DataFrame, df: DataFrame, by: list[str], x: str, probs: dict[str, float]) -> DataFrame:
     q = quantiles(df, by, x, probs)
     if by:
-        return agg.join(q, by, "left")
-    return agg.withColumns({k: q.select(k).scalar() for k in probs})
+        return join_groups(agg, q, by, "left")
+    row = agg.withColumn("_row", q.select(F.struct(*probs)).scalar())
+    return row.withColumns({k: F.col(f"_row.{k}") for k in probs}).drop("_row")
 
 
 def summary(df: DataFrame, by: list[str], err: str = "e", episode: str = "sim_idx",

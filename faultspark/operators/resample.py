@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultspark.functions.draws import hash64, index_draw
-from faultspark.operators.numbering import number_rows, quantiles
+from faultspark.operators.numbering import join_groups, number_rows, quantiles
 
 #: Episodes per multinomial bucket.
 BUCKET = 2048
@@ -21,11 +21,7 @@ def episode_sums(df: DataFrame, by: list[str], episode: str, errors: dict[str, C
 
 def indexed(sums: DataFrame, by: list[str], episode: str, width: int = 4096) -> DataFrame:
     """Zero-based episode index and episode count per group."""
-    keyed, keys = (sums, by) if by else (sums.withColumn("_all", F.lit(0)), ["_all"])
-    idx = number_rows(keyed, keys, [episode], F.floor(F.col(episode) / width), "idx")
-    total = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_ep"))
-    out = idx.join(total, keys)
-    return out if by else out.drop("_all")
+    return number_rows(sums, by, [episode], F.floor(F.col(episode) / width), "idx", total="n_ep")
 
 
 def hash_replicates(df: DataFrame, by: list[str], episode: str, errors: dict[str, Column], b: int,
@@ -133,19 +129,17 @@ def paired_reduction(df: DataFrame, by: list[str], episode: str, ours: Column, b
 
 def _join_by(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     if by:
-        return a.join(b, by)
-    return a.withColumns({c: b.select(c).scalar() for c in b.columns})
+        return join_groups(a, b, by)
+    row = a.withColumn("_row", b.select(F.struct(*b.columns)).scalar())
+    return row.withColumns({c: F.col(f"_row.{c}") for c in b.columns}).drop("_row")
 
 
 # --- grouped splits --------------------------------------------------------------
 
 def episode_ranks(df: DataFrame, episode: list[str], seed: int) -> DataFrame:
     """Distinct episodes with a random but reproducible rank and their count."""
-    ids = df.select(*episode).distinct().withColumns({"_h": hash64(seed, *[F.col(e) for e in episode]), "_all": F.lit(0)})
-    top = F.shiftright("_h", 44)
-    ranked = number_rows(ids, ["_all"], ["_h", *episode], top, "_rank")
-    total = ids.groupBy("_all").agg(F.count(F.lit(1)).alias("_n"))
-    return ranked.join(total, "_all").drop("_all", "_h")
+    ids = df.select(*episode).distinct().withColumn("_h", hash64(seed, *[F.col(e) for e in episode]))
+    return number_rows(ids, [], ["_h", *episode], F.shiftright("_h", 44), "_rank", total="_n").drop("_h")
 
 
 def grouped_split(df: DataFrame, episode: list[str], share: float = 0.3, seed: int = 0) -> DataFrame:

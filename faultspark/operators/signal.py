@@ -200,7 +200,3 @@ def with_scales(df: DataFrame, scales: list[tuple[str, float, float]]) -> DataFr
     cells = [F.struct(F.lit(n).alias("scale"), F.lit(float(a)).alias("scale_r"),
                       F.lit(float(b)).alias("scale_l")) for n, a, b in scales]
     return df.select("*", F.inline(F.array(*cells)))
-
-
-def clean(samples: DataFrame, cols: list[str]) -> DataFrame:
-    return samples.withColumns({c: defined(F.col(c)) for c in cols})

@@ -28,28 +28,10 @@ def ratio(num: Column, den: Column) -> Column:
     return num / (den + 1e-12)
 
 
-def td_estimate(samples: DataFrame, params: DataFrame, keys: list[str], cfg: SignalConfig,
-                deriv: str = "quadratic") -> DataFrame:
-    """Time-domain location per window: sum(u*w) / sum(w*w) over both modes."""
-    part = [*keys, "blk"]
-    modal = lines.attach(modal_samples(samples, keys, cfg, deriv), params, keys, salt="blk")
-    uw = signal.modal_uw(modal, F.col("z1r"), F.col("z1x") / cfg.omega)
-    c = F.col
-    num = sum((c(f"u_{m}") * c(f"w_{m}") for m in signal.MODES[1:]), c("u_al") * c("w_al"))
-    den = sum((c(f"w_{m}") * c(f"w_{m}") for m in signal.MODES[1:]), c("w_al") * c("w_al"))
-    uw = uw.select(*part, "n", num.alias("_uw"), den.alias("_ww"))
-    panes = windows.pane_table(uw, part, {"uw": F.sum("_uw"), "ww": F.sum("_ww")}, cfg, require=c("_uw"))
-    k = cfg.win_panes - 1
-    rolled = windows.roll_panes(panes, part, {"uw": ("sum", "uw", -k, 0), "ww": ("sum", "ww", -k, 0)}, cfg, blk="blk")
-    return rolled.withColumn("td_est", ratio(c("uw"), c("ww")))
-
+def td_sums(samples: DataFrame, keys: list[str], cfg: SignalConfig, deriv: str = "quadratic") -> DataFrame:
+    """Window sums of the products of u's and w's parts, free of R and L: (keys, win_end, sums).
 
-def td_scale_sweep(samples: DataFrame, params: DataFrame, keys: list[str], cfg: SignalConfig,
-                   scales: list[tuple[str, float, float]], deriv: str = "quadratic") -> DataFrame:
-    """Estimates under scaled R and L from one pass over the samples.
-
-    u and w are linear in (R, L): the window keeps the products of their
-    parts, and every scale is a projection on windows.
+    u and w are linear in (R, L), so parameters meet windows, not samples.
     """
     part = [*keys, "blk"]
     c = F.col
@@ -66,13 +48,31 @@ def td_scale_sweep(samples: DataFrame, params: DataFrame, keys: list[str], cfg:
     flat = df.select(*part, "n", *[sum(v[1:], v[0]).alias(k) for k, v in prods.items()])
     panes = windows.pane_table(flat, part, {k: F.sum(k) for k in prods}, cfg, require=c("ird_isd"))
     k = cfg.win_panes - 1
-    win = windows.roll_panes(panes, part, {p: ("sum", p, -k, 0) for p in prods}, cfg, blk="blk")
-    win = signal.with_scales(win.join(params, keys), scales)
-    r, l_h = c("z1r") * c("scale_r"), c("z1x") / cfg.omega * c("scale_l")
+    return windows.roll_panes(panes, part, {p: ("sum", p, -k, 0) for p in prods}, cfg, blk="blk")
+
+
+def td_project(sums: DataFrame, r: Column, l_h: Column) -> DataFrame:
+    """Add uw, ww and td_est = sum(u*w) / sum(w*w) for the resistance and inductance of each row."""
+    c = F.col
     num = (r * c("dv_is") + l_h * c("dv_isd") + r * r * c("ir_is") + r * l_h * (c("ir_isd") + c("ird_is"))
            + l_h * l_h * c("ird_isd"))
     den = r * r * c("bb") + r * l_h * c("bd") * 2.0 + l_h * l_h * c("dd")
-    return win.select(*keys, "win_end", "scale", ratio(num, den).alias("td_est"))
+    return sums.withColumns({"uw": num, "ww": den}).withColumn("td_est", ratio(c("uw"), c("ww")))
+
+
+def td_estimate(samples: DataFrame, params: DataFrame, keys: list[str], cfg: SignalConfig,
+                deriv: str = "quadratic") -> DataFrame:
+    """Time-domain location per window: sum(u*w) / sum(w*w) over both modes."""
+    win = td_sums(samples, keys, cfg, deriv).join(params, keys)
+    return td_project(win, F.col("z1r"), F.col("z1x") / cfg.omega).select(*keys, "win_end", "uw", "ww", "td_est")
+
+
+def td_scale_sweep(samples: DataFrame, params: DataFrame, keys: list[str], cfg: SignalConfig,
+                   scales: list[tuple[str, float, float]], deriv: str = "quadratic") -> DataFrame:
+    """Estimates under scaled R and L from one pass over the samples."""
+    win = signal.with_scales(td_sums(samples, keys, cfg, deriv).join(params, keys), scales)
+    c = F.col
+    return td_project(win, c("z1r") * c("scale_r"), c("z1x") / cfg.omega * c("scale_l")).select(*keys, "win_end", "scale", "td_est")
 
 
 def window_phasors(samples: DataFrame, keys: list[str], cols: list[str], cfg: SignalConfig,
@@ -87,12 +87,53 @@ def window_phasors(samples: DataFrame, keys: list[str], cols: list[str], cfg: Si
     return windows.roll_panes(panes, part, specs, cfg)
 
 
-def both_ends(phasors: DataFrame, keys: list[str], at: list[str], term: str = "term") -> DataFrame:
-    """Local and remote rows side by side: ``s_`` and ``r_`` columns."""
-    cols = [c for c in phasors.columns if c not in (*keys, *at, term)]
-    s = phasors.where(F.col(term) == 0).select(*keys, *at, *[F.col(c).alias(f"s_{c}") for c in cols])
-    r = phasors.where(F.col(term) == 1).select(*keys, *at, *[F.col(c).alias(f"r_{c}") for c in cols])
-    return s.join(r, [*keys, *at])
+def end_sums(cols: list[str], cfg: SignalConfig, term: str = "term") -> dict[str, Column]:
+    """Phasor sums of both ends in one aggregate: ``s_`` and ``r_`` columns, and the remote end's samples."""
+    g = 2.0 / cfg.cycle
+    out = {"_remote": F.expr(f"count_if({term} = 1)")}
+    for t, tag in ((0, "s"), (1, "r")):
+        for c in cols:
+            out[f"{tag}_{c}_c"] = F.expr(f"sum(CASE WHEN {term} = {t} THEN {c} * _cos END) * {g!r}D")
+            out[f"{tag}_{c}_s"] = F.expr(f"sum(CASE WHEN {term} = {t} THEN {c} * _sin END) * {-g!r}D")
+    return out
+
+
+def both_phasors(samples: DataFrame, keys: list[str], cols: list[str], cfg: SignalConfig, term: str = "term") -> DataFrame:
+    """Last-cycle phasors of both ends per window: ``s_l_`` and ``r_l_`` columns.
+
+    The local end must have the whole window; without the whole remote window
+    the ``r_`` columns are NULL.
+    """
+    local = F.when(F.col(term) == 0, F.lit(1))
+    panes = windows.pane_table(windows.with_dft_terms(samples, cfg), keys, end_sums(cols, cfg, term), cfg, require=local)
+    lo = -(cfg.cycle_panes - 1)
+    specs = {"_remote": ("sum", "_remote", -(cfg.win_panes - 1), 0)}
+    for tag in "sr":
+        for c in cols:
+            specs[f"{tag}_l_{c}_re"] = ("sum", f"{tag}_{c}_c", lo, 0)
+            specs[f"{tag}_l_{c}_im"] = ("sum", f"{tag}_{c}_s", lo, 0)
+    rolled = windows.roll_panes(panes, keys, specs, cfg)
+    whole = F.col("_remote") == cfg.win
+    return rolled.select(*keys, "win_end", *[F.when(whole, F.col(k)).alias(k) if k.startswith("r_") else k for k in specs if k != "_remote"])
+
+
+def both_cycles(samples: DataFrame, starts: DataFrame, keys: list[str], cols: list[str], cfg: SignalConfig,
+                prefix: str, term: str = "term") -> DataFrame:
+    """Phasors of both ends over the cycle from ``pre`` on: (keys, pre, ``s_`` and ``r_`` columns).
+
+    An end without the whole cycle has NULLs.
+    """
+    want = starts.select(*keys, "pre").distinct().select("*", F.explode(F.sequence(
+        F.floor(F.col("pre") / cfg.cycle), F.floor((F.col("pre") + cfg.cycle - 1) / cfg.cycle))).alias("_slot"))
+    hit = (samples.withColumn("_slot", F.floor(F.col("n") / cfg.cycle)).join(want, [*keys, "_slot"])
+           .where((F.col("n") >= F.col("pre")) & (F.col("n") < F.col("pre") + cfg.cycle)))
+    sums = windows.with_dft_terms(hit, cfg).groupBy(*keys, "pre").agg(
+        *[a.alias(k) for k, a in end_sums(cols, cfg, term).items()], F.count(F.lit(1)).alias("_all"))
+    out = []
+    for tag, have in (("s", F.col("_all") - F.col("_remote")), ("r", F.col("_remote"))):
+        for c in cols:
+            out += [F.when(have == cfg.cycle, F.col(f"{tag}_{c}_{a}")).alias(f"{tag}_{prefix}{c}_{b}") for a, b in (("c", "re"), ("s", "im"))]
+    return sums.select(*keys, "pre", *out)
 
 
 def seq1(prefix: str, kind: str) -> Cx:
@@ -107,8 +148,7 @@ def phasor_ratio(vs: Cx, is_: Cx, vr: Cx, ir: Cx, z: Cx) -> tuple[Cx, Cx]:
 
 def phasor_estimate(samples: DataFrame, params: DataFrame, keys: list[str], cfg: SignalConfig) -> DataFrame:
     """Nameplate-Z phasor location on the last cycle; NULL if |den| <= 1e-9."""
-    ph = window_phasors(samples, [*keys, "term"], signal.CHANNELS, cfg)
-    df = both_ends(ph, keys, ["win_end"]).join(params, keys)
+    df = both_phasors(samples, keys, signal.CHANNELS, cfg).where(F.col("r_l_ia_re").isNotNull()).join(params, keys)
     z = lines.z1()
     num, den = phasor_ratio(seq1("s_l_", "v"), seq1("s_l_", "i"), seq1("r_l_", "v"), seq1("r_l_", "i"), z)
     df = df.withColumns({"_nr": num.re, "_ni": num.im, "_dr": den.re, "_di": den.im})
@@ -124,13 +164,15 @@ def episode_locator(samples: DataFrame, episodes: DataFrame, keys: list[str], cf
     inception, the fault cycle ``skip_cycles`` after it.
     """
     cols = signal.CHANNELS
-    kt = [*keys, "term"]
-    ends = episodes.select(*keys, "nf", F.explode(F.array(F.lit(0), F.lit(1))).alias("term"))
-    pre = ends.withColumn("pre", F.col("nf") - 2 * cfg.cycle)
-    post = ends.withColumn("pre", F.col("nf") + int(round(skip_cycles * cfg.cycle)))
-    p = windows.reference_cycle(samples, pre, kt, cols, cfg, "p_")
-    f = windows.reference_cycle(samples, post, kt, cols, cfg, "f_")
-    df = both_ends(p.join(f, kt), keys, [])
+    before, after = -2 * cfg.cycle, int(round(skip_cycles * cfg.cycle))
+    starts = episodes.select(*keys, F.explode(F.array(F.col("nf") + before, F.col("nf") + after)).alias("pre"))
+    both = both_cycles(samples, starts, keys, cols, cfg, "c_")
+    df = episodes.select(*keys, "nf").distinct()
+    for shift, tag in ((before, "p"), (after, "f")):
+        side = both.where(F.col("s_c_ia_re").isNotNull() & F.col("r_c_ia_re").isNotNull()).select(
+            *keys, (F.col("pre") - shift).alias("nf"),
+            *[F.col(f"{t}_c_{c}_{x}").alias(f"{t}_{tag}_{c}_{x}") for t in "sr" for c in cols for x in ("re", "im")])
+        df = df.join(side, [*keys, "nf"])
     q = {}
     for t in "sr":
         for st in "pf":

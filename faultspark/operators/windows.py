@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from faultspark.config import SignalConfig
 from faultspark.functions.scalar import floor_sample, half_even_sample, is_incipient
-from faultspark.operators.blocks import halo_blocks, owned_windows
+from faultspark.operators.blocks import owned_windows
 
 
 # --- which windows are wanted (computed from labels alone) -------------------
@@ -32,12 +32,18 @@ def active_length(cfg: SignalConfig) -> Column:
     return F.when(is_incipient(F.col("etype")), F.floor(F.col("duration") * cfg.fs)).otherwise(cfg.active_len)
 
 
-def overlap_windows(episodes: DataFrame, cfg: SignalConfig, n_samples: Column | None = None) -> DataFrame:
+def record_lengths(samples: DataFrame, keys: list[str], out: str = "n_samples") -> DataFrame:
+    """Number of samples per record, counted from index zero."""
+    return samples.groupBy(*keys).agg((F.max("n") + 1).cast("int").alias(out))
+
+
+def overlap_windows(episodes: DataFrame, cfg: SignalConfig, length: str = "n_samples") -> DataFrame:
     """Hop-aligned windows that overlap the active part of each episode.
 
-    Only the index range that can qualify is generated.
+    Only the index range that can qualify is generated; column ``length`` is
+    the number of samples of the episode's record.
     """
-    total = F.lit(cfg.n_samples) if n_samples is None else n_samples
+    total = F.col(length)
     nf = F.col("nf")
     end = F.col("win_end")
     first = F.greatest(F.lit(0), F.floor((nf - cfg.win) / cfg.hop))
@@ -52,10 +58,10 @@ def overlap_windows(episodes: DataFrame, cfg: SignalConfig, n_samples: Column |
             .drop("_k", "_act"))
 
 
-def hop_windows(episodes: DataFrame, cfg: SignalConfig, n_samples: Column | None = None,
+def hop_windows(episodes: DataFrame, cfg: SignalConfig, length: str = "n_samples",
                 incipient_s: float = 0.005) -> DataFrame:
-    """Start-indexed windows, active for a fixed time or to the record end."""
-    total = F.lit(cfg.n_samples) if n_samples is None else n_samples
+    """Start-indexed windows, active for a fixed time or to the record end (column ``length``)."""
+    total = F.col(length)
     nf = F.col("nf")
     dur = F.when(is_incipient(F.col("etype")), int(round(incipient_s * cfg.fs))).otherwise(int(10 * cfg.fs))
     return (episodes.withColumn("nf", half_even_sample(F.col("event_start"), cfg.t0, cfg.fs))
@@ -124,11 +130,6 @@ def roll_panes(panes: DataFrame, part: list[str], specs: dict[str, tuple], cfg:
     return rolled.select(*[p for p in part if p != blk], "win_end", *specs)
 
 
-def blocked_panes(samples: DataFrame, keys: list[str], cfg: SignalConfig) -> DataFrame:
-    """Samples in halo blocks, ready for block-local windows."""
-    return halo_blocks(samples, cfg)
-
-
 def assign_samples(samples: DataFrame, windows: DataFrame, keys: list[str], cfg: SignalConfig) -> DataFrame:
     """Pair every window with its samples, for ends at arbitrary positions.
 
@@ -178,23 +179,24 @@ def with_dft_terms(df: DataFrame, cfg: SignalConfig) -> DataFrame:
 
 def reference_cycle(samples: DataFrame, starts: DataFrame, keys: list[str], cols: list[str],
                     cfg: SignalConfig, prefix: str = "pre_") -> DataFrame:
-    """Phasors of one cycle per episode, starting at column ``pre`` of ``starts``.
+    """Phasors of one cycle per start, at column ``pre`` of ``starts``: (keys, pre, phasors).
 
     The cycle touches at most two cycle-length slots, so the join is on
     (record, slot): a long record neither meets one task nor is read past its
-    two slots. Episodes with an incomplete cycle are left out.
+    two slots. A record may have several starts. A start without a complete
+    cycle has no row.
     """
-    want = starts.select(*keys, "pre").select("*", F.explode(F.sequence(
+    want = starts.select(*keys, "pre").distinct().select("*", F.explode(F.sequence(
         F.floor(F.col("pre") / cfg.cycle), F.floor((F.col("pre") + cfg.cycle - 1) / cfg.cycle))).alias("_slot"))
     hit = (samples.withColumn("_slot", F.floor(F.col("n") / cfg.cycle))
            .join(want, [*keys, "_slot"])
            .where((F.col("n") >= F.col("pre")) & (F.col("n") < F.col("pre") + cfg.cycle)))
-    sums = with_dft_terms(hit, cfg).groupBy(*keys).agg(
+    sums = with_dft_terms(hit, cfg).groupBy(*keys, "pre").agg(
         *[a.alias(k) for k, a in dft_sums(cols, cfg).items()], F.count(F.lit(1)).alias("_cnt"))
     out = []
     for c in cols:
         out += [F.col(f"{c}_c").alias(f"{prefix}{c}_re"), F.col(f"{c}_s").alias(f"{prefix}{c}_im")]
-    return sums.where(F.col("_cnt") == cfg.cycle).select(*keys, *out)
+    return sums.where(F.col("_cnt") == cfg.cycle).select(*keys, "pre", *out)
 
 
 def raw_windows(samples: DataFrame, wanted: DataFrame, keys: list[str], cols: list[str],
@@ -208,13 +210,3 @@ def raw_windows(samples: DataFrame, wanted: DataFrame, keys: list[str], cols: li
     panes = panes.select(*keys, "pane", "_cnt", *[F.col(f"_p.{c}").cast("array<float>").alias(c) for c in cols])
     specs = {c: ("join", c, -(cfg.win_panes - 1), 0) for c in cols}
     return wanted.join(roll_panes(panes, keys, specs, cfg), [*keys, "win_end"])
-
-
-def collect_windows(records: DataFrame, windows: DataFrame, keys: list[str], cols: list[str],
-                    cfg: SignalConfig, narrow: bool = True) -> DataFrame:
-    """Raw window arrays sliced from per-record channel arrays."""
-    kind = "array<float>" if narrow else "array<double>"
-    return (windows.join(records, keys)
-            .where((F.col("win_end") >= cfg.win) & (F.col("win_end") <= F.size(cols[0])))
-            .withColumns({c: F.slice(F.col(c), F.col("win_end") - cfg.win + 1, cfg.win).cast(kind)
-                          for c in cols}))

@@ -82,6 +82,19 @@ def episodes(spark: SparkSession, sf: str) -> DataFrame:
         F.when(m(9).isin(5, 6), 0.005 + m(4) * 0.005).alias("duration"))
 
 
+def timed_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Label table with the number of samples of each episode's own record."""
+    size = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("sim_idx")).agg(F.count(F.lit(1)).cast("int").alias("n_samples"))
+    return episodes(spark, sf).join(size, "sim_idx")
+
+
+def line_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of lines, those of their even records, with the samples that both ends have."""
+    eps = timed_episodes(spark, sf).withColumn("line", F.floor(F.col("sim_idx") / 2))
+    both = eps.groupBy("line").agg(F.min("n_samples").alias("n_samples"), F.count(F.lit(1)).alias("_ends")).where("_ends = 2")
+    return eps.where(F.pmod("sim_idx", F.lit(2)) == 0).drop("n_samples").join(both.drop("_ends"), "line")
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Per-window estimates: an order is an episode, a line item a window."""
     c = F.col

@@ -11,7 +11,7 @@ from faultspark.plans import fixtures as fx
 from faultspark.plans import sqlcx as q
 from faultspark.plans import sqlsignal as ss
 from faultspark.plans.registry import query, round_doubles
-from faultspark.plans.signal_queries import CH, EVW, LPL, OVW, line_totals, rec_totals
+from faultspark.plans.signal_queries import CH, EVW, LPL, OVW, SIZES, line_totals, rec_totals
 from faultspark.plans.sqlviews import EPISODES, LINE_PARAMS, SIG, err, r, with_views
 
 LOOP_SQL = ("CASE WHEN starts_with(etype, 'flt_1phg') THEN substr(lower(ph1), 1, 1) || 'g' "
@@ -83,7 +83,7 @@ def missing_lines(spark, sf):
 def line_windows(spark, sf):
     """Wanted windows per line; the even record's label is the line's."""
     c = F.col
-    eps = fx.episodes(spark, sf).where((F.pmod("sim_idx", F.lit(2)) == 0) & c("etype").startswith("flt_"))
+    eps = fx.timed_episodes(spark, sf).where((F.pmod("sim_idx", F.lit(2)) == 0) & c("etype").startswith("flt_"))
     w = windows.overlap_windows(eps, CFG)
     return w.select(F.floor(c("sim_idx") / 2).alias("line"), "etype", "r_f", "win_end", "nf", "post_ms",
                     features.oracle_loop(c("etype"), c("ph1"), c("ph2")).alias("loop"),
@@ -94,8 +94,9 @@ def line_windows(spark, sf):
 LWN = f"""lwn AS (SELECT e.sim_idx // 2 AS line, e.etype, e.r_f, o.win_end, o.nf, o.post_ms, {LOOP_SQL.replace('etype', 'e.etype')} AS loop,
   e.etype = 'flt_3ph_shc' AS three_ph, coalesce(location, 50) / 100.0::DOUBLE AS y
   FROM ovw o JOIN eps e ON e.sim_idx = o.sim_idx WHERE e.sim_idx % 2 = 0 AND starts_with(e.etype, 'flt_'))"""
-_PRE = f"""pp AS (SELECT s.rec, {', '.join(f"0.125::DOUBLE * sum({c} * cos(2 * pi() * (n % 16) / 16)) AS p_{c}_re, -0.125::DOUBLE * sum({c} * sin(2 * pi() * (n % 16) / 16)) AS p_{c}_im" for c in CH)}
-  FROM sig s JOIN (SELECT DISTINCT line, nf FROM lwn) e ON e.line = s.rec // 2 AND s.n >= e.nf - 18 AND s.n < e.nf - 2 GROUP BY s.rec)"""
+_PRE = f"""pp AS (SELECT s.rec, e.nf, {', '.join(f"0.125::DOUBLE * sum({c} * cos(2 * pi() * (n % 16) / 16)) AS p_{c}_re, -0.125::DOUBLE * sum({c} * sin(2 * pi() * (n % 16) / 16)) AS p_{c}_im" for c in CH)}
+  FROM sig s JOIN (SELECT DISTINCT line, nf FROM lwn) e ON e.line = s.rec // 2 AND s.n >= e.nf - 18 AND s.n < e.nf - 2
+  GROUP BY s.rec, e.nf HAVING count(*) = 16)"""
 
 
 def _side(alias: str, tag: str, st: str) -> str:
@@ -104,7 +105,7 @@ def _side(alias: str, tag: str, st: str) -> str:
 
 _CTX = f"""ctx AS (SELECT w.*, z1r, z1x, z0r, z0x, {_side('a', 's', 'l')}, {_side('b', 'r', 'l')}, {_side('pa', 's', 'p')}, {_side('pb', 'r', 'p')}
   FROM lwn w JOIN wp a ON a.rec = 2 * w.line AND a.win_end = w.win_end LEFT JOIN wp b ON b.rec = 2 * w.line + 1 AND b.win_end = w.win_end
-  JOIN pp pa ON pa.rec = 2 * w.line LEFT JOIN pp pb ON pb.rec = 2 * w.line + 1 JOIN lpl ON lpl.line = w.line)"""
+  LEFT JOIN pp pa ON pa.rec = 2 * w.line AND pa.nf = w.nf LEFT JOIN pp pb ON pb.rec = 2 * w.line + 1 AND pb.nf = w.nf JOIN lpl ON lpl.line = w.line)"""
 
 
 def _case(values: dict[str, q.S]) -> q.S:
@@ -211,8 +212,8 @@ def bolted_check(spark, sf):
 
     The stand-in labels carry resistances in steps of two ohm, hence the bound.
     """
-    from faultspark.functions.scalar import is_transient, score
-    df = classical(spark, sf).where((F.col("r_f") <= 8) & ~is_transient(F.col("etype")) & (F.col("post_ms") >= 25))
+    from faultspark.functions.scalar import score
+    df = classical(spark, sf).where(locate.bolted(8.0))
     e = df.select(*[score(F.col(m), F.col("y")).alias(f"e_{m}") for m in locate.METHODS])
     long = e.unpivot([], [f"e_{m}" for m in locate.METHODS], "method", "e")
     out = long.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("mae"), (F.avg("e") <= 3.0).alias("pass"))
@@ -274,7 +275,7 @@ FROM ft f JOIN (SELECT o.sim_idx, o.win_end, {LOOP_SQL.replace('etype', 'e.etype
 def td_one_ended(spark, sf):
     """The time-domain fit of the labelled loop, picked by column name."""
     c = F.col
-    w = windows.overlap_windows(fx.episodes(spark, sf), CFG).select(
+    w = windows.overlap_windows(fx.timed_episodes(spark, sf), CFG).select(
         c("sim_idx").alias("rec"), "win_end", features.oracle_loop(c("etype"), c("ph1"), c("ph2")).alias("loop"))
     feat = features.window_features(fx.sig(spark, sf), rec_totals(spark, sf), ["rec"], CFG, group="td", wanted=w)
     df = feat.join(w, ["rec", "win_end"])
@@ -386,14 +387,14 @@ def impedance_deviation(spark, sf):
 
 # --- staged locator --------------------------------------------------------------------------
 
-HWN = """hwn AS (SELECT sim_idx // 2 AS line, nf, CAST(4 * k + 40 AS INTEGER) AS win_end, (4 * k + 40 - nf) / 800.0::DOUBLE * 1000 AS tau_ms FROM (
-  SELECT *, CAST(round_even((event_start - 1.0) * 800, 0) AS INTEGER) AS nf, unnest(range(0, 141)) AS k FROM eps WHERE sim_idx % 2 = 0)
+HWN = f"""hwn AS (SELECT sim_idx // 2 AS line, nf, CAST(4 * k + 40 AS INTEGER) AS win_end, (4 * k + 40 - nf) / 800.0::DOUBLE * 1000 AS tau_ms FROM (
+  SELECT *, CAST(round_even((event_start - 1.0) * 800, 0) AS INTEGER) AS nf, unnest(range(0, (size - 40) // 4 + 1)) AS k FROM eps
+    JOIN (SELECT sim_idx // 2 AS line, min(size) AS size FROM {SIZES} GROUP BY 1 HAVING count(*) = 2) z ON z.line = eps.sim_idx // 2 WHERE sim_idx % 2 = 0)
   WHERE 4 * k + 40 > nf AND 4 * k < nf + CASE WHEN contains(etype, 'incipient') THEN 4 ELSE 8000 END)"""
 
 
 def staged_windows(spark, sf):
-    eps = fx.episodes(spark, sf).where(F.pmod("sim_idx", F.lit(2)) == 0).withColumn("line", F.floor(F.col("sim_idx") / 2))
-    return windows.hop_windows(eps, CFG).select("line", "nf", "win_end", "tau_ms")
+    return windows.hop_windows(fx.line_episodes(spark, sf), CFG).select("line", "nf", "win_end", "tau_ms")
 
 
 def _staged_sql() -> str:

@@ -113,7 +113,7 @@ def union_parts(spark, sf):
 SELECT v.sim_idx AS rec, v.win_end, count(*) AS size, {r('any_value(ia::FLOAT::DOUBLE) FILTER (n = win_end - 40)')} AS first_ia, {r('any_value(vb::FLOAT::DOUBLE) FILTER (n = win_end - 1)')} AS last_vb,
  {r('sum(ia::FLOAT::DOUBLE * vb::FLOAT::DOUBLE)', 5)} AS iv FROM ovw v JOIN sig s ON s.rec = v.sim_idx AND s.n >= v.win_end - 40 AND s.n < v.win_end GROUP BY 1, 2 HAVING count(*) = 40""")
 def raw_windows(spark, sf):
-    w = windows.overlap_windows(fx.episodes(spark, sf), CFG).select(c("sim_idx").alias("rec"), "win_end")
+    w = windows.overlap_windows(fx.timed_episodes(spark, sf), CFG).select(c("sim_idx").alias("rec"), "win_end")
     df = windows.raw_windows(fx.sig(spark, sf), w, ["rec"], CH, CFG)
     return round_doubles(round_iv(df.select(
         "rec", "win_end", F.size("ia").cast("bigint").alias("size"), F.get("ia", F.lit(0)).cast("double").alias("first_ia"),
@@ -128,7 +128,7 @@ def round_iv(df):
 def modal_windows(spark, sf):
     """Two-ended raw windows: u and w of both modes, per line."""
     modal = two_ended.modal_samples(fx.two_terminal(spark, sf), ["line"], CFG)
-    uw = signal.modal_uw(lines.attach(modal, line_totals(spark, sf), ["line"], salt="blk"), c("z1r"), c("z1x") / CFG.omega)
+    uw = signal.modal_uw(lines.attach(modal, line_totals(spark, sf), ["line"]), c("z1r"), c("z1x") / CFG.omega)
     uw = owned_samples(uw, CFG).select("line", "n", "u_al", "u_be", "w_al", "w_be")
     td = two_ended.td_estimate(fx.two_terminal(spark, sf), line_totals(spark, sf), ["line"], CFG)
     return windows.raw_windows(uw, td.select("line", "win_end", "td_est"), ["line"], ["u_al", "u_be", "w_al", "w_be"], CFG)
@@ -240,7 +240,7 @@ def model_ablations(spark, sf):
 @query("model_raw_window")
 def model_raw_window(spark, sf):
     """The same learner on flattened raw windows plus the line impedances."""
-    w = windows.overlap_windows(fx.episodes(spark, sf), CFG).select(c("sim_idx").alias("rec"), "win_end", "post_ms")
+    w = windows.overlap_windows(fx.timed_episodes(spark, sf), CFG).select(c("sim_idx").alias("rec"), "win_end", "post_ms")
     raw = windows.raw_windows(fx.sig(spark, sf), w, ["rec"], CH, CFG).join(rec_totals(spark, sf), "rec")
     raw = raw.withColumn("y", (F.pmod("rec", F.lit(9)) + 1) / 10.0)
     rows = materialise(model.raw_vectors(raw, CH, ["z1r", "z1x", "z0r", "z0x"]).select("rec", "win_end", "post_ms", "y", "features"))

@@ -111,9 +111,10 @@ _INC = "contains(etype, 'incipient')"
 EVW = f"""evw AS (SELECT sim_idx, etype, nf, CAST(tau AS INTEGER) AS tau, CAST(nf + round_even(tau / 1000.0::DOUBLE * 800, 0) AS INTEGER) AS win_end
  FROM (SELECT sim_idx, etype, CAST(round_even((event_start - 1.0) * 800, 0) AS INTEGER) AS nf,
        unnest(range(5, CASE WHEN {_INC} THEN 51 ELSE 81 END, 5)) AS tau FROM eps))"""
+SIZES = "(SELECT l_suppkey AS sim_idx, count(*) AS size FROM lineitem GROUP BY 1)"
 OVW = f"""ovw AS (SELECT sim_idx, etype, nf, CAST(e AS INTEGER) AS win_end, (e - nf) / 800.0::DOUBLE * 1000 AS post_ms
  FROM (SELECT sim_idx, etype, CAST(floor((event_start - 1.0) * 800) AS INTEGER) AS nf,
-         CASE WHEN {_INC} THEN floor(duration * 800) ELSE 24 END AS act, unnest(range(40, 601, 4)) AS e FROM eps)
+         CASE WHEN {_INC} THEN floor(duration * 800) ELSE 24 END AS act, unnest(range(40, size + 1, 4)) AS e FROM eps JOIN {SIZES} USING (sim_idx))
  WHERE e > nf AND e - 40 < nf + act)"""
 
 
@@ -124,16 +125,16 @@ def event_windows(spark, sf):
 
 @query("overlap_windows", f"{with_views(EPISODES, OVW)} SELECT sim_idx, nf, win_end, {r('post_ms')} AS post_ms FROM ovw")
 def overlap_windows(spark, sf):
-    df = windows.overlap_windows(fx.episodes(spark, sf), CFG).select("sim_idx", "nf", "win_end", "post_ms")
+    df = windows.overlap_windows(fx.timed_episodes(spark, sf), CFG).select("sim_idx", "nf", "win_end", "post_ms")
     return round_doubles(df)
 
 
 @query("hop_windows", f"""{with_views(EPISODES)}
 SELECT sim_idx, CAST(k AS BIGINT) AS k, {r('(4 * k + 40 - nf) / 800.0::DOUBLE * 1000')} AS tau_ms
-FROM (SELECT *, CAST(round_even((event_start - 1.0) * 800, 0) AS INTEGER) AS nf, unnest(range(0, 141)) AS k FROM eps)
+FROM (SELECT *, CAST(round_even((event_start - 1.0) * 800, 0) AS INTEGER) AS nf, unnest(range(0, (size - 40) // 4 + 1)) AS k FROM eps JOIN {SIZES} USING (sim_idx))
 WHERE 4 * k + 40 > nf AND 4 * k < nf + CASE WHEN {_INC} THEN 4 ELSE 8000 END""")
 def hop_windows(spark, sf):
-    return round_doubles(windows.hop_windows(fx.episodes(spark, sf), CFG).select("sim_idx", "k", "tau_ms"))
+    return round_doubles(windows.hop_windows(fx.timed_episodes(spark, sf), CFG).select("sim_idx", "k", "tau_ms"))
 
 
 @query("count_windows", f"""{with_views(EPISODES, OVW)}
@@ -141,7 +142,7 @@ SELECT CASE WHEN sim_idx % 10 < 7 THEN 'train' WHEN sim_idx % 10 < 8 THEN 'val'
   count(*) AS windows, count(DISTINCT sim_idx) AS episodes FROM ovw GROUP BY 1""")
 def count_windows(spark, sf):
     m = F.pmod("sim_idx", F.lit(10))
-    w = windows.overlap_windows(fx.episodes(spark, sf), CFG)
+    w = windows.overlap_windows(fx.timed_episodes(spark, sf), CFG)
     w = w.withColumn("split", F.when(m < 7, "train").when(m < 8, "val").otherwise("test"))
     return windows.count_windows(w, ["split"], ["sim_idx"])
 
@@ -150,7 +151,7 @@ def count_windows(spark, sf):
 (SELECT sim_idx, win_end, 'left_only' AS side FROM (SELECT DISTINCT sim_idx, win_end FROM evw EXCEPT SELECT sim_idx, win_end FROM ovw))
 UNION ALL (SELECT sim_idx, win_end, 'right_only' FROM (SELECT sim_idx, win_end FROM ovw EXCEPT SELECT sim_idx, win_end FROM evw))""")
 def window_set_diff(spark, sf):
-    eps = fx.episodes(spark, sf)
+    eps = fx.timed_episodes(spark, sf)
     return windows.window_set_diff(windows.event_windows(eps, CFG), windows.overlap_windows(eps, CFG), ["sim_idx", "win_end"])
 
 
@@ -212,14 +213,14 @@ def reference_cycle(spark, sf):
     from faultspark.functions.scalar import floor_sample
     starts = eps.select(F.col("sim_idx").alias("rec"),
                         (floor_sample(F.col("event_start"), CFG.t0, CFG.fs) - CFG.memory_gap - CFG.cycle).alias("pre"))
-    return round_doubles(windows.reference_cycle(fx.sig(spark, sf), starts, ["rec"], CH, CFG))
+    return round_doubles(windows.reference_cycle(fx.sig(spark, sf), starts, ["rec"], CH, CFG).drop("pre"))
 
 
 @query("exceed_flags", f"""{with_views(SIG, EPISODES, OVW)}
 SELECT v.sim_idx AS rec, v.win_end, CAST(max(abs(ia)) > 0.9::DOUBLE * max(abs(ib)) OR max(abs(va)) > 0.9::DOUBLE * max(abs(ic)) AS INTEGER) AS sat
 FROM ovw v JOIN sig s ON s.rec = v.sim_idx AND s.n >= v.win_end - 40 AND s.n < v.win_end GROUP BY 1, 2 HAVING count(*) = 40""")
 def exceed_flags(spark, sf):
-    w = windows.overlap_windows(fx.episodes(spark, sf), CFG).select(F.col("sim_idx").alias("rec"), "win_end")
+    w = windows.overlap_windows(fx.timed_episodes(spark, sf), CFG).select(F.col("sim_idx").alias("rec"), "win_end")
     return signal.exceed_flags(fx.sig(spark, sf), w, ["rec"], [("ia", "ib"), ("va", "ic")], CFG, 0.9)
 
 
@@ -248,7 +249,7 @@ SELECT f.rec, f.win_end, {r('v.post_ms')} AS post_ms, {_feature_select(features.
 FROM feat f JOIN ovw v ON v.sim_idx = f.rec AND v.win_end = f.win_end""")
 def episode_tokens(spark, sf):
     """All 77 features of the wanted windows of every episode."""
-    w = windows.overlap_windows(fx.episodes(spark, sf), CFG).select(F.col("sim_idx").alias("rec"), "win_end", "post_ms")
+    w = windows.overlap_windows(fx.timed_episodes(spark, sf), CFG).select(F.col("sim_idx").alias("rec"), "win_end", "post_ms")
     feat = features.window_features(fx.sig(spark, sf), rec_totals(spark, sf), ["rec"], CFG, wanted=w)
     df = feat.join(w, ["rec", "win_end"]).select("rec", "win_end", "post_ms", *features.FEATURES)
     return round_doubles(round_cols(df, features.FEATURES, 4))

@@ -10,8 +10,8 @@ from faultspark.operators import features, lines, locate, signal, two_ended, win
 from faultspark.operators.blocks import halo_blocks, owned_samples
 from faultspark.plans import fixtures as fx
 
-CFG = SignalConfig(fs=800.0, n_samples=400, win=40, hop=4, active_len=24, memory_gap=2, block_hops=16)
-LONG = SignalConfig(fs=800.0, n_samples=400, win=40, hop=4, active_len=24, memory_gap=2, block_hops=1000)
+CFG = SignalConfig(fs=800.0, win=40, hop=4, active_len=24, memory_gap=2, block_hops=16)
+LONG = SignalConfig(fs=800.0, win=40, hop=4, active_len=24, memory_gap=2, block_hops=1000)
 
 
 def sinusoid(spark, n=200, amp=2.5, phase=0.7):
@@ -154,6 +154,7 @@ def test_window_counts(spark):
     cfg = SignalConfig()
     eps = spark.createDataFrame([(1, "flt_3ph_shc", 1.1, None), (2, "flt_1phg_incipient", 1.1, 0.005)],
                                 "sim_idx long, etype string, event_start double, duration double")
+    eps = eps.withColumn("n_samples", F.lit(4801))
     n = {r.sim_idx: r["count"] for r in windows.overlap_windows(eps, cfg).groupBy("sim_idx").count().collect()}
     ends = {r.sim_idx: r["count"] for r in windows.event_windows(eps, cfg).groupBy("sim_idx").count().collect()}
     assert n == {1: 16, 2: 10}
