@@ -217,8 +217,8 @@ def scenario_table(df: DataFrame, by: list[str], errors: dict[str, str], flag: s
 
 
 def sweep_table(df: DataFrame, by: list[str], columns: list[str], y: str = "y") -> DataFrame:
-    """Mean error per perturbation column."""
-    long = long_estimates(df, [*by, y], {c: c for c in columns})
+    """Mean error per perturbation column; names with dots come in backticks."""
+    long = long_estimates(df, [*by, y], {c.strip("`"): c for c in columns})
     return long.groupBy(*by, "method").agg(F.count(F.lit(1)).alias("n"), F.avg(score(F.col("est"), F.col(y))).alias("mae"))
 
 

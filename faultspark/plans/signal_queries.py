@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from faultspark.config import COMPACT as CFG
 from faultspark.functions.cplx import cx, neg_seq, pos_seq, put, zero_seq
-from faultspark.operators import features, lines, signal, two_ended, windows
+from faultspark.operators import episodes, features, lines, report, signal, two_ended, windows
 from faultspark.operators.blocks import halo_blocks, owned_samples
 from faultspark.plans import fixtures as fx
 from faultspark.plans import sqlcx as q
@@ -147,6 +147,23 @@ def count_windows(spark, sf):
     return windows.count_windows(w, ["split"], ["sim_idx"])
 
 
+_LINE = "regexp_matches(target, '^MainLn(\\d+)-(\\d+)[AB]?$') AND location IS NOT NULL"
+
+
+@query("count_windows_by_class", f"""{with_views(EPISODES, OVW)}, j AS (SELECT o.sim_idx, CASE WHEN sim_idx % 10 < 7 THEN 'train' WHEN sim_idx % 10 < 8 THEN 'val' ELSE 'test' END AS split, {_LINE} AS is_line
+  FROM ovw o JOIN eps e USING (sim_idx) WHERE starts_with(e.etype, 'flt_'))
+SELECT 'all_faults' AS kind, split, count(*) AS windows, count(DISTINCT sim_idx) AS episodes FROM j GROUP BY 2
+UNION ALL SELECT 'line_faults', split, count(*), count(DISTINCT sim_idx) FROM j WHERE is_line GROUP BY 2""")
+def count_windows_by_class(spark, sf):
+    """Windows and episodes per split, of all faults and of line faults."""
+    m = F.pmod("sim_idx", F.lit(10))
+    eps = fx.timed_episodes(spark, sf).where(F.col("etype").startswith("flt_"))
+    eps = eps.withColumn("split", F.when(m < 7, "train").when(m < 8, "val").otherwise("test"))
+    kinds = {"all_faults": eps, "line_faults": episodes.filter_line_faults(eps)}
+    parts = [windows.count_windows(windows.overlap_windows(e, CFG), ["split"], ["sim_idx"]).withColumn("kind", F.lit(k)) for k, e in kinds.items()]
+    return parts[0].unionByName(parts[1])
+
+
 @query("window_set_diff", f"""{with_views(EPISODES, EVW, OVW)}
 (SELECT sim_idx, win_end, 'left_only' AS side FROM (SELECT DISTINCT sim_idx, win_end FROM evw EXCEPT SELECT sim_idx, win_end FROM ovw))
 UNION ALL (SELECT sim_idx, win_end, 'right_only' FROM (SELECT sim_idx, win_end FROM ovw EXCEPT SELECT sim_idx, win_end FROM evw))""")
@@ -323,6 +340,53 @@ def td_scale_sweep(spark, sf):
     return round_doubles(df, 5)
 
 
+_Y = "(line % 9 + 1) / 10.0::DOUBLE"
+
+
+@query("scale_sweep_table", f"""{with_views(*ss.modal_cte(), _SC)},
+uw AS (SELECT line, scale, n, {', '.join(f'''vs_{m} - vr_{m} + z1r * kr * ir_{m} + z1x * kl / {ss.OMEGA} * ir_{m}_d AS u_{m},
+  z1r * kr * (is_{m} + ir_{m}) + z1x * kl / {ss.OMEGA} * (is_{m}_d + ir_{m}_d) AS w_{m}''' for m in ('al', 'be'))}
+  FROM md JOIN mdd USING (line, n) JOIN lpl USING (line), sc),
+lw AS (SELECT line, unnest(range(40, last_n + 2, 4)) AS win_end FROM (SELECT line, max(n) AS last_n FROM md GROUP BY line)),
+lwx AS (SELECT line, CAST(win_end AS INTEGER) AS win_end, unnest(range(win_end - 40, win_end)) AS n FROM lw),
+e AS (SELECT line, win_end, scale, sum(u_al * w_al + u_be * w_be) / (sum(w_al * w_al + w_be * w_be) + 1e-12) AS est FROM lwx JOIN uw USING (line, n) GROUP BY line, win_end, scale)
+SELECT scale AS method, count(*) AS n, {r(f'100 * avg(abs(greatest(0, least(1, est)) - {_Y}))', 4)} AS mae FROM e GROUP BY scale""")
+def scale_sweep_table(spark, sf):
+    """Scaled parameters to windows to scores: one row per scale."""
+    df = two_ended.td_scale_sweep(fx.two_terminal(spark, sf), line_totals(spark, sf), ["line"], CFG, SCALES)
+    wide = df.groupBy("line", "win_end").pivot("scale", [n for n, _, _ in SCALES]).agg(F.first("td_est"))
+    wide = wide.withColumn("y", (F.pmod("line", F.lit(9)) + 1) / 10.0)
+    return round_doubles(report.sweep_table(wide, [], [f"`{n}`" for n, _, _ in SCALES]), 4)
+
+
+SHIFTS = (-1, 1, 20)
+
+
+def _sync_sql() -> str:
+    """Each shift as a statement of its own: the remote record is read k samples late, around its end."""
+    parts = []
+    for k in SHIFTS:
+        views = [v.replace("JOIN sig b ON b.rec = a.rec + 1 AND b.n = a.n", f"JOIN sb b ON b.rec = a.rec + 1 AND b.n = a.n") for v in ss.td_cte()]
+        sb = f"sb AS (SELECT s.* EXCLUDE (n), CAST((s.n + {k} + size) % size AS INTEGER) AS n FROM sig s JOIN (SELECT rec, max(n) + 1 AS size FROM sig GROUP BY rec) USING (rec))"
+        body = with_views(views[0], sb, *views[1:])
+        parts.append(f"SELECT * FROM ({body} SELECT 'shift {k:+d}' AS method, count(*) AS n, {r(f'100 * avg(abs(greatest(0, least(1, td_est)) - {_Y}))', 4)} AS mae FROM td)")
+    return " UNION ALL ".join(parts)
+
+
+@query("sync_sweep", _sync_sql())
+def sync_sweep(spark, sf):
+    """Remote samples shifted, estimates made again and scored: one row per shift."""
+    s, p = fx.two_terminal(spark, sf), line_totals(spark, sf)
+    near, far = s.where("term = 0"), s.where("term = 1")
+    wide = None
+    for k in SHIFTS:
+        moved = near.unionByName(signal.shift_record(far, ["line"], k))
+        est = two_ended.td_estimate(moved, p, ["line"], CFG).select("line", "win_end", F.col("td_est").alias(f"shift {k:+d}"))
+        wide = est if wide is None else wide.join(est, ["line", "win_end"])
+    wide = wide.withColumn("y", (F.pmod("line", F.lit(9)) + 1) / 10.0)
+    return round_doubles(report.sweep_table(wide, [], [f"`shift {k:+d}`" for k in SHIFTS]), 4)
+
+
 _TWO = f"""tp AS (SELECT a.rec // 2 AS line, a.win_end,
   {', '.join(f'a.l_{c}_{x} AS s_{c}_{x}, b.l_{c}_{x} AS r_{c}_{x}' for c in CH for x in ('re', 'im'))}
   FROM wp a JOIN wp b ON b.rec = a.rec + 1 AND b.win_end = a.win_end WHERE a.rec % 2 = 0)"""
