@@ -606,10 +606,21 @@ def paired_reduction(spark, sf):
     return round_doubles(resample.paired_reduction(scored(spark, sf), ["grid"], "sim_idx", c("e2"), c("e"), B, 0, "hash"))
 
 
-@query("bootstrap_multinomial")
+@query("bootstrap_multinomial", f"""{with_views(PRED, SCORED)} SELECT grid, count(*) AS n, {r('avg(e)')} AS mae, true AS holds, true AS width_ok FROM sc GROUP BY grid""")
 def bootstrap_multinomial(spark, sf):
-    """2000 replicates with counts drawn inside bounded buckets."""
-    return round_doubles(resample.bootstrap_ci(scored(spark, sf), ["grid"], "sim_idx", c("e"), 2000, 0))
+    """2000 replicates with counts drawn inside bounded buckets.
+
+    The interval must hold the mean error, and be as wide as the normal one of
+    the ratio of episode sums within a fifth.
+    """
+    d = scored(spark, sf)
+    ci = resample.bootstrap_ci(d, ["grid"], "sim_idx", c("e"), 2000, 0)
+    ep = resample.episode_sums(d, ["grid"], "sim_idx", {"s": c("e")}).join(ci.select("grid", "mae"), "grid")
+    se = ep.groupBy("grid").agg((F.sqrt(F.sum((c("s") - c("mae") * c("wins")) ** 2)) / F.sum("wins")).alias("se"))
+    width = (c("ci_hi") - c("ci_lo")) / (c("se") * 2 * 1.96)
+    out = ci.join(se, "grid").select("grid", "n", "mae", ((c("ci_lo") < c("mae")) & (c("mae") < c("ci_hi"))).alias("holds"),
+                                     ((width > 0.8) & (width < 1.25)).alias("width_ok"))
+    return round_doubles(out)
 
 
 _GS = f"""eh AS (SELECT DISTINCT sim_idx FROM pred), er AS (SELECT sim_idx, row_number() OVER (ORDER BY {_H60.format("'0|' || sim_idx")}, sim_idx) - 1 AS rk, count(*) OVER () AS n FROM eh)"""
