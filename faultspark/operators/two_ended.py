@@ -150,6 +150,30 @@ def both_cycles(samples: DataFrame, starts: DataFrame, keys: list[str], cols: li
     return sums.select(*keys, "pre", *out)
 
 
+def fault_cycles(samples: DataFrame, episodes: DataFrame, keys: list[str], cols: list[str], cfg: SignalConfig,
+                 starts: dict[str, int], term: str = "term") -> DataFrame:
+    """Phasors of both ends over named cycles of each episode, in one aggregate: (keys, nf, ``s_p_ia_re`` ...).
+
+    ``starts`` maps a name to the cycle's first sample after inception. Only
+    episodes with every cycle whole at both ends are returned.
+    """
+    cells = F.array(*[F.struct(F.lit(k).alias("_st"), (F.col("nf") + v).alias("pre")) for k, v in starts.items()])
+    want = episodes.select(*keys, "nf").distinct().select(*keys, "nf", F.inline(cells)).select("*", F.explode(F.sequence(
+        F.floor(F.col("pre") / cfg.cycle), F.floor((F.col("pre") + cfg.cycle - 1) / cfg.cycle))).alias("_slot"))
+    hit = (samples.withColumn("_slot", F.floor(F.col("n") / cfg.cycle)).join(want, [*keys, "_slot"])
+           .where((F.col("n") >= F.col("pre")) & (F.col("n") < F.col("pre") + cfg.cycle)))
+    g, aggs, whole = 2.0 / cfg.cycle, [], F.lit(True)
+    for t, tag in ((0, "s"), (1, "r")):
+        for st in starts:
+            at = f"{term} = {t} AND _st = '{st}'"
+            aggs.append(F.expr(f"count_if({at})").alias(f"_n_{tag}{st}"))
+            whole = whole & (F.col(f"_n_{tag}{st}") == cfg.cycle)
+            for c in cols:
+                aggs.append(F.expr(f"sum(CASE WHEN {at} THEN {c} * _cos END) * {g!r}D").alias(f"{tag}_{st}_{c}_re"))
+                aggs.append(F.expr(f"sum(CASE WHEN {at} THEN {c} * _sin END) * {-g!r}D").alias(f"{tag}_{st}_{c}_im"))
+    return windows.with_dft_terms(hit, cfg).groupBy(*keys, "nf").agg(*aggs).where(whole)
+
+
 def seq1(prefix: str, kind: str) -> Cx:
     """Positive sequence of the three currents (kind 'i') or voltages ('v')."""
     return pos_seq(*[cx(f"{prefix}{kind}{p}") for p in "abc"])
@@ -178,15 +202,7 @@ def episode_locator(samples: DataFrame, episodes: DataFrame, keys: list[str], cf
     inception, the fault cycle ``skip_cycles`` after it.
     """
     cols = signal.CHANNELS
-    before, after = -2 * cfg.cycle, int(round(skip_cycles * cfg.cycle))
-    starts = episodes.select(*keys, F.explode(F.array(F.col("nf") + before, F.col("nf") + after)).alias("pre"))
-    both = both_cycles(samples, starts, keys, cols, cfg, "c_")
-    df = episodes.select(*keys, "nf").distinct()
-    for shift, tag in ((before, "p"), (after, "f")):
-        side = both.where(F.col("s_c_ia_re").isNotNull() & F.col("r_c_ia_re").isNotNull()).select(
-            *keys, (F.col("pre") - shift).alias("nf"),
-            *[F.col(f"{t}_c_{c}_{x}").alias(f"{t}_{tag}_{c}_{x}") for t in "sr" for c in cols for x in ("re", "im")])
-        df = df.join(side, [*keys, "nf"])
+    df = fault_cycles(samples, episodes, keys, cols, cfg, {"p": -2 * cfg.cycle, "f": int(round(skip_cycles * cfg.cycle))})
     q = {}
     for t in "sr":
         for st in "pf":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultspark.config import COMPACT as CFG
-from faultspark.operators import arrays, features, lines, model, resample, signal, two_ended, windows
+from faultspark.operators import arrays, features, model, quality, resample, signal, two_ended, windows
 from faultspark.operators.blocks import halo_blocks, owned_samples
 from faultspark.plans import fixtures as fx
 from faultspark.plans import sqlsignal as ss
@@ -198,6 +198,25 @@ def normalise_rms(spark, sf):
     return round_cols(round_cols(out, ["first_x"], 5), ["unit"])
 
 
+_PICK = """pk AS (SELECT rec, last_n FROM (SELECT *, row_number() OVER (PARTITION BY rec % 2 ORDER BY (('0x' || substr(md5('0|' || rec), 1, 15))::BIGINT), rec) AS k
+  FROM len WHERE last_n >= 39) WHERE k <= 3), ct AS (SELECT sum((last_n + 1 - 40) // 4 + 1)::BIGINT AS n FROM pk)"""
+
+
+@query("regenerate_and_compare", f"""{with_views(SIG, ss.LEN, _PICK)}
+SELECT 'fresh' AS run, n AS "both", 0::BIGINT AS left_only, 0::BIGINT AS right_only, true AS ok FROM ct
+UNION ALL SELECT 'stale', n, 0, 0, false FROM ct UNION ALL SELECT 'short', n - 6, 0, 6, false FROM ct""")
+def regenerate_and_compare(spark, sf):
+    """Stored features against three records of each kind made again; then a stale table and one that lacks windows."""
+    s, p, cols = fx.sig(spark, sf), rec_totals(spark, sf), features.PHASOR_FEATURES
+    make = lambda picked: features.window_features(s.join(picked, "rec", "left_semi"), p, ["rec"], CFG, group="phasor")
+    stored = features.window_features(s, p, ["rec"], CFG, group="phasor").withColumn("kind", F.pmod("rec", F.lit(2)))
+    stored = materialise(features.select_features(stored, ["rec", "win_end", "kind"], cols))
+    tables = {"fresh": stored, "stale": stored.withColumn("i2r", c("i2r") + 0.01), "short": stored.where(c("win_end") != 40)}
+    runs = [quality.regenerate_and_compare(t, make, ["kind"], "rec", 3, ["rec", "win_end"], cols, 1e-6).withColumn("run", F.lit(k))
+            for k, t in tables.items()]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2]).drop("max_dev")
+
+
 # --- models: trees have no SQL form, so SQL gives the counts and the constant to beat ---------
 
 #: A useful fit for tables of this size in seconds; model.FULL is the size for real data.
@@ -307,3 +326,21 @@ def model_matched(spark, sf):
     trains = {k: v.where(c("grid") == "even") for k, v in t.items()}
     pred = model.evaluate_matched(trains, {k: v.where(c("grid") == "odd") for k, v in t.items()}, features.FEATURES, ONE)
     return round_doubles(model.against_median(pred, trains["clean"], ["scenario"]))
+
+
+# --- sliding windows over event time ---------------------------------------------------------------
+
+@query("sliding_ratio", f"""WITH w AS (SELECT event_type, value, unnest(range(0, 5)) AS k, ts FROM events),
+b AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS win_start, value FROM w)
+SELECT event_type, win_start, win_start + INTERVAL 30 HOUR AS win_end, count(*) AS n, {r('sum((value - 10) * (value + 1)) / (sum((value + 1) * (value + 1)) + 1e-12)')} AS est FROM b GROUP BY 1, 2""")
+def sliding_ratio(spark, sf):
+    df = fx.table(spark, sf, "events").select("event_type", "ts", "value")
+    return round_doubles(hop.sliding_ratio(df, ["event_type"], "ts", c("value") - 10, c("value") + 1, "30 hours", "6 hours"))
+
+
+@query("sliding_error", f"""WITH w AS (SELECT event_type, value, unnest(range(0, 5)) AS k, ts FROM events),
+b AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR + INTERVAL 30 HOUR AS win_end, value FROM w)
+SELECT event_type, win_end, count(*) AS n, {r('avg(100 * abs(greatest(0, least(1, value / 20)) - 0.4))')} AS mae FROM b GROUP BY 1, 2""")
+def sliding_error(spark, sf):
+    df = fx.table(spark, sf, "events").select("event_type", "ts", (c("value") / 20).alias("est"), F.lit(0.4).alias("y"))
+    return round_doubles(hop.sliding_error(df, ["event_type"], "ts", "est", "y", "30 hours", "6 hours"))
