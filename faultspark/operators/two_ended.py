@@ -208,14 +208,17 @@ def episode_locator(samples: DataFrame, episodes: DataFrame, keys: list[str], cf
         for st in "pf":
             q[f"v{t}{st}"] = seq1(f"{t}_{st}_", "v")
             q[f"i{t}{st}"] = seq1(f"{t}_{st}_", "i")
-    df = df.select(*keys, *[col.alias(k) for k, col in
+    df = df.select(*keys, "nf", *[col.alias(k) for k, col in
                             {f"{a}_{b}": v for a, z in q.items() for b, v in (("re", z.re), ("im", z.im))}.items()])
     z = (cx("vsp") - cx("vrp")) / ((cx("isp") - cx("irp")) * 0.5)
     df = df.withColumns({"z_re": z.re, "z_im": z.im})
     num, den = phasor_ratio(cx("vsf"), cx("isf"), cx("vrf"), cx("irf"), cx("z"))
     df = df.withColumns({"_n_re": num.re, "_n_im": num.im, "_d_re": den.re, "_d_im": den.im})
     d = cx("_n") / cx("_d")
-    return df.select(
-        *keys, "z_re", "z_im", d.re.alias("d"), d.im.alias("d_im"),
+    out = df.select(
+        *keys, "nf", "z_re", "z_im", d.re.alias("d"), d.im.alias("d_im"),
         (F.try_divide((cx("isp") + cx("irp")).abs(), cx("isp").abs() + 1e-9)).alias("preload_ratio"),
         cx("isp").abs().alias("i_pre"), cx("isf").abs().alias("i_post"))
+    # Grouped once more on the keys it is grouped by, at no shuffle: a filter on these long expressions would
+    # otherwise be pushed through all of them, and planning would take minutes.
+    return out.groupBy(*keys, "nf").agg(*[F.first(k).alias(k) for k in out.columns if k not in (*keys, "nf")]).drop("nf")
