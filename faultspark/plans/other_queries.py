@@ -225,7 +225,7 @@ ONE = model.TreeParams(max_iter=15, step=0.25, depth=4, min_rows=20, seeds=(0,),
 
 _CLIP = "greatest(0, least(1, {}))"
 FEAT_Y = f"""fy AS (SELECT rec, win_end, CASE rec % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS grid, (win_end % 80) * 1.25::DOUBLE AS post_ms,
-  {_CLIP.format("0.1::DOUBLE + 0.3::DOUBLE * least(i2r, 2) + 0.02::DOUBLE * (rec % 9 + 1)")} AS y FROM feat)"""
+  {_CLIP.format("0.1::DOUBLE + 0.4::DOUBLE * least(i2r, 2) + 0.005::DOUBLE * (rec % 9 + 1)")} AS y FROM feat)"""
 
 
 def _beats_sql(tests: dict[str, tuple[str, str]], by: str, extra: str = "") -> str:
@@ -238,7 +238,7 @@ def _beats_sql(tests: dict[str, tuple[str, str]], by: str, extra: str = "") -> s
 
 def label_of(df):
     """A label that follows the samples (negative-sequence share) and, in part, nothing that a window shows."""
-    y = F.lit(0.1) + F.least(c("i2r"), F.lit(2.0)) * 0.3 + (F.pmod("rec", F.lit(9)) + 1) * 0.02
+    y = F.lit(0.1) + F.least(c("i2r"), F.lit(2.0)) * 0.4 + (F.pmod("rec", F.lit(9)) + 1) * 0.005
     return df.withColumn("y", F.greatest(F.lit(0.0), F.least(F.lit(1.0), y)))
 
 
