@@ -170,7 +170,8 @@ def remove(docs: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
 
     places = stored(rows.select("data", content.alias("content")).mapInArrow(chosen, "h long, content binary, at long"))
     where = F.xxhash64("content", "at")
-    shared = places.groupBy("h").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").select("h")
+    # Stored, so that the join below stands on plain exchanges and Spark can split a run that very many texts share.
+    shared = stored(places.groupBy("h").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").select("h"))
     wanted = (places.join(shared, "h").groupBy("content").agg(F.collect_set(F.struct("h", "at")).alias("places")))
     first = rows.groupBy(content.alias("content")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     contents = first.join(wanted, "content", "left")
