@@ -11,7 +11,8 @@ choose the same place, so every repetition shows between chosen positions that s
 4. Stretches are united per text and removed.
 
 Equal texts are one content with a count, so copies are never compared or expanded: from two on all their bytes go if there are
-``LENGTH`` of them. Equal surroundings within a group are one entry with a count as well.
+``LENGTH`` of them. Equal surroundings are one entry with a count as well: within a task before they are dealt (so a phrase
+repeated thousands of times, or a large group of near copies, moves little), and again within the group.
 
 Nulls count as empty texts. Repeated rows, also of one doc_id, repeat each other. Rows without doc_id take part. An empty
 table gives an empty result.
@@ -20,6 +21,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,9 @@ from faultspark.llm.suffixes import deep_shallow, extents
 
 LENGTH, RUN = 400, 100
 #: Bytes hashed in one go; longer texts are taken in stretches that overlap by a string.
-STRETCH = 1 << 22
+STRETCH = 1 << 20
+#: Surroundings that a task remembers while it looks for equal ones; then it starts afresh.
+SEEN = 8_000
 _POSITION = np.uint64((1 << 24) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -181,14 +185,34 @@ def remove(docs: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
     texts = stored(texts)
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places with their surroundings, dealt by run. Equal surroundings within a task go on once: they repeat
+        each other whole, so their stretches are known (column ``stop``) and dealt by content."""
         reach = length - run
+        seen: dict[tuple[int, int, bytes], list] = {}
         for b in batches:
+            rows: list[tuple] = []
             for key, some, data in zip(b.column("content").to_pylist(), b.column("places").to_pylist(), byte_texts(b, "data")):
-                at = [p["at"] for p in some]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p["h"] for p in some], pa.int64()), pa.array([key] * len(at), pa.binary()), pa.array(at, pa.int64()),
-                     pa.array([data[max(0, p - reach):p + length] for p in at], pa.binary()), pa.array([min(p, reach) for p in at], pa.int32())],
-                    names=["h", "content", "at", "around", "before"])
+                known: list[tuple[bytes, int, int]] = []
+                for p in some:
+                    at, lo = p["at"], max(0, p["at"] - reach)
+                    text = data[lo:at + length]
+                    first = seen.setdefault((p["h"], at - lo, text), [])
+                    if not first:
+                        first += [key, lo, False]
+                        rows.append((p["h"], key, at, text, at - lo, None))
+                    else:
+                        if not first[2]:
+                            known.append((first[0], first[1], first[1] + len(text)))
+                            first[2] = True
+                        known.append((key, lo, lo + len(text)))
+                for name in {k[0] for k in known}:
+                    for x, y in united([k[1:] for k in known if k[0] == name]):
+                        rows.append((zlib.crc32(name) << 20 ^ x, name, x, None, 0, y))
+                if len(seen) > SEEN:
+                    seen.clear()
+            cols = list(zip(*rows)) or [()] * 6
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["h", "content", "at", "around", "before", "stop"])
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, group = None, []
@@ -202,7 +226,10 @@ def remove(docs: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
             return made
 
         for b in batches:
-            for h, *place in zip(*(b.column(c).to_pylist() for c in ("h", "content", "at", "around", "before"))):
+            for h, *place, stop in zip(*(b.column(c).to_pylist() for c in ("h", "content", "at", "around", "before", "stop"))):
+                if stop is not None:
+                    out.append((place[0], place[1], stop))
+                    continue
                 if h != held:
                     out += group_stretches(group, length, run) if len(group) > 1 else []
                     held, group = h, []
@@ -212,7 +239,7 @@ def remove(docs: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
         out += group_stretches(group, length, run) if len(group) > 1 else []
         yield emit()
 
-    dealt = texts.mapInArrow(around, "h long, content binary, at long, around binary, before int").repartition("h").sortWithinPartitions("h")
+    dealt = texts.mapInArrow(around, "h long, content binary, at long, around binary, before int, stop long").repartition("h").sortWithinPartitions("h")
     found = (dealt.mapInArrow(stretches, "content binary, a long, b long").groupBy("content")
              .agg(F.collect_set(F.struct("a", "b")).alias("spans")))
 
