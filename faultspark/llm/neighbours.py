@@ -7,7 +7,9 @@ dimensions, lies beyond the query's fifth best by more than chance allows; survi
 survives all blocks is scored exactly on the original vectors in double precision.
 
 How many lists a query scans is measured at fitting time: on the sample, against brute force, so that the share ``RECALL`` of
-true neighbours lies in them. Each query's first bound is its fifth best in the sample, whose rows are candidates too.
+true neighbours lies in them. The sample is compared with every query exactly, in whatever list its rows lie: its five best
+are hits, and the fifth is the query's first bound, so a row is only passed over for five better ones that are kept. Tasks
+leave out the rows so compared. A query for which the sample holds fewer than five others scans all lists without a bound.
 
 Vectors stay where they are read: each task scans its own rows list by list and passes on at most five a query, so neither
 a hot list nor repeated vectors gather in one task. Queries come in blocks of ``BLOCK_QUERIES``, broadcast one by one.
@@ -84,6 +86,21 @@ def first_bounds(lists: Lists, ids: np.ndarray, q: np.ndarray, k: int) -> np.nda
     return out
 
 
+def seeds(lists: Lists, vectors: np.ndarray, ids: np.ndarray, original: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """(query_id, vec_id, score) of the k best sample rows of each query; ``vectors`` are the sample's own."""
+    out = []
+    norm, qnorm = np.sqrt((vectors * vectors).sum(1)), np.sqrt((original * original).sum(1))
+    for a in range(0, len(q), 512):
+        d = 2 - 2 * (q[a:a + 512] @ lists.sample.T)
+        near = (d <= bound[a:a + 512, None] + 1e-9) & (ids[a:a + 512, None] != lists.sample_ids[None, :])
+        for i, row in enumerate(near, a):
+            j = np.flatnonzero(row)
+            exact = np.clip((original[i] * vectors[j]).sum(1) / (qnorm[i] * norm[j]), -1.0, 1.0)
+            order = np.lexsort((lists.sample_ids[j], -exact))[:k]
+            out += zip([int(ids[i])] * len(order), lists.sample_ids[j[order]].tolist(), exact[order].tolist())
+    return out
+
+
 @dataclass
 class Queries:
     ids: np.ndarray
@@ -158,7 +175,12 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, block_queries: int =
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lists = fit(np.array([r.vec_id for r in sample], np.int64), _matrix(sample), k)
+    vectors_of = _matrix(sample)
+    lists = fit(np.array([r.vec_id for r in sample], np.int64), vectors_of, k)
+    # A cut sample may hold only some rows of its last vec_id; of the others it holds all, so tasks can leave those out.
+    whole = lists.sample_ids != lists.sample_ids[-1] if len(sample) == SAMPLE else np.ones(len(sample), bool)
+    lists.sample, lists.sample_ids, vectors_of = lists.sample[whole], lists.sample_ids[whole], vectors_of[whole]
+    compared = np.unique(lists.sample_ids)
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n = asked.count()
     parts = -(-2 * n // block_queries) if n > block_queries else 1
@@ -171,23 +193,29 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, block_queries: int =
         rotated = unit(original) @ lists.rotation
         probed = np.zeros((len(ids), len(lists.centres)), bool)
         np.put_along_axis(probed, np.argsort(-(rotated @ lists.centres.T), 1)[:, :lists.probes], True, 1)
-        shared = spark.sparkContext.broadcast((lists.rotation, lists.centres, Queries(ids, original, rotated, probed, first_bounds(lists, ids, rotated, k))))
+        bound = first_bounds(lists, ids, rotated, k)
+        probed[~np.isfinite(bound)] = True
+        best_of_sample = seeds(lists, vectors_of, ids, original, rotated, bound, k)
+        shared = spark.sparkContext.broadcast((lists.rotation, lists.centres, Queries(ids, original, rotated, probed, bound), compared))
 
         def per_task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            rotation, centres, queries = shared.value
+            rotation, centres, queries, compared = shared.value
             here = Lists(rotation, centres, 0, np.zeros((0, 0)), np.zeros(0))
             n = len(queries.ids)
             best = [np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)]
             for b in batches:
                 if b.num_rows:
-                    v = b.column("v")
-                    original = v.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                    scan(here, queries, b.column("vec_id").to_numpy(zero_copy_only=False), original, best, k)
+                    ids = b.column("vec_id").to_numpy(zero_copy_only=False)
+                    original = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                    other = ~np.isin(ids, compared)
+                    if other.any():
+                        scan(here, queries, ids[other], original[other], best, k)
             who, place = np.nonzero(np.isfinite(best[0]))
             yield pa.RecordBatch.from_arrays([pa.array(queries.ids[who]), pa.array(best[1][who, place]), pa.array(best[0][who, place])],
                                              names=["query_id", "vec_id", "score"])
 
         hits = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "v").mapInArrow(per_task, schema)
+        hits = hits.unionAll(spark.createDataFrame(best_of_sample, schema))
         found = hits if found is None else found.unionAll(hits)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

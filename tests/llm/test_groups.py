@@ -279,6 +279,57 @@ def test_neighbours_odd(spark):
     assert neighbours.search(table, block_queries=1).count() == 10
 
 
+def ranks_against_brute(table, rows):
+    """Recall; every query must have ranks 1 to 5 with right scores, best first."""
+    got = {}
+    for r in table.collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32).astype(np.float64)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = u @ u[q]
+        mine = got[ids[q]]
+        assert sorted(mine) == [1, 2, 3, 4, 5] and len({i for i, _ in mine.values()}) == 5 and ids[q] not in {i for i, _ in mine.values()}
+        assert all(abs(s[ids == i][0] - v) < 1e-9 for i, v in mine.values())
+        assert [mine[r] for r in range(1, 6)] == sorted(mine.values(), key=lambda m: (-m[1], m[0]))
+        s[q] = -2
+        least = np.sort(s)[-5]
+        hit += sum(v >= least - 1e-9 for _, v in mine.values())
+    assert len(got) == sum(ids % 50 == 0)
+    return hit / 5 / len(got)
+
+
+@pytest.mark.parametrize("sample", [8_192, 512, 40])
+def test_neighbours_all_ranks(spark, monkeypatch, sample):
+    """sf0.1, in a sample that holds the whole table and in ones that hold a part."""
+    monkeypatch.setattr(neighbours, "SAMPLE", sample)
+    table = common.table(spark, "/root/testdata/sf0.1", "embeddings")
+    recall = ranks_against_brute(neighbours.search(table), [tuple(r) for r in table.select("vec_id", "embedding").collect()])
+    assert recall == 1 if sample > 2_000 else recall > 0.9
+
+
+@pytest.mark.parametrize("sample", [8_192, 512])
+def test_neighbours_copies(spark, monkeypatch, sample):
+    """Large groups of copies: ranks are full, and of equal vectors the smallest ids come first."""
+    monkeypatch.setattr(neighbours, "SAMPLE", sample)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3_000, 24)).astype(np.float32)
+    x[500:1_500], x[1_500:2_100], x[2_997:] = x[500], x[1_500], x[2_996]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5))
+    assert ranks_against_brute(found, rows) > 0.9
+    assert [r.vec_id for r in found.where("query_id = 1000").orderBy("rank").collect()] == [500, 501, 502, 503, 504]
+
+
+def test_neighbours_one_id_fills_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE", 30)
+    rng = np.random.default_rng(6)
+    rows = [(7, rng.normal(size=8).tolist()) for _ in range(200)] + [(50 * i, rng.normal(size=8).tolist()) for i in range(20)]
+    found = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert Counter(r.query_id for r in found.collect()) == {50 * i: 5 for i in range(20)}
+
+
 def test_pipeline(spark):
     """Each stage against a direct count on what its predecessor kept."""
     docs = common.table(spark, SF, "documents")
