@@ -3,7 +3,8 @@
 Words are runs without ASCII white space, lower-cased (A-Z) and stripped of ASCII marks at both ends; a word of marks only is left
 out. A shingle is five words (a shorter item: all of them), its weight is how often it occurs. A document matches an item
 if one of its windows of as many words as the item has a weighted Jaccard similarity (sum of smaller counts over sum of
-larger counts) of 0.8 or more to it.
+larger counts) of 0.8 or more to it. A document shorter than the item is itself its one window; with less than 0.8 of the
+item's shingles it cannot reach 0.8, and with fewer words than a shingle of the item it has none in common with it.
 
 1. Only windows that share a shingle with an item of their size can be similar at all, so positions are first tested
    against the item shingles (a bit table, then the sorted hashes); all other text is passed over.
@@ -180,22 +181,27 @@ def search(index: ItemIndex, words: np.ndarray) -> list[tuple[int, int, int, flo
         for p in at.tolist():
             for item in index.owners(int(h[p])).tolist():
                 size = int(index.words[item])
-                if min(SHINGLE, size) == k and size <= n:
+                if min(SHINGLE, size) != k:
+                    continue
+                if size <= n:
                     starts.setdefault(size, set()).update(range(max(0, p - (size - k)), min(p, n - size) + 1))
+                elif len(h) >= SIMILARITY * (size - k + 1) - 1e-9:
+                    starts[size] = {0}
         for size, some in starts.items():
             begin = np.array(sorted(some), np.int64)
-            lo, hi = int(begin[0]), int(begin[-1]) + size - k + 1
+            span = min(size, n) - k + 1  # shingles of a window
+            lo, hi = int(begin[0]), int(begin[-1]) + span
             fp = np.empty(len(begin), np.uint64)
             step = 1 << 16
             for a in range(lo, int(begin[-1]) + 1, step):  # running sums, a stretch at a time
                 sel = (begin >= a) & (begin < a + step)
                 if sel.any():
-                    stop = min(hi, a + step + size - k)
+                    stop = min(hi, a + step + span - 1)
                     sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(votes(h[a:stop]), axis=0, dtype=np.int32)])
-                    fp[sel] = simhash(sums[begin[sel] - a + size - k + 1] - sums[begin[sel] - a])
+                    fp[sel] = simhash(sums[begin[sel] - a + span] - sums[begin[sel] - a])
             found = index.within(size, fp)
             for row, item in found:
-                w = h[begin[row]:begin[row] + size - k + 1]
+                w = h[begin[row]:begin[row] + span]
                 s = similarity(dict(zip(*map(np.ndarray.tolist, np.unique(w, return_counts=True)))), index.shingles[item])
                 if s >= SIMILARITY:
                     old = best.get(item)

@@ -165,6 +165,35 @@ def test_decontamination(spark, odd):
     assert decontaminate.contaminated(table.limit(0), bench).count() == 0 == decontaminate.contaminated(table, bench.limit(0)).count()
 
 
+def test_decontamination_short_documents(spark):
+    """Documents that are an item short of some words, against brute force over every pair."""
+    rng = random.Random(16)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(words, k=n))) for i, n in enumerate([60, 60, 40, 25, 12, 9, 8, 6, 5, 4, 3])] + [(20, "ha " * 30)]
+    docs = []
+    for _, t in items:
+        v = t.split()
+        for cut in (0, 1, 2, 5, 11, 13):
+            docs += [(len(docs) + 1, " ".join(v[cut:])), (len(docs) + 2, " ".join(v[:len(v) - cut])), (len(docs) + 3, " ".join(v[cut // 2:len(v) - (cut + 1) // 2]))]
+    want = {}
+    for d, t in docs:
+        w = t.split()
+        for i, s in items:
+            v = s.split()
+            if not set(w) & set(v):
+                continue
+            b, bags = bag(v), [bag(w[p:p + len(v)]) for p in range(max(1, len(w) - len(v) + 1))]
+            sims = [sum((x & b).values()) / sum((x | b).values()) for x in bags]
+            if max(sims) >= 0.8:
+                want[d, i] = (round(max(sims), 9), sims.index(max(sims)), sum(x >= 0.8 for x in sims))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word, r.windows) for r in decontaminate.contaminated(table, bench).collect()}
+    assert found == want
+    assert found[4, 0] == (round(55 / 56, 9), 0, 1) and len(docs[3][1].split()) == 59
+    assert {r.doc_id for r in decontaminate.keep_clean(table, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_multi_index_is_complete():
     rng = np.random.default_rng(8)
     words = [[b"%d" % x for x in rng.integers(0, 1000, 20)] for _ in range(60)]
