@@ -1,6 +1,8 @@
 """Secret scans: candidate strings, and a random forest that removes false positives. DataFrame functions only.
 
-A candidate is a run of 16 or more letters, digits and + / _ - with a digit in it. Its features are length, shares and
+A candidate is a run of 16 or more letters, digits and + / _ - with a digit in it, or the value assigned after a cue word
+(password=..., "token": "..."): six or more characters of any kind up to the closing quote or, without quotes, up to white
+space, the next field (;name= or &name=) or a closing tag. Its features are length, shares and
 transitions of character classes, the share covered by dictionary words, the kind of path it stands in and the words beside
 it. The forest is fitted by MLlib on labelled findings and then written out as a SQL expression, so each document is scanned,
 scored and, in the pipeline, redacted in its own row: no shuffle, no join, and nothing gathered but the bounded sample.
@@ -19,7 +21,6 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
 MASK = "[SECRET]"
 #: Findings used for fitting, at most.
 MAX_FINDINGS = 20_000
@@ -29,6 +30,13 @@ REACH = 48
 
 # Words that stand beside secrets, words that stand in strings that are none, paths of samples.
 _CUES = "password|passwd|passphrase|pwd|secret|token|api_?key|access_?key|private_?key|auth|bearer|credential|login"
+_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+_ASSIGN = rf"(?<=(?:{_CUES})(?:[_-][A-Za-z0-9_-]{{0,16}})?[\"'\]]{{0,2}}\s{{0,3}}(?:=>|:=|[=:])\s{{0,3}}"
+#: The short look back comes first, so that most positions are settled by one character.
+_ASSIGNED = (rf"(?i:(?<=\")(?<=[=:>]\s{{0,3}}\"){_ASSIGN}\")(?=[^\"\r\n]{{6,}}\")[^\"\r\n]+"
+             rf"|(?<=')(?<=[=:>]\s{{0,3}}'){_ASSIGN}')(?=[^'\r\n]{{6,}}')[^'\r\n]+"
+             rf"|(?<=[=:>\s\"'])(?![\s\"'`=:>])(?<=[=:>]\s{{0,3}}[\"']?){_ASSIGN}[\"']?)[^\s\"'`]{{6,}}?(?=[,;.:)\]}}]{{0,3}}(?:[\s\"'`]|</|\z)|[;&,][a-z_][a-z0-9_.-]{{0,40}}=))")
+CANDIDATE = f"{_ASSIGNED}|{_RUN}"
 _DIGESTS = "sha1|sha256|sha512|md5|commit|checksum|digest|hash|revision|etag|uuid|guid"
 _DICTIONARY = ("example|sample|test|dummy|demo|fake|mock|todo|change|default|placeholder|insert|your|here|user|name|file|image|page|index|"
                "http|www|com|html|version|build|release|module|package|class|function|config|data|value|string|number|public|static|the|and|"
@@ -83,7 +91,7 @@ def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     ends = ("aggregate(sequence(1, size(_tokens)), cast(array(0) as array<bigint>), (s, i) -> concat(s, array("
             "element_at(s, i) + length(element_at(_gaps, i)) + length(element_at(_tokens, i)))))")
     split = split.withColumn("_ends", F.when(F.col("_has"), F.expr(ends)))
-    raw = (f"transform(_tokens, (t, i) -> struct(t as token, right(_gaps[i], {REACH}) as before, left(_gaps[i + 1], {REACH}) as after,"
+    raw = (f"transform(_tokens, (t, i) -> struct(t as token, right(concat(if(i > 0, right(_tokens[i - 1], {REACH}), ''), _gaps[i]), {REACH}) as before, left(_gaps[i + 1], {REACH}) as after,"
            " _ends[i] + length(_gaps[i]) as at))")
     split = split.withColumn("_raw", F.when(F.col("_has"), F.expr(raw)))
     parts = ", ".join(f"cast({sql.replace('lower(path)', 'lower(coalesce(_path, ' + chr(39) * 2 + '))')} as double) as {name}" for name, sql in FEATURES.items())

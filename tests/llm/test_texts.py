@@ -212,6 +212,19 @@ def test_secrets_forest(docs):
     assert "Python" not in secrets.scan(docs, forest)._jdf.queryExecution().toString()
 
 
+def test_secrets_assigned_values(spark, docs):
+    """Values after a cue word that are short, have no digit or hold other characters, by a forest fitted on sf0.01 with them."""
+    values = ["Tr0ub4dor3", "pa$$w0rd!x.y", "qWzKvRtPxM", "x7!Kq2"]
+    forms = ["password=%s and so on", 'the "token": "%s", next', "api_key: '%s'", "login with passwd = %s", "Server=a;Pwd=%s;Database=b", "DB_PASSWORD=%s\nHOST=b"]
+    made = [(10**9 + i, f % v, v) for i, (f, v) in enumerate((f, v) for f in forms for v in values)]
+    more = spark.createDataFrame([(d, t, "s") for d, t, _ in made], "doc_id long, text string, source string")
+    both = docs.select("doc_id", "text", "source").unionByName(more)
+    forest = secrets.fit(secrets.label_findings(both))
+    found = {(r.doc_id, r.start, r.end) for r in secrets.scan(more, forest).collect()}
+    assert found == {(d, t.index(v), t.index(v) + len(v)) for d, t, v in made}
+    assert {r.doc_id: r.text for r in secrets.redact(more, forest).collect()} == {d: t.replace(v, secrets.MASK) for d, t, v in made}
+
+
 def test_secrets_tree_sql(spark):
     printed = ["   If (feature 1 <= 0.5)", "    If (feature 0 <= 2.0)", "     Predict: 1.0", "    Else (feature 0 > 2.0)", "     Predict: 0.0",
                "   Else (feature 1 > 0.5)", "    Predict: 0.0"]
