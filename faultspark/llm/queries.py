@@ -1,4 +1,4 @@
-"""Registered queries of this subpackage. None has a SQL counterpart: tests hold them against brute force."""
+"""Registered queries of this subpackage. Those without a SQL counterpart are held against brute force by tests."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultspark.llm import decontaminate, html, neighbours, packing, pii, quality, repeats, secrets, simhash, toxicity
+from faultspark.llm import audit, chat, decontaminate, html, neighbours, packing, pii, quality, repeats, secrets, simhash, toxicity, whiten
 from faultspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,7 +55,21 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations streamed as a log, rebuilt, rendered and read back."""
+    log = chat.log_of(chat.with_trap(table(spark, sf_dir, "conversations")))
+    return chat.digests(chat.reconstruct(log))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_toxicity, op2_html, op3_pii, op4_decontamination, op5_repeats, op6_secrets, op7_quality, op8_simhash,
-    op9_packing, op10_neighbours)}
-SQL: dict[str, str] = {}
+    op9_packing, op10_neighbours, op11_audit, op12_chat, op13_whitening)}
+SQL: dict[str, str] = {"op11_audit": audit.SQL, "op12_chat": chat.SQL}
