@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultspark.config import COMPACT as CFG
-from faultspark.operators import arrays, features, model, quality, resample, signal, two_ended, windows
+from faultspark.functions.scalar import score
+from faultspark.operators import arrays, features, model, quality, recursive, report, resample, signal, two_ended, windows
 from faultspark.operators.blocks import halo_blocks, owned_samples
 from faultspark.plans import fixtures as fx
 from faultspark.plans import sqlsignal as ss
@@ -167,6 +168,8 @@ def fractional_delay(spark, sf):
     return round_doubles(arrays.to_samples(df, ["rec", "channel"], "x").withColumn("n", c("n").cast("int")))
 
 
+#: Samples of the cycles thought to come before a record: 0.2 s.
+PAD = int(0.2 * CFG.fs)
 B2, A2 = arrays.resonant2(0.015, 50.0, 800.0)
 _FILTERS = {"filter_lowpass": arrays.butterworth2(160.0, 800.0), "filter_resonant": (B2, A2)}
 for _name, (_b, _a) in _FILTERS.items():
@@ -176,8 +179,68 @@ h(k, h0, h1) AS (SELECT 0, {_b[0]!r}::DOUBLE, 0::DOUBLE UNION ALL
 z AS (SELECT rec, channel, n + 160 AS t, v FROM ax UNION ALL SELECT rec, channel, n + 16 * q, v FROM ax, range(0, 10) u(q) WHERE n < 16)
 SELECT a.rec, a.channel, a.n, {r('sum(z.v * h.h0)')} AS x FROM ax a JOIN z ON z.rec = a.rec AND z.channel = a.channel AND z.t <= a.n + 160 JOIN h ON h.k = a.n + 160 - z.t GROUP BY 1, 2, 3""")
     def recursive_filter(spark, sf, coef=(_b, _a)):
-        df = arrays.recursive_filter(fx.arrays(spark, sf).drop("label"), "x", coef[0], coef[1], CFG.cycle, int(0.2 * CFG.fs))
-        return round_doubles(arrays.to_samples(df, ["rec", "channel"], "x").withColumn("n", c("n").cast("int")))
+        """Samples filtered block by block; a block is one cycle here, so that records of 64 samples pass states on."""
+        s = arrays.to_samples(fx.arrays(spark, sf).drop("label"), ["rec", "channel"], "x")
+        df = recursive.recursive_filter(s, ["rec", "channel"], ["x"], *coef, CFG.cycle, PAD, block=CFG.cycle, fan=2)
+        return round_doubles(df.withColumn("n", c("n").cast("int")))
+
+
+# --- from filtered samples to the scenario table ----------------------------------------------
+
+def through(samples, keys, name):
+    """``samples`` as a measuring chain passes them on: ``antialias`` filters all channels, ``vt`` the voltages."""
+    if name == "clean":
+        return samples
+    if name == "antialias":
+        return recursive.recursive_filter(samples, keys, CH, *_FILTERS["filter_lowpass"], CFG.cycle, PAD, CFG.block, 4)
+    return recursive.recursive_filter(samples, keys, CH[3:], *_FILTERS["filter_resonant"], CFG.cycle, PAD, CFG.block, 4, carry=CH[:3])
+
+
+CHAINS = {"clean": (), "antialias": tuple(CH), "vt": tuple(CH[3:])}
+
+
+def _filtered_views(name: str) -> list[str]:
+    """``sig`` filtered by its impulse response; beyond 400 samples it is below 1e-13."""
+    if name == "clean":
+        return [SIG]
+    b, a = _FILTERS["filter_lowpass" if name == "antialias" else "filter_resonant"]
+    cols = ", ".join(f"sum(z.{x} * h.h0) AS {x}" if x in CHAINS[name] else f"any_value(z.{x}) FILTER (h.k = 0) AS {x}" for x in CH)
+    return [SIG.replace("sig AS (", "raw AS ("), f"""h(k, h0, h1) AS (SELECT 0, {b[0]!r}::DOUBLE, 0::DOUBLE UNION ALL
+  SELECT k + 1, CASE k + 1 WHEN 1 THEN {b[1]!r}::DOUBLE WHEN 2 THEN {b[2]!r}::DOUBLE ELSE 0 END - {a[1]!r}::DOUBLE * h0 - {a[2]!r}::DOUBLE * h1, h0 FROM h WHERE k < 400),
+z AS (SELECT * EXCLUDE (n), n AS t FROM raw UNION ALL SELECT raw.* EXCLUDE (n), n - 16 * q FROM raw, range(1, 11) u(q) WHERE n < 16),
+sig AS (SELECT z.rec, CAST(z.t + h.k AS INTEGER) AS n, {cols} FROM z, h WHERE z.t + h.k BETWEEN 0 AND (SELECT max(n) FROM raw r WHERE r.rec = z.rec) GROUP BY z.rec, z.t + h.k)"""]
+
+
+_CHAIN_Y = "(line % 9 + 1) / 10.0::DOUBLE"
+
+
+def _chain_sql() -> str:
+    parts = []
+    for name in CHAINS:
+        body = with_views(*_filtered_views(name), *ss.td_cte()[1:]).replace("WITH ", "WITH RECURSIVE ", 1)
+        parts.append(f"""SELECT * FROM ({body},
+f AS (SELECT rec // 2 AS line, win_end, CAST(max(abs(s.ia)) > 0.9::DOUBLE * max(abs(s.ib)) OR max(abs(s.va)) > 0.9::DOUBLE * max(abs(s.vc)) AS INTEGER) AS sat
+  FROM (SELECT DISTINCT 2 * line AS rec, win_end FROM td) JOIN sig s USING (rec) WHERE s.n >= win_end - 40 AND s.n < win_end GROUP BY 1, 2),
+d AS (SELECT *, 100 * abs(greatest(0, least(1, td_est)) - {_CHAIN_Y}) AS e, (win_end % 80) * 1.25::DOUBLE AS post_ms FROM td JOIN f USING (line, win_end))
+SELECT '{name}' AS scenario, count(*) AS n, {r('100 * avg(sat)', 4)} AS flagged_pct, {r('avg(e)', 4)} AS two_ended, {r('avg(e) FILTER (sat = 1)', 4)} AS two_ended_flagged,
+ {r('avg(e) FILTER (post_ms <= 15)', 4)} AS two_ended_le15, {r('avg(e) FILTER (post_ms >= 21)', 4)} AS two_ended_ge21 FROM d)""")
+    return " UNION ALL ".join(parts)
+
+
+@query("filtered_scenarios", _chain_sql())
+def filtered_scenarios(spark, sf):
+    """Filtered records to flags, estimates and errors: one row of the scenario table for each measuring chain."""
+    p, rows = line_totals(spark, sf), None
+    samples = materialise(fx.two_terminal(spark, sf))
+    for name in CHAINS:
+        s = through(samples, ["line", "term"], name)
+        est = two_ended.td_estimate(s, p, ["line"], CFG).select("line", "win_end", "td_est")
+        flags = signal.exceed_flags(s.where("term = 0").drop("term"), est.select("line", "win_end"), ["line"], [("ia", "ib"), ("va", "vc")], CFG, 0.9)
+        d = est.join(flags, ["line", "win_end"]).select(
+            F.lit(name).alias("scenario"), "sat", (F.pmod("win_end", F.lit(80)) * 1.25).alias("post_ms"),
+            score(c("td_est"), (F.pmod("line", F.lit(9)) + 1) / 10.0).alias("e"))
+        rows = d if rows is None else rows.unionByName(d)
+    return round_doubles(report.scenario_table(rows, ["scenario"], {"two_ended": "e"}), 4)
 
 
 @query("shift_array", f"""{with_views(ARR, AX)} SELECT rec, channel, CAST((n + 61) % 64 AS INTEGER) AS n, {r('v')} AS x FROM ax""")
