@@ -72,12 +72,17 @@ def delta_cycle(spark, sf):
     return round_doubles(owned_samples(df, CFG).select("rec", "n", "ia_g", "vb_g"))
 
 
+_MODES = ("is_al", "is_be", "vs_al", "vs_be", "ir_al", "ir_be", "vr_al", "vr_be")
+
+
 @query("clarke_modes", f"""{with_views(*ss.modal_cte()[:4])}
-SELECT line, n, {', '.join(f'{r(c, 9)} AS {c}' for c in ('is_al', 'is_be', 'vs_al', 'vs_be', 'ir_al', 'ir_be', 'vr_al', 'vr_be'))} FROM md""")
+SELECT line, count(*) AS n, {', '.join(f"{r(f'sum({x} * (n % 7 + 1))', 4)} AS {x}" for x in _MODES)} FROM md GROUP BY line""")
 def clarke_modes(spark, sf):
+    """Weighted sums of each line's modal quantities."""
     df = signal.pair_terminals(halo_blocks(fx.two_terminal(spark, sf), CFG), ["line"], CH)
-    df = owned_samples(signal.modal_inputs(df), CFG).drop("blk")
-    return round_doubles(df, 9)
+    df = owned_samples(signal.modal_inputs(df), CFG)
+    weight = F.pmod("n", F.lit(7)) + 1
+    return round_doubles(df.groupBy("line").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(x) * weight).alias(x) for x in _MODES]), 4)
 
 
 @query("rms_prefix", f"""{with_views(SIG)}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(df: DataFrame) -> None:
@@ -20,6 +21,12 @@ def ensure_checkpoint_dir(df: DataFrame) -> None:
     sc.setCheckpointDir(folder)
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new folder name in the checkpoint folder, which driver and executors share."""
+    ensure_checkpoint_dir(spark.range(0))
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors."""
     ensure_checkpoint_dir(df)

@@ -14,7 +14,7 @@ def table(spark):
 
 def test_transfer_beats_the_constant(spark):
     t = table(spark).cache()
-    p = model.TreeParams(max_iter=8, step=0.3, depth=4, min_rows=10, seeds=(0, 1))
+    p = model.BoostParams(max_iter=8, step=0.3, leaves=12, min_rows=10, seeds=(0, 1))
     out = model.evaluate_transfer(t, ["a"], "b", TD_FEATURES, p)
     m = model.metrics(out, ["direction"]).first()
     assert m.direction == "a_to_b" and m.n == 400
@@ -23,7 +23,7 @@ def test_transfer_beats_the_constant(spark):
 
 def test_ablations_resume(spark):
     t = table(spark).cache()
-    p = model.TreeParams(max_iter=1, depth=2, min_rows=10, seeds=(0,))
+    p = model.BoostParams(max_iter=1, leaves=4, min_rows=10, seeds=(0,))
     groups = {"first": TD_FEATURES[:3], "rest": TD_FEATURES[3:6]}
     rows = model.run_ablations(t, [(["a"], "b"), (["b"], "a")], p, groups, done={("first", "a_to_b")}).collect()
     assert {(r.ablation, r.direction) for r in rows} == {("first", "b_to_a"), ("rest", "a_to_b"), ("rest", "b_to_a")}
