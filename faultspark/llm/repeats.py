@@ -10,6 +10,12 @@ choose the same place, so every repetition shows between chosen positions that s
    the widest stretch that it shares with others in one piece.
 4. Stretches are united per text and removed.
 
+Runs in more than ``BIG`` places are not gathered. Of two places that share ``LENGTH`` bytes around a run, both have the same block of
+``LENGTH - STEP + 1`` bytes at one of a few distances before the run, so blocks are looked up first, by combined counts of their
+hashes, and then, within a step of the blocks that occur twice, the strings of ``LENGTH`` bytes themselves (:func:`starts_shared`). A
+task passes each different string on once and settles at once those that it has seen twice; no group is ever in one place.
+These hashes have 128 bits and are not verified.
+
 Equal texts are one content with a count, so copies are never compared or expanded: from two on all their bytes go if there are
 ``LENGTH`` of them. Equal surroundings are one entry with a count as well: within a task before they are dealt (so a phrase
 repeated thousands of times, or a large group of near copies, moves little), and again within the group.
@@ -35,18 +41,22 @@ from faultspark.llm.suffixes import deep_shallow, extents
 LENGTH, RUN = 400, 100
 #: Bytes hashed in one go; longer texts are taken in stretches that overlap by a string.
 STRETCH = 1 << 20
+#: Places of one run from which on it is looked up by counts, distance of the blocks looked up first, and strings that a task combines.
+BIG, STEP, COMBINED = 2_000, 50, 1_000_000
+#: Starts of strings that are united in one go.
+UNITED = 4_096
 #: Surroundings that a task remembers while it looks for equal ones; then it starts afresh.
 SEEN = 8_000
 _POSITION = np.uint64((1 << 24) - 1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _OTHER_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int, base: np.uint64 = _BASE) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    inverse = np.uint64(pow(int(base), -1, 1 << 64))
     out = []
     with np.errstate(over="ignore"):
-        for b in (_BASE, inverse):
+        for b in (base, inverse):
             p = np.full(n, b, np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
@@ -123,6 +133,99 @@ class Chooser:
         return np.array([g[0] for g in group])[k], at - starts[k] + np.array([g[1] for g in group])[k], h
 
 
+class StringHashes:
+    """Two hashes of 64 bits of the strings of ``length`` bytes that start at given places of a text."""
+
+    def __init__(self, length: int):
+        self.length = length
+        self.values = np.random.default_rng(2).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+        self.powers = [(np.ones(1, np.uint64),) * 2] * 2
+
+    def of(self, piece: bytes) -> np.ndarray:
+        """2 x starts; ``piece`` is at least ``length`` bytes long."""
+        data = np.frombuffer(piece, np.uint8)
+        n = len(data)
+        if len(self.powers[0][0]) < n:
+            self.powers = [_powers(n, base) for base in (_BASE, _OTHER_BASE)]
+        out = []
+        with np.errstate(over="ignore"):
+            for values, (up, down) in zip(self.values, self.powers):
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data] * up[:n], dtype=np.uint64)])
+                h = (sums[self.length:] - sums[:n - self.length + 1]) * down[:n - self.length + 1]
+                out.append((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93))
+        return np.stack(out)
+
+
+def starts_shared(texts: DataFrame, length: int) -> DataFrame:
+    """(content, a, b): ranges of starts, b included, whose strings of ``length`` bytes start in more than one place.
+
+    ``texts``: (content, data, ranges), ranges of starts as (a, b), b included; contents are unique.
+    """
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = StringHashes(length)
+        held: list[tuple[bytes, int, np.ndarray]] = []
+        count = 0
+
+        def combined() -> pa.RecordBatch:
+            """Known ranges (no hash), and each different string once, with the least and largest of its places."""
+            h = np.concatenate([x for _, _, x in held], axis=1)
+            sizes = np.array([x.shape[1] for _, _, x in held])
+            of = np.repeat(np.arange(len(held)), sizes)
+            start = np.concatenate([np.arange(a, a + k) for (_, a, _), k in zip(held, sizes)])
+            names = np.array([int.from_bytes(c[:8], "little") for c, _, _ in held], np.uint64)
+            with np.errstate(over="ignore"):
+                place = (names[of] ^ (start.astype(np.uint64) * _BASE)).view(np.int64)
+            order = np.lexsort((h[1], h[0]))
+            first = np.concatenate([[True], (np.diff(h[0][order]) != 0) | (np.diff(h[1][order]) != 0)])
+            begin = np.flatnonzero(first)
+            low, high = np.minimum.reduceat(place[order], begin), np.maximum.reduceat(place[order], begin)
+            twice = low != high
+            many = np.zeros(len(order), bool)
+            many[order] = np.repeat(twice, np.diff(np.append(begin, len(order))))
+            one = order[begin]
+            rows = [(int(h[0][i].view(np.int64)), int(h[1][i].view(np.int64)), int(lo), int(hi), None if t else held[of[i]][0], int(start[i]), int(start[i]))
+                    for i, lo, hi, t in zip(one, low, high, twice)]
+            for k in np.unique(of[many]):
+                mine = np.unique(start[many & (of == k)])
+                for part in np.split(mine, np.flatnonzero(np.diff(mine) > 1) + 1):
+                    rows.append((None, None, None, None, held[k][0], int(part[0]), int(part[-1])))
+            kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["s", "t", "low", "high", "content", "a", "b"])
+
+        for batch in batches:
+            for content, data, ranges in zip(batch.column("content").to_pylist(), byte_texts(batch, "data"), batch.column("ranges").to_pylist()):
+                for a, b in united([(r["a"], r["b"] + 1) for r in ranges]):
+                    for lo in range(a, b, STRETCH):
+                        hi = min(b, lo + STRETCH)
+                        held.append((content, lo, hashes.of(data[lo:hi - 1 + length])))
+                        count += hi - lo
+                        if count > COMBINED:
+                            yield combined()
+                            held, count = [], 0
+        if held:
+            yield combined()
+
+    rows = stored(texts.mapInArrow(per_task, "s long, t long, low long, high long, content binary, a long, b long"))
+    strings = rows.where("s is not null")
+    twice = strings.groupBy("s", "t").agg(F.min("low").alias("l"), F.max("high").alias("r")).where("l <> r").select("s", "t")
+    met = strings.where("content is not null").join(twice, ["s", "t"]).select("content", "a", "b")
+    return met.unionAll(rows.where("s is null").select("content", "a", "b"))
+
+
+def united_spans(ranges: DataFrame, length: int) -> DataFrame:
+    """(content, a, b): the bytes that strings starting in the ranges cover, in a few pieces per text; b excluded."""
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(name, x, y) for name, some in zip(b.column("content").to_pylist(), b.column("ranges").to_pylist())
+                   for x, y in united([(r["a"], r["b"] + length) for r in some])]
+            cols = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())],
+                                             names=["content", "a", "b"])
+
+    near = ranges.groupBy("content", F.floor(F.col("a") / UNITED)).agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+    return near.select("content", "ranges").mapInArrow(per_task, "content binary, a long, b long")
+
+
 def group_stretches(places: list[tuple[bytes, int, bytes, int]], length: int = LENGTH, run: int = RUN) -> list[tuple[bytes, int, int]]:
     """Repeated stretches (content, start, end) at places that share a run: (content, position, surroundings, bytes before)."""
     entries: dict[tuple[bytes, int], dict[tuple[bytes, int], None]] = {}
@@ -158,8 +261,8 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove(docs: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
+def remove(docs: DataFrame, length: int = LENGTH, run: int = RUN, big: int = BIG) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row. ``big``: places of one run from which on it is looked up by counts."""
     bytes_of = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = docs.select("doc_id", bytes_of.alias("data"))
     content = F.unhex(F.substring(F.sha2("data", 256), 1, 32))
@@ -175,8 +278,9 @@ def remove(docs: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
     places = stored(rows.select("data", content.alias("content")).mapInArrow(chosen, "h long, content binary, at long"))
     where = F.xxhash64("content", "at")
     # Stored, so that the join below stands on plain exchanges and Spark can split a run that very many texts share.
-    shared = stored(places.groupBy("h").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").select("h"))
-    wanted = (places.join(shared, "h").groupBy("content").agg(F.collect_set(F.struct("h", "at")).alias("places")))
+    shared = stored(places.groupBy("h").agg(F.min(where).alias("a"), F.max(where).alias("b"), F.count("*").alias("n")).where("a <> b")
+                    .select("h", (F.col("n") > big).alias("big")))
+    wanted = (places.join(shared, "h").groupBy("content").agg(F.collect_set(F.struct("h", "at", "big")).alias("places")))
     first = rows.groupBy(content.alias("content")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     contents = first.join(wanted, "content", "left")
     texts = (rows.withColumnRenamed("doc_id", "id").join(contents.where("places is not null").select("content", "doc_id", "places"),
@@ -194,6 +298,8 @@ def remove(docs: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
             for key, some, data in zip(b.column("content").to_pylist(), b.column("places").to_pylist(), byte_texts(b, "data")):
                 known: list[tuple[bytes, int, int]] = []
                 for p in some:
+                    if p["big"]:
+                        continue
                     at, lo = p["at"], max(0, p["at"] - reach)
                     text = data[lo:at + length]
                     first = seen.setdefault((p["h"], at - lo, text), [])
@@ -239,8 +345,23 @@ def remove(docs: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
         out += group_stretches(group, length, run) if len(group) > 1 else []
         yield emit()
 
+    # Of big runs: blocks at steps before the run, then the strings within a step before the blocks that occur twice.
+    step = min(STEP, length - run)
+    size = F.length("data")
+    hot = texts.where("exists(places, p -> p.big)")
+    blocks = F.array_distinct(F.flatten(F.transform(F.filter("places", lambda p: p["big"]), lambda p: F.transform(
+        F.sequence(F.lit(0), F.lit(length - run), F.lit(step)), lambda t: p["at"] - t))))
+    blocks = F.filter(blocks, lambda a: (a >= 0) & (a + (length - step + 1) <= size))
+    one = lambda a: F.struct(a.alias("a"), a.alias("b"))
+    seen = starts_shared(hot.select("content", "data", F.transform(blocks, one).alias("ranges")), length - step + 1)
+    seen = seen.select("content", F.explode(F.sequence("a", "b")).alias("a")).groupBy("content").agg(F.collect_set("a").alias("blocks"))
+    strings = F.filter(F.transform("blocks", lambda a: F.struct(F.greatest(a - (step - 1), F.lit(0)).alias("a"), F.least(a, size - length).cast("long").alias("b"))),
+                       lambda r: r["a"] <= r["b"])
+    again = hot.join(seen, "content").select("content", "data", strings.alias("ranges"))
+    covered = united_spans(starts_shared(again, length), length)
+
     dealt = texts.mapInArrow(around, "h long, content binary, at long, around binary, before int, stop long").repartition("h").sortWithinPartitions("h")
-    found = (dealt.mapInArrow(stretches, "content binary, a long, b long").groupBy("content")
+    found = (dealt.mapInArrow(stretches, "content binary, a long, b long").unionAll(covered).groupBy("content")
              .agg(F.collect_set(F.struct("a", "b")).alias("spans")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

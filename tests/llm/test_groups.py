@@ -240,6 +240,8 @@ def test_repeats_small(spark, length, run):
     want = brute_removed([(t or "").encode() for _, t in rows], length)
     got = Counter(map(tuple, repeats.remove(docs, length, run).collect()))
     assert got == Counter((i, *w) for (i, _), w in zip(rows, want))
+    for big in (0, 4):  # runs looked up by counts: all, or the frequent ones
+        assert Counter(map(tuple, repeats.remove(docs, length, run, big).collect())) == got
     assert repeats.remove(docs.limit(0), length, run).count() == 0
 
 
@@ -247,7 +249,23 @@ def test_repeats_query(spark):
     docs = common.table(spark, SF, "documents").where("doc_id < 300")
     rows = docs.select("doc_id", "text").collect()
     want = brute_removed([r.text.encode() for r in rows], 400)
-    assert Counter(map(tuple, repeats.remove(docs).collect())) == Counter((r.doc_id, *w) for r, w in zip(rows, want))
+    for big in (repeats.BIG, 3):
+        assert Counter(map(tuple, repeats.remove(docs, big=big).collect())) == Counter((r.doc_id, *w) for r, w in zip(rows, want))
+
+
+def test_starts_shared(spark, monkeypatch):
+    """Combined within a task or not, and over tasks."""
+    rng = random.Random(6)
+    rows = [(bytes([i] * 16), bytes(rng.choices(b"ab", k=rng.randint(8, 60)))) for i in range(40)]
+    ranges = [[(a, min(a + 4, len(t) - 8)) for a in range(0, len(t) - 7, 7)] for _, t in rows]
+    found = [(c, a) for (c, t), some in zip(rows, ranges) for lo, hi in some for a in range(lo, hi + 1)]
+    count = Counter(dict(rows)[c][a:a + 8] for c, a in found)
+    want = {(c, a) for c, a in found if count[dict(rows)[c][a:a + 8]] > 1}
+    texts = spark.createDataFrame([(c, t, some) for (c, t), some in zip(rows, ranges)], "content binary, data binary, ranges array<struct<a:long,b:long>>").repartition(3)
+    for most in (repeats.COMBINED, 20):
+        monkeypatch.setattr(repeats, "COMBINED", most)
+        got = repeats.starts_shared(texts, 8).collect()
+        assert {(bytes(r.content), a) for r in got for a in range(r.a, r.b + 1)} == want
 
 
 def test_repeats_stretches():
