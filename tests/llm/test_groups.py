@@ -302,17 +302,32 @@ def test_neighbours_scan_is_exact_without_tests(monkeypatch):
     x = rng.normal(size=(900, 40))
     ids = np.arange(900)
     lists = neighbours.fit(ids, x, 5)
-    q = neighbours.unit(x[:60]) @ lists.rotation
-    queries = neighbours.Queries(ids[:60], x[:60], q, np.ones((60, len(lists.centres)), bool), neighbours.first_bounds(lists, ids[:60], q, 5))
-    best = [np.full((60, 5), -np.inf), np.full((60, 5), -1)]
-    for at in range(0, 900, 250):
-        neighbours.scan(lists, queries, ids[at:at + 250], x[at:at + 250], best, 5)
     s = neighbours.unit(x[:60]) @ neighbours.unit(x).T
     s[np.arange(60), np.arange(60)] = -2
-    assert (best[1] == np.argsort(-s, 1)[:, :5]).all()
+    bound = 2 - 2 * np.sort(s, 1)[:, -9]
+    for tested in (True, False):
+        queries = neighbours.Queries.of(ids[:60], x[:60], bound, lists.rotation, 5)
+        for at in range(0, 900, 250):
+            neighbours.scan(queries, ids[at:at + 250], x[at:at + 250], lists.rotation, tested)
+        assert (queries.owner == np.argsort(-s, 1)[:, :5]).all()
 
 
-def test_neighbours_odd(spark):
+def test_neighbours_route():
+    """Lists are added while those of a query hold fewer than k others; bounds come from its own lists only."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2_000, 12))
+    lists = neighbours.fit(np.arange(2_000), x, 5)
+    lists.probes = 1
+    u = neighbours.unit(x[:40]) @ lists.rotation
+    sizes = np.where(np.arange(len(lists.centres)) % 2, 3, 2)
+    probed, bound = neighbours.route(lists, sizes, np.arange(40), np.ones(40, np.int64), u, 5)
+    assert (probed.sum(1) >= 2).all() and ((probed * sizes).sum(1) >= 6).all() and ((probed * sizes).sum(1) < 9).all()
+    for i in range(40):
+        own = np.flatnonzero(probed[i][lists.sample_lists] & (np.arange(2_000) != i))
+        assert abs(bound[i] - np.sort(2 - 2 * lists.sample[own] @ u[i])[4]) < 1e-9
+
+
+def test_neighbours_odd(spark, monkeypatch):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (3, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (50, [0.0, 0.0]), (100, None), (150, [nan, 1.0]),
             (200, [None, 1.0]), (250, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (300, [0.0, 1.0]), (2, [1.0, 1.0])]
@@ -323,7 +338,9 @@ def test_neighbours_odd(spark):
         (0, 1, 1, 1.0), (0, 2, 3, 1.0), (0, 3, 2, round(half, 9)), (0, 4, 2, round(half, 9)), (0, 5, 300, 0.0),
         (300, 1, 2, round(half, 9)), (300, 2, 2, round(half, 9)), (300, 3, 0, 0.0), (300, 4, 1, 0.0), (300, 5, 3, 0.0)]
     assert neighbours.search(table.limit(0)).count() == 0
-    assert neighbours.search(table, block_queries=1).count() == 10
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 2)
+    monkeypatch.setattr(neighbours, "TILE_QUERIES", 1)
+    assert [tuple(r) for r in neighbours.search(table).orderBy("query_id", "rank").collect()] == got
 
 
 def ranks_against_brute(table, rows):
@@ -349,11 +366,13 @@ def ranks_against_brute(table, rows):
 
 @pytest.mark.parametrize("sample", [8_192, 512, 40])
 def test_neighbours_all_ranks(spark, monkeypatch, sample):
-    """sf0.1, in a sample that holds the whole table and in ones that hold a part."""
+    """sf0.1, with lists from a tenth of the table or fewer rows, in whole lists and in tiles."""
     monkeypatch.setattr(neighbours, "SAMPLE", sample)
+    monkeypatch.setattr(neighbours, "TILE_ROWS", sample)
+    monkeypatch.setattr(neighbours, "TILE_QUERIES", max(4, sample // 100))
     table = common.table(spark, "/root/testdata/sf0.1", "embeddings")
     recall = ranks_against_brute(neighbours.search(table), [tuple(r) for r in table.select("vec_id", "embedding").collect()])
-    assert recall == 1 if sample > 2_000 else recall > 0.9
+    assert recall > 0.9
 
 
 @pytest.mark.parametrize("sample", [8_192, 512])
