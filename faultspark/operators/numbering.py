@@ -29,6 +29,10 @@ def group_key(keys: list[str]) -> dict[str, Column]:
     return {"__key": F.struct(*keys)} if keys else {}
 
 
+#: Bucket of rows whose order value is NULL.
+NO_BUCKET = -(1 << 62)
+
+
 def join_groups(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` where NULL equals NULL; ``keys`` must not be empty."""
     return (df.withColumns(group_key(keys)).join(other.withColumns(group_key(keys)).drop(*keys), "__key", how).drop("__key"))
@@ -41,9 +45,10 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list, weight: Column,
     ``bucket`` must not decrease along ``order``; the order must be total for
     the result to be unique. ``keys`` may be empty. Rows are dealt by (group,
     bucket) once, for the join with the bucket's offset and for the ordering.
+    Rows without a bucket come before all others.
     """
     key = list(group_key(keys))
-    rows = df.withColumns({**group_key(keys), "__bkt": bucket.cast("bigint"), "__wgt": weight})
+    rows = df.withColumns({**group_key(keys), "__bkt": F.coalesce(bucket.cast("bigint"), F.lit(NO_BUCKET)), "__wgt": weight})
     totals = (rows.groupBy(*key, "__bkt").agg(F.sum("__wgt").alias("__bw"))
               .withColumn("__sup", F.floor(F.col("__bkt") / fan)))
     zero = F.lit(0)

@@ -35,7 +35,7 @@ def hash_replicates(df: DataFrame, by: list[str], episode: str, errors: dict[str
     ep = indexed(episode_sums(df, by, episode, errors), by, episode)
     draws = ep.select(*by, F.col("n_ep"), F.col("idx").alias("_slot"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("rep"))
     draws = draws.select(*by, "rep", index_draw(F.col("n_ep"), seed, F.col("rep"), F.col("_slot")).alias("idx"))
-    hit = draws.join(ep.select(*by, "idx", *errors, "wins"), [*by, "idx"])
+    hit = join_groups(draws, ep.select(*by, "idx", *errors, "wins"), [*by, "idx"])
     return hit.groupBy(*by, "rep").agg(*[F.sum(k).alias(k) for k in errors], F.sum("wins").alias("wins"))
 
 
