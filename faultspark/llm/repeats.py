@@ -354,8 +354,8 @@ def remove(docs: DataFrame, length: int = LENGTH, run: int = RUN, big: int = BIG
     blocks = F.filter(blocks, lambda a: (a >= 0) & (a + (length - step + 1) <= size))
     one = lambda a: F.struct(a.alias("a"), a.alias("b"))
     seen = starts_shared(hot.select("content", "data", F.transform(blocks, one).alias("ranges")), length - step + 1)
-    seen = seen.select("content", F.explode(F.sequence("a", "b")).alias("a")).groupBy("content").agg(F.collect_set("a").alias("blocks"))
-    strings = F.filter(F.transform("blocks", lambda a: F.struct(F.greatest(a - (step - 1), F.lit(0)).alias("a"), F.least(a, size - length).cast("long").alias("b"))),
+    seen = seen.groupBy("content").agg(F.collect_set(F.struct("a", "b")).alias("blocks"))
+    strings = F.filter(F.transform("blocks", lambda r: F.struct(F.greatest(r["a"] - (step - 1), F.lit(0)).alias("a"), F.least(r["b"], size - length).cast("long").alias("b"))),
                        lambda r: r["a"] <= r["b"])
     again = hot.join(seen, "content").select("content", "data", strings.alias("ranges"))
     covered = united_spans(starts_shared(again, length), length)
