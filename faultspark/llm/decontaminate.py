@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from faultspark.llm.common import byte_texts
 
@@ -223,9 +224,9 @@ def document_words(texts: list[bytes], hashes: WordHashes) -> list[np.ndarray]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """The benchmark in blocks of at most ``block_items`` rows, one at a time on the driver."""
-    rows = (benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+def item_blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple[object, list[bytes]]]]:
+    """The benchmark in blocks of at most ``block_items`` rows, one at a time on the driver; ids may be null and of any type."""
+    rows = (benchmark.where(F.col("text").isNotNull())
             .select("item_id", F.col("text").cast("binary").alias("text")).distinct())
     n = rows.count()
     parts = max(1, -(-n // max(1, block_items // 2)))
@@ -240,15 +241,18 @@ def item_blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple[i
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, start_word, windows, similarity): each document and item with a matching window.
 
-    Rows without doc_id are searched as well and carry a null.
+    Rows without doc_id are searched as well and carry a null, and so do matches of items without item_id.
     """
     out = None
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     spark = docs.sparkSession
     for items in item_blocks(benchmark, block_items):
-        shared = spark.sparkContext.broadcast(sorted(items))
+        items.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]) if not isinstance(x[0], str) else (True, x[0], x[1]))
+        names = [i for i, _ in items]
+        shared = spark.sparkContext.broadcast([(place, words) for place, (_, words) in enumerate(items)])
 
-        def per_task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def per_task(batches: Iterator[pa.RecordBatch], shared=shared, names=names) -> Iterator[pa.RecordBatch]:
             index, hashes = None, WordHashes()
             for b in batches:
                 index = index or ItemIndex(shared.value, radius)
@@ -257,17 +261,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK
                     found += [(row, *x) for x in search(index, words)]
                 cols = list(zip(*found)) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [docs_of.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
+                    [docs_of.take(pa.array(cols[0], pa.int64())), pa.array([names[i] for i in cols[1]], item_type), pa.array(cols[2], pa.int64()),
                      pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.float64())],
                     names=["doc_id", "item_id", "start_word", "windows", "similarity"])
 
         rows = docs.select("doc_id", F.col("text").cast("binary").alias("bytes")).mapInArrow(
-            per_task, f"doc_id {kind}, item_id long, start_word long, windows long, similarity double")
+            per_task, f"doc_id {kind}, item_id {item_kind}, start_word long, windows long, similarity double")
         out = rows if out is None else out.unionAll(rows)
-    return out.withColumn("item_id", F.col("item_id").cast(item_kind))
+    return out
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Pipeline stage: documents without a matching window, with their columns. Rows without doc_id stay."""
-    found = contaminated(docs.where(F.col("doc_id").isNotNull()), benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: documents without a matching window, with their columns.
+
+    Texts are named by their digests, so rows without doc_id are decided like any other, and rows that repeat a doc_id each by its own text.
+    """
+    name = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    found = contaminated(docs.select(name.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__text")).distinct()
+    return docs.withColumn("__text", name).join(found, "__text", "left_anti").select(*docs.columns)

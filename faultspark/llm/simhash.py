@@ -171,10 +171,12 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: the row with the smallest doc_id of each component; of rows that repeat that doc_id one stays.
+    """Pipeline stage: of each component one row, that with the smallest doc_id (those without come last).
 
-    Rows without doc_id cannot be named, so they all stay.
+    Rows are named by doc_id and a digest of the text, so of rows with one doc_id and different texts each is decided for
+    itself, and of rows that are equal in both one stays.
     """
-    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    named = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", digest.alias("digest")))
+    first = near_duplicates(named.select(F.col("__row").alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("__row")).distinct()
+    return named.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)

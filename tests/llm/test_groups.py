@@ -98,7 +98,9 @@ def test_simhash_classes(spark, odd):
     assert simhash.classes(odd.limit(0)).count() == 0
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 3, 4, None, None])
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, None), (3, ODD[2][1]), (4, ODD[3][1]), (None, "no id")])
+    twice = spark.createDataFrame([(7, "one text of its own here"), (7, "quite another text under that id"), (None, "one text of its own here")], "doc_id long, text string")
+    assert Counter(r.doc_id for r in simhash.keep_one(twice).collect()) == {7: 2}
 
 
 def test_simhash_near_group(spark, monkeypatch):
@@ -161,7 +163,11 @@ def test_decontamination(spark, odd):
         assert len(found) == len(want) > 50
     kept = decontaminate.keep_clean(table, bench)
     assert kept.columns == table.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, _ in docs if d is None or not any(k[0] == d for k in want))
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, _ in docs if not any(k[0] == d for k in want))
+    for ids in ("string", "null"):  # ids of another type, and none: the texts count
+        named = bench.withColumn("item_id", F.concat(F.lit("i"), "item_id") if ids == "string" else F.lit(None).cast("string"))
+        assert decontaminate.contaminated(table, named).select("doc_id").distinct().count() == len({d for d, _ in want})
+        assert Counter(r.doc_id for r in decontaminate.keep_clean(table, named).collect()) == Counter(r.doc_id for r in kept.collect())
     assert decontaminate.contaminated(table.limit(0), bench).count() == 0 == decontaminate.contaminated(table, bench.limit(0)).count()
 
 
