@@ -204,3 +204,15 @@ def test_label_split_and_parameter_files(spark, tmp_path):
     from faultspark.operators.lines import totals
     t = totals(tables.read_line_params(spark, str(tmp_path / "lines.csv"))).first()
     assert (t.z1r, t.z1x, t.z0r, t.z0x) == pytest.approx((1, 2, 3, 4))
+
+
+def test_rows_without_order_or_group(spark):
+    """Rows whose order value is NULL come first, and the NULL group is resampled like any other."""
+    rows = [("a", None, 1.0)] + [("a", i, float(i)) for i in range(9)] + [(None, i, 2.0) for i in range(5)] + [(None, None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, ep long, e double")
+    out = numbering.number_rows(df, ["g"], ["ep"], F.floor(F.col("ep") / 4), "i", total="n").collect()
+    assert sorted((r.g or "", r.i) for r in out) == sorted([("a", i) for i in range(10)] + [("", i) for i in range(6)])
+    assert all(r.i == 0 for r in out if r.ep is None) and {(r.g, r.n) for r in out} == {("a", 10), (None, 6)}
+    reps = resample.hash_replicates(df, ["g"], "ep", {"e": F.col("e")}, 20).collect()
+    assert {(r.g, r.rep) for r in reps} == {(g, k) for g in ("a", None) for k in range(20)}
+    assert all(r.wins == (10 if r.g else 6) for r in reps)
