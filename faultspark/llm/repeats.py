@@ -157,7 +157,9 @@ class StringHashes:
 
 
 def starts_shared(texts: DataFrame, length: int) -> DataFrame:
-    """(content, a, b): ranges of starts, b included, whose strings of ``length`` bytes start in more than one place.
+    """(content, ranges): starts whose strings of ``length`` bytes start in more than one place, as ranges (a, b), b included.
+
+    A content may come in several rows.
 
     ``texts``: (content, data, ranges), ranges of starts as (a, b), b included; contents are unique.
     """
@@ -167,7 +169,7 @@ def starts_shared(texts: DataFrame, length: int) -> DataFrame:
         count = 0
 
         def combined() -> pa.RecordBatch:
-            """Known ranges (no hash), and each different string once, with the least and largest of its places."""
+            """Each different string once, with the least and largest of its places, and a row for each text with what is known to repeat."""
             h = np.concatenate([x for _, _, x in held], axis=1)
             sizes = np.array([x.shape[1] for _, _, x in held])
             of = np.repeat(np.arange(len(held)), sizes)
@@ -183,14 +185,17 @@ def starts_shared(texts: DataFrame, length: int) -> DataFrame:
             many = np.zeros(len(order), bool)
             many[order] = np.repeat(twice, np.diff(np.append(begin, len(order))))
             one = order[begin]
-            rows = [(int(h[0][i].view(np.int64)), int(h[1][i].view(np.int64)), int(lo), int(hi), None if t else held[of[i]][0], int(start[i]), int(start[i]))
+            rows = [(int(h[0][i].view(np.int64)), int(h[1][i].view(np.int64)), int(lo), int(hi), None if t else held[of[i]][0], int(start[i]), None)
                     for i, lo, hi, t in zip(one, low, high, twice)]
-            for k in np.unique(of[many]):
-                mine = np.unique(start[many & (of == k)])
-                for part in np.split(mine, np.flatnonzero(np.diff(mine) > 1) + 1):
-                    rows.append((None, None, None, None, held[k][0], int(part[0]), int(part[-1])))
-            kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["s", "t", "low", "high", "content", "a", "b"])
+            known: dict[bytes, list[tuple[int, int]]] = {}
+            ends = np.cumsum(sizes)
+            for (content, a, _), lo, hi in zip(held, ends - sizes, ends):
+                at = a + np.flatnonzero(many[lo:hi])
+                for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
+                    known.setdefault(content, []).append((int(part[0]), int(part[-1])))
+            rows += [(None, None, None, None, content, None, [{"a": x, "b": y} for x, y in some]) for content, some in known.items()]
+            kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["s", "t", "low", "high", "content", "at", "known"])
 
         for batch in batches:
             for content, data, ranges in zip(batch.column("content").to_pylist(), byte_texts(batch, "data"), batch.column("ranges").to_pylist()):
@@ -205,11 +210,12 @@ def starts_shared(texts: DataFrame, length: int) -> DataFrame:
         if held:
             yield combined()
 
-    rows = stored(texts.mapInArrow(per_task, "s long, t long, low long, high long, content binary, a long, b long"))
+    rows = stored(texts.mapInArrow(per_task, "s long, t long, low long, high long, content binary, at long, known array<struct<a:long,b:long>>"))
     strings = rows.where("s is not null")
     twice = strings.groupBy("s", "t").agg(F.min("low").alias("l"), F.max("high").alias("r")).where("l <> r").select("s", "t")
-    met = strings.where("content is not null").join(twice, ["s", "t"]).select("content", "a", "b")
-    return met.unionAll(rows.where("s is null").select("content", "a", "b"))
+    met = (strings.where("content is not null").join(twice, ["s", "t"]).groupBy("content", F.floor(F.col("at") / UNITED))
+           .agg(F.collect_set(F.struct(F.col("at").alias("a"), F.col("at").alias("b"))).alias("ranges")))
+    return met.select("content", "ranges").unionAll(rows.where("s is null").select("content", "known"))
 
 
 def united_spans(ranges: DataFrame, length: int) -> DataFrame:
@@ -222,8 +228,7 @@ def united_spans(ranges: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())],
                                              names=["content", "a", "b"])
 
-    near = ranges.groupBy("content", F.floor(F.col("a") / UNITED)).agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
-    return near.select("content", "ranges").mapInArrow(per_task, "content binary, a long, b long")
+    return ranges.mapInArrow(per_task, "content binary, a long, b long")
 
 
 def group_stretches(places: list[tuple[bytes, int, bytes, int]], length: int = LENGTH, run: int = RUN) -> list[tuple[bytes, int, int]]:
@@ -354,7 +359,7 @@ def remove(docs: DataFrame, length: int = LENGTH, run: int = RUN, big: int = BIG
     blocks = F.filter(blocks, lambda a: (a >= 0) & (a + (length - step + 1) <= size))
     one = lambda a: F.struct(a.alias("a"), a.alias("b"))
     seen = starts_shared(hot.select("content", "data", F.transform(blocks, one).alias("ranges")), length - step + 1)
-    seen = seen.groupBy("content").agg(F.collect_set(F.struct("a", "b")).alias("blocks"))
+    seen = seen.groupBy("content").agg(F.flatten(F.collect_list("ranges")).alias("blocks"))
     strings = F.filter(F.transform("blocks", lambda r: F.struct(F.greatest(r["a"] - (step - 1), F.lit(0)).alias("a"), F.least(r["b"], size - length).cast("long").alias("b"))),
                        lambda r: r["a"] <= r["b"])
     again = hot.join(seen, "content").select("content", "data", strings.alias("ranges"))
