@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from faultspark.config import COMPACT as CFG
 from faultspark.functions.scalar import score
-from faultspark.operators import arrays, features, model, quality, recursive, report, resample, signal, two_ended, windows
+from faultspark.operators import arrays, features, model, quality, recursive, report, resample, signal, spectrum, two_ended, windows
 from faultspark.operators.blocks import halo_blocks, owned_samples
 from faultspark.operators.numbering import quantiles
 from faultspark.plans import fixtures as fx
@@ -169,8 +169,10 @@ AX = "ax AS (SELECT rec, channel, CAST(j - 1 AS INTEGER) AS n, x[j]::DOUBLE AS v
   FROM range(-63, 64) t(d), range(1, 32) u(k) GROUP BY d)
 SELECT a.rec, a.channel, a.n, {r('sum(b.v * g)')} AS x FROM ax a JOIN ax b USING (rec, channel) JOIN h ON h.d = a.n - b.n GROUP BY 1, 2, 3""")
 def fractional_delay(spark, sf):
-    df = arrays.fractional_delay(fx.arrays(spark, sf).drop("label"), "x", 50e-6, CFG.fs)
-    return round_doubles(arrays.to_samples(df, ["rec", "channel"], "x").withColumn("n", c("n").cast("int")))
+    """Samples delayed by a transform in two steps; no record is one row."""
+    s = arrays.to_samples(fx.arrays(spark, sf).drop("label"), ["rec", "channel"], "x")
+    df = spectrum.fractional_delay(s, ["rec", "channel"], "x", 50e-6, CFG.fs)
+    return round_doubles(df.withColumn("n", c("n").cast("int")))
 
 
 #: Samples of the cycles thought to come before a record: 0.2 s.
