@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultspark.llm.common import byte_texts, stored
@@ -177,6 +177,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     itself, and of rows that are equal in both one stays.
     """
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    named = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", digest.alias("digest")))
-    first = near_duplicates(named.select(F.col("__row").alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("__row")).distinct()
-    return named.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", digest.alias("digest"))
+
+    def name(r: Column) -> Column:
+        """A plain string, so that the join and the removal of repeated rows share one exchange of texts."""
+        return F.concat_ws(":", r["nameless"].cast("string"), r["digest"], r["doc_id"].cast("string"))
+
+    first = near_duplicates(docs.select(row.alias("doc_id"), "text")).where("doc_id = component_id").select(name(F.col("doc_id")).alias("__row")).distinct()
+    return docs.withColumn("__row", name(row)).join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
