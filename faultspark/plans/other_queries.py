@@ -14,7 +14,7 @@ from faultspark.plans import sqlsignal as ss
 from faultspark.plans.registry import query, round_doubles
 from faultspark.plans.signal_queries import CH, OVW, line_totals, rec_totals
 from faultspark.plans.sqlviews import EPISODES, PRED, SIG, r, with_views
-from faultspark.sources import record_source, records, sinks, tables
+from faultspark.sources import manifest, record_source, records, sinks, tables
 from faultspark.sources.stage import materialise, shared_path
 from faultspark.streaming import hop, live
 
@@ -113,6 +113,16 @@ def union_parts(spark, sf):
     return round_doubles(df.groupBy("model", "grid").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sum_y")), 4)
 
 
+@query("freeze_files")
+def freeze_files(spark, sf):
+    """Digest of every file of the table of samples, frozen twice: the second time from the manifest; no change is found."""
+    first = materialise(manifest.freeze(spark, f"{sf}/lineitem.parquet"))
+    again = manifest.freeze(spark, f"{sf}/lineitem.parquet", first)
+    changes = manifest.changed_files(first, again).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    out = again.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(changes.select("name", "change"), "name", "left")
+    return out.select("name", "length", "sha256", F.coalesce("change", F.lit("none")).alias("change"))
+
+
 # --- windows as arrays -------------------------------------------------------------------
 
 @query("raw_windows", f"""{with_views(SIG, EPISODES, OVW)}
