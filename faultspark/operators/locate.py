@@ -14,6 +14,7 @@ from faultspark.functions.cplx import neg_seq, wrap_angle
 from faultspark.operators import lines, signal, two_ended, windows
 from faultspark.operators.blocks import halo_blocks, owned_samples, touched_samples
 from faultspark.operators.features import CURRENT_FLOOR, DENOMINATOR_FLOOR, GROUND, LOOPS, ROTATION
+from faultspark.operators.moments import range_sums
 from faultspark.operators.numbering import column_quantiles, first_k, quantiles
 
 METHODS = ["R", "T", "T2", "MT", "E"]
@@ -196,49 +197,41 @@ def conditioning(samples: DataFrame, wins: DataFrame, params: DataFrame, keys: l
 PARTS = [f"{q}_{m}" for q in ("vs", "is", "vr", "ir") for m in signal.MODES]
 
 
-def ls_phasors(rows: DataFrame, group: list[str], cols: list[str], cfg: SignalConfig) -> DataFrame:
-    """Least-squares phasors a - jb of x ~ a cos + b sin + c + e t.
-
-    ``rows`` holds (group, n, t, cols); offset and drift are projected out of
-    the sums, which leaves a 2x2 system per signal. Fewer than four samples or
-    a singular system give NULL.
-    """
-    ang = F.pmod("n", F.lit(cfg.cycle)) * F.lit(2.0 * math.pi / cfg.cycle)
-    rows = rows.withColumns({"_c": F.cos(ang), "_s": F.sin(ang)})
+def ls_terms(cols: list[str]) -> tuple[dict[str, Column], dict[str, str], dict[str, str]]:
+    """What ``range_sums`` must sum for least squares: sums, their names weighted by t, and by t * t."""
     names = ["_c", "_s", *cols]
-    aggs = [F.count(F.lit(1)).alias("_n"), F.sum("t").alias("_t"), F.sum(F.col("t") * F.col("t")).alias("_tt")]
-    for u in names:
-        aggs += [F.sum(u).alias(f"{u}_1"), F.sum(F.col(u) * F.col("t")).alias(f"{u}_t")]
+    sums = {"_n": F.lit(1.0), **{f"{u}_1": F.col(u) for u in names}}
     for u in names:
         for b in ("_c", "_s"):
             if (u, b) != ("_s", "_c"):
-                aggs.append(F.sum(F.col(u) * F.col(b)).alias(f"{u}{b}"))
-    df = rows.groupBy(*group).agg(*aggs)
-    n, tt = F.col("_n"), F.col("_tt") - F.col("_t") * F.col("_t") / F.col("_n")
-    df = df.withColumn("_ttc", tt)
-    df = df.withColumns({f"{u}_tc": F.col(f"{u}_t") - F.col(f"{u}_1") * F.col("_t") / n for u in names})
-
-    def inner(u, v, name):
-        return (F.col(name) - F.col(f"{u}_1") * F.col(f"{v}_1") / n
-                - F.try_divide(F.col(f"{u}_tc") * F.col(f"{v}_tc"), F.col("_ttc")))
-
-    df = df.withColumns({"_cc": inner("_c", "_c", "_c_c"), "_cs": inner("_c", "_s", "_c_s"),
-                         "_ss": inner("_s", "_s", "_s_s"),
-                         **{f"{x}{b}r": inner(x, b, f"{x}{b}") for x in cols for b in ("_c", "_s")}})
-    det = F.col("_cc") * F.col("_ss") - F.col("_cs") * F.col("_cs")
-    df = df.withColumn("_det", F.when((n >= 4) & (det > 1e-12), det))
-    out = []
-    for x in cols:
-        xc, xs = F.col(f"{x}_cr"), F.col(f"{x}_sr")
-        out.append(((xc * F.col("_ss") - xs * F.col("_cs")) / F.col("_det")).alias(f"{x}_re"))
-        out.append((-(xs * F.col("_cc") - xc * F.col("_cs")) / F.col("_det")).alias(f"{x}_im"))
-    return df.select(*group, *out)
+                sums[f"{u}{b}"] = F.col(u) * F.col(b)
+    return sums, {"_n": "_t", **{f"{u}_1": f"{u}_t" for u in names}}, {"_n": "_tt"}
+
 
+def ls_phasors(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``df`` with least-squares phasors a - jb of x ~ a cos + b sin + c + e t from the sums of ``ls_terms``, as x_lre and x_lim.
 
-def dft_rows(rows: DataFrame, group: list[str], cols: list[str], cfg: SignalConfig) -> DataFrame:
-    agg = windows.with_dft_terms(rows, cfg).groupBy(*group).agg(
-        *[a.alias(k) for k, a in windows.dft_sums(cols, cfg).items()])
-    return agg.select(*group, *[F.col(f"{c}_{a}").alias(f"{c}_{b}") for c in cols for a, b in (("c", "re"), ("s", "im"))])
+    Offset and drift are projected out of the sums, which leaves a 2x2 system
+    per signal. Fewer than four samples or a singular system give NULL.
+    """
+    n, t = F.col("_n"), F.col("_t")
+    names = ["_c", "_s", *cols]
+    df = df.withColumns({"_spread": F.col("_tt") - t * t / n, **{f"{u}_cov": F.col(f"{u}_t") - F.col(f"{u}_1") * t / n for u in names}})
+
+    def inner(u, v):
+        return (F.col(f"{u}{v}") - F.col(f"{u}_1") * F.col(f"{v}_1") / n
+                - F.try_divide(F.col(f"{u}_cov") * F.col(f"{v}_cov"), F.col("_spread")))
+
+    df = df.withColumns({"_cc": inner("_c", "_c"), "_cs": inner("_c", "_s"), "_ss": inner("_s", "_s"),
+                         **{f"{x}{b}_res": inner(x, b) for x in cols for b in ("_c", "_s")}})
+    cc, cs, ss = (F.col(k) for k in ("_cc", "_cs", "_ss"))
+    df = df.withColumn("_det", F.when((n >= 4) & (cc * ss - cs * cs > 1e-12), cc * ss - cs * cs))
+    out = {}
+    for x in cols:
+        xc, xs = F.col(f"{x}_c_res"), F.col(f"{x}_s_res")
+        out[f"{x}_lre"] = (xc * ss - xs * cs) / F.col("_det")
+        out[f"{x}_lim"] = -(xs * cc - xc * cs) / F.col("_det")
+    return df.withColumns(out)
 
 
 def staged_locator(samples: DataFrame, wins: DataFrame, params: DataFrame, keys: list[str], cfg: SignalConfig,
@@ -247,19 +240,22 @@ def staged_locator(samples: DataFrame, wins: DataFrame, params: DataFrame, keys:
 
     From ``full_ms``: last-cycle phasors; from ``ls_ms``: least-squares phasors
     of the post-fault samples; earlier: mid-line. Positive sequence is
-    (alpha + j beta) / 2 of the modal phasors.
+    (alpha + j beta) / 2 of the modal phasors. Both kinds are sums between two
+    positions: no sample is copied per window.
     """
     pairs = signal.pair_terminals(halo_blocks(samples, cfg), keys, signal.CHANNELS)
     modal = owned_samples(signal.modal_inputs(pairs), cfg).drop("blk")
     late = F.col("tau_ms") >= full_ms
     skip = int(round(skip_s * cfg.fs))
-    w = wins.where(F.col("tau_ms") >= ls_ms).select(*keys, "win_end", "nf", "tau_ms")
-    rows = windows.assign_samples(modal, w, keys, cfg)
-    group = [*keys, "win_end"]
-    full = dft_rows(rows.where(late & (F.col("n") >= F.col("win_end") - cfg.cycle)), group, PARTS, cfg)
-    early = rows.where(~late & (F.col("n") >= F.col("nf") + skip)).withColumn(
-        "t", (F.col("n") - F.col("win_end")) / float(cfg.cycle))
-    ph = full.unionByName(ls_phasors(early, group, PARTS, cfg))
+    first = F.when(late, F.col("win_end") - cfg.cycle).otherwise(F.greatest(F.col("nf") + skip, F.col("win_end") - cfg.win))
+    ranges = wins.where(F.col("tau_ms") >= ls_ms).select(
+        *keys, "win_end", late.alias("_late"), F.greatest(first, F.lit(0)).alias("_first")).distinct()
+    sums, timed, squared = ls_terms(PARTS)
+    ph = range_sums(windows.with_dft_terms(modal, cfg).withColumnsRenamed({"_cos": "_c", "_sin": "_s"}), ranges, keys, sums,
+                    cfg.block, "_first", "win_end", timed, squared, cfg.cycle)
+    group, g = [*keys, "win_end"], 2.0 / cfg.cycle
+    last = {f"{x}_{p}": F.col(f"{x}{b}") * k for x in PARTS for p, b, k in (("re", "_c", g), ("im", "_s", -g))}
+    ph = ls_phasors(ph, PARTS).select(*group, *[F.when(F.col("_late"), v).otherwise(F.col(f"{k[:-3]}_l{k[-2:]}")).alias(k) for k, v in last.items()])
     j = 1j
     pos = {q: (cx(f"{q}_al") + cx(f"{q}_be") * j) * 0.5 for q in ("vs", "is", "vr", "ir")}
     df = ph.join(params, keys)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from faultspark.config import COMPACT as CFG
 from faultspark.functions.cplx import cx, neg_seq, pos_seq, put, zero_seq
-from faultspark.operators import episodes, features, lines, report, signal, two_ended, windows
+from faultspark.operators import episodes, features, lines, moments, report, signal, two_ended, windows
 from faultspark.operators.blocks import halo_blocks, owned_samples
 from faultspark.plans import fixtures as fx
 from faultspark.plans import sqlcx as q
@@ -188,6 +188,23 @@ def assign_samples(spark, sf):
         F.count(F.lit(1)).alias("samples"), F.sum(F.col("ia") * F.col("vb")).alias("iv"), F.max("vc").alias("vmax")))
 
 
+@query("range_moments", f"""{with_views(SIG, EPISODES, EVW)}, g AS (SELECT DISTINCT sim_idx AS rec, win_end AS hi, win_end - 37 AS lo FROM evw
+  UNION SELECT sim_idx, win_end, greatest(win_end - 151, 0) FROM evw)
+SELECT rec, lo, hi, count(*) AS samples, {r('avg(ia)')} AS mean_ia, {r('var_pop(ia)')} AS var_ia, {r('sum(ia * vb)')} AS iv, {r('regr_slope(ib, (n - hi) / 16.0::DOUBLE)')} AS slope_ib
+FROM g JOIN sig s USING (rec) WHERE s.n >= lo AND s.n < hi GROUP BY 1, 2, 3 HAVING count(*) > 1""")
+def range_moments(spark, sf):
+    """Mean, variance, cross product and slope over ranges of 37 and 151 samples that keep to no hop and no block."""
+    w = windows.event_windows(fx.episodes(spark, sf), CFG).select(F.col("sim_idx").alias("rec"), F.col("win_end").alias("hi"))
+    c = F.col
+    g = w.withColumn("lo", c("hi") - 37).unionByName(w.withColumn("lo", F.greatest(c("hi") - 151, F.lit(0)))).distinct()
+    sums = {"a": c("ia"), "aa": c("ia") * c("ia"), "iv": c("ia") * c("vb"), "b": c("ib"), "one": F.lit(1.0)}
+    m = moments.range_sums(fx.sig(spark, sf), g, ["rec"], sums, CFG.win, "lo", "hi", {"b": "bt", "one": "t"}, {"one": "tt"}, CFG.cycle)
+    n = c("_cnt")
+    return round_doubles(m.where(n > 1).select(
+        "rec", "lo", "hi", n.alias("samples"), (c("a") / n).alias("mean_ia"), (c("aa") / n - (c("a") / n) * (c("a") / n)).alias("var_ia"), "iv",
+        ((c("bt") - c("b") * c("t") / n) / (c("tt") - c("t") * c("t") / n)).alias("slope_ib")))
+
+
 _PH = [f"{p}_{c}_{x}" for p in "lf" for c in CH for x in ("re", "im")]
 
 
