@@ -14,7 +14,7 @@ from faultspark.plans import sqlsignal as ss
 from faultspark.plans.registry import query, round_doubles
 from faultspark.plans.signal_queries import CH, OVW, line_totals, rec_totals
 from faultspark.plans.sqlviews import EPISODES, PRED, SIG, r, with_views
-from faultspark.sources import manifest, record_source, records, sinks, tables
+from faultspark.sources import buckets, manifest, observe, publish, record_source, records, sinks, tables
 from faultspark.sources.stage import materialise, shared_path
 from faultspark.streaming import hop, live
 
@@ -123,6 +123,51 @@ def freeze_files(spark, sf):
     return out.select("name", "length", "sha256", F.coalesce("change", F.lit("none")).alias("change"))
 
 
+@query("publish_batches", f"""{with_views(PRED)} SELECT grid, win % 3 AS batch, count(*) AS n, {r('sum(est2)', 4)} AS total, 3::BIGINT AS added FROM pred GROUP BY 1, 2""")
+def publish_batches(spark, sf):
+    """Three batches published; one run is killed between its two steps, then all are run again, twice."""
+    path = shared_path(spark, "published")
+    p = fx.predictions(spark, sf).select("grid", "sim_idx", "win", "est2").withColumn("batch", F.pmod("win", F.lit(3)))
+    part = lambda k: p.where(c("batch") == k)
+    added = publish.publish(part(0), path, "0")
+    publish.write_part(part(1), path, "1")  # killed here
+    for _ in range(2):
+        added += sum(publish.publish(part(k), path, str(k)) for k in range(3))
+    rows = publish.published(spark, path).groupBy("grid", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum("est2").alias("total"))
+    return round_doubles(rows.withColumn("added", F.lit(added).cast("bigint")), 4)
+
+
+@query("observed_checks", f"""{with_views(SIG)}, s AS (SELECT * FROM sig WHERE NOT (rec % 3 = 0 AND n = 5)),
+a AS (SELECT rec, count(*) AS k, max(n) AS hi FROM s GROUP BY rec)
+SELECT 'samples' AS written, 'rows' AS metric, count(*) AS value FROM s UNION ALL SELECT 'samples', 'records', count(*) FROM s WHERE n = 0
+UNION ALL SELECT 'samples', 'before_start', 0 UNION ALL SELECT 'samples', 'undefined', count(*) FROM s WHERE rec % 4 = 0 AND n = 9
+UNION ALL SELECT 'violations', 'count', count(*) FROM a WHERE k != 550 UNION ALL SELECT 'violations', 'start', 0
+UNION ALL SELECT 'violations', 'span', count(*) FROM a WHERE hi != 549 UNION ALL SELECT 'violations', 'gaps', count(*) FROM a WHERE hi + 1 != k
+UNION ALL SELECT 'violations', 'undefined', count(*) FROM a WHERE rec % 4 = 0
+UNION ALL SELECT 'headers', 'units', count(DISTINCT s_suppkey // 2) FROM supplier WHERE (s_suppkey // 2) % 3 = 0""")
+def observed_checks(spark, sf):
+    """Samples with faults, their violations and those of wrong heads: each table is written once and counted on the way."""
+    s = fx.sig(spark, sf).where(~((F.pmod("rec", F.lit(3)) == 0) & (c("n") == 5)))
+    s = s.withColumn("ia", F.when((F.pmod("rec", F.lit(4)) == 0) & (c("n") == 9), float("nan")).otherwise(c("ia")))
+    path = shared_path(spark, "checked")
+    found = {"samples": observe.write_checked(s, f"{path}/samples", observe.sample_checks())}
+    stored = spark.read.parquet(f"{path}/samples")
+    found["violations"] = observe.write_checked(records.validate_samples(stored, ["rec"], 550), f"{path}/violations",
+                                                observe.rule_counts(["count", "start", "span", "gaps", "undefined"]))
+    found["headers"] = observe.write_checked(header_violations(spark, sf), f"{path}/headers", observe.rule_counts(["units"]))
+    return spark.createDataFrame([(t, k, v) for t, m in found.items() for k, v in m.items()], "written string, metric string, value bigint")
+
+
+@query("pair_stored", f"""{with_views(SIG, _TWO)} SELECT t.line, count(*) AS n, {r('sum(a.ia * b.ia)', 4)} AS ii, {r('sum(a.va * b.vc)', 4)} AS vv
+FROM both_n t JOIN sig a ON a.rec = 2 * t.line AND a.n = t.n JOIN sig b ON b.rec = 2 * t.line + 1 AND b.n = t.n GROUP BY 1""")
+def pair_stored(spark, sf):
+    """Both ends of a line, stored once by (line, block): pairing reads its buckets and shuffles nothing."""
+    blocked = halo_blocks(fx.two_terminal(spark, sf), CFG)
+    stored = buckets.write_bucketed(blocked, shared_path(spark, "paired"), ["line", "blk"], 8)
+    pairs = owned_samples(signal.pair_terminals(stored, ["line"], CH), CFG)
+    return round_doubles(pairs.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.sum(c("ia") * c("r_ia")).alias("ii"), F.sum(c("va") * c("r_vc")).alias("vv")), 4)
+
+
 # --- windows as arrays -------------------------------------------------------------------
 
 @query("raw_windows", f"""{with_views(SIG, EPISODES, OVW)}
