@@ -210,7 +210,8 @@ def starts_shared(texts: DataFrame, length: int) -> DataFrame:
         if held:
             yield combined()
 
-    rows = stored(texts.mapInArrow(per_task, "s long, t long, low long, high long, content binary, at long, known array<struct<a:long,b:long>>"))
+    # Heavy texts are few: by ranges of their digests each task gets the same number, which hash partitions do not give.
+    rows = stored(texts.repartitionByRange("content").mapInArrow(per_task, "s long, t long, low long, high long, content binary, at long, known array<struct<a:long,b:long>>"))
     strings = rows.where("s is not null")
     twice = strings.groupBy("s", "t").agg(F.min("low").alias("l"), F.max("high").alias("r")).where("l <> r").select("s", "t")
     met = (strings.where("content is not null").join(twice, ["s", "t"]).groupBy("content", F.floor(F.col("at") / UNITED))
