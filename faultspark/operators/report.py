@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultspark.functions.scalar import bucketise, is_incipient, is_transient, ladder, score, to_metres
+from faultspark.operators.joins import checked_unique, must
 from faultspark.operators.numbering import best_row, column_quantiles, join_groups, quantiles
 
 # --- fixed bin edges of the reports -------------------------------------------
@@ -282,3 +283,9 @@ def error_stats(df: DataFrame, by: list[str], err: str = "e", length: str = "len
 def format_metrics(df: DataFrame, name: str, value: str, digits: int) -> DataFrame:
     """Display text with thousands separators, one row per metric name."""
     return df.select(F.col(name), F.format_number(value, digits).alias("text"))
+
+
+def named_metrics(df: DataFrame, name: str, value: str, digits: int) -> DataFrame:
+    """Display texts under names made of letters only, each once; the first other name fails the job."""
+    ok = F.coalesce(F.col(name).rlike("^[A-Za-z]+$"), F.lit(False))
+    return format_metrics(checked_unique(must(df, ok, f"{name}: a metric is named by letters only"), [name], "metrics"), name, value, digits)

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from faultspark.config import COMPACT as CFG
 from faultspark.functions.scalar import score
-from faultspark.operators import arrays, features, model, quality, recursive, report, resample, signal, spectrum, two_ended, windows
+from faultspark.operators import arrays, features, lines, model, quality, recursive, report, resample, signal, spectrum, two_ended, windows
 from faultspark.operators.blocks import halo_blocks, owned_samples
 from faultspark.operators.numbering import quantiles
 from faultspark.plans import fixtures as fx
 from faultspark.plans import sqlsignal as ss
 from faultspark.plans.registry import query, round_doubles
 from faultspark.plans.signal_queries import CH, OVW, line_totals, rec_totals
-from faultspark.plans.sqlviews import EPISODES, PRED, SIG, r, with_views
+from faultspark.plans.sqlviews import EPISODES, LINE_PARAMS, PRED, SIG, err, r, with_views
 from faultspark.sources import buckets, manifest, observe, publish, record_source, records, sinks, tables
 from faultspark.sources.stage import materialise, shared_path
 from faultspark.streaming import hop, live
@@ -123,6 +123,83 @@ def freeze_files(spark, sf):
     return out.select("name", "length", "sha256", F.coalesce("change", F.lit("none")).alias("change"))
 
 
+@query("label_file", f"""{with_views(EPISODES)} SELECT * FROM eps""")
+def label_file(spark, sf):
+    """Labels written under the names of the label table, in reverse order of columns, and read back."""
+    path = shared_path(spark, "labels")
+    names = {name: src for src, (name, _) in tables.EPISODE_COLUMNS.items()}
+    eps = fx.episodes(spark, sf).select(*[c(k).alias(v) for k, v in reversed(names.items())])
+    eps.write.option("header", True).csv(path)
+    return tables.read_episodes(spark, path)
+
+
+@query("line_file", f"""{with_views(LINE_PARAMS)} SELECT 'MainLn' || rec AS line, {', '.join(f"{r(x)} AS {x}" for x in ("length_km", "z1r", "z1x", "z0r", "z0x"))} FROM lpt""")
+def line_file(spark, sf):
+    """Line constants from a file to totals per line."""
+    path = shared_path(spark, "lines")
+    fx.line_params(spark, sf).select(
+        F.concat(F.lit("MainLn"), "rec").alias("line"), "length_km", c("r1_km").alias("rline"), c("x1_km").alias("xline"),
+        c("r0_km").alias("rline0"), c("x0_km").alias("xline0")).write.option("header", True).csv(path)
+    return round_doubles(lines.totals(tables.read_line_params(spark, path)).select("line", "length_km", "z1r", "z1x", "z0r", "z0x"))
+
+
+@query("board_file", f"""{with_views(PRED)} SELECT grid, 'locate' AS task, 'test' AS protocol, etype AS test_set, 'tree' AS baseline, 'mae' AS metric, {r(f"avg({err('est')})")} AS mean
+FROM pred WHERE etype = 'flt_2ph_shc' GROUP BY grid, etype""")
+def board_file(spark, sf):
+    """A small table of results, one CSV part, read back and filtered like a leaderboard."""
+    path, p = shared_path(spark, "board"), fx.predictions(spark, sf)
+    e = p.groupBy("grid", c("etype").alias("test_set")).agg(F.avg(score(c("est"), c("y"))).alias("mean"))
+    rows = e.select("grid", F.lit("locate").alias("task"), F.lit("test").alias("protocol"), "test_set",
+                    F.explode(F.array(F.lit("tree"), F.lit("majority"))).alias("baseline"), F.lit("mae").alias("metric"), "mean")
+    sinks.write_csv(rows, path)
+    return round_doubles(tables.leaderboard_rows(tables.read_leaderboard(spark, path), "loc", "mae", "flt_2ph_shc"))
+
+
+@query("partitioned_table", f"""{with_views(PRED)} SELECT grid, count(*) AS n, {r('sum(est2)', 4)} AS total FROM pred WHERE grid = 'O' GROUP BY grid""")
+def partitioned_table(spark, sf):
+    """Written with a folder per grid; a filter on the grid reads one folder."""
+    path = shared_path(spark, "by-grid")
+    sinks.write_table(fx.predictions(spark, sf).select("grid", "sim_idx", "win", "est2"), path, ["grid"])
+    rows = spark.read.parquet(path).where(c("grid") == "O")
+    return round_doubles(rows.groupBy("grid").agg(F.count(F.lit(1)).alias("n"), F.sum("est2").alias("total")), 4)
+
+
+@query("appended_table", f"""{with_views(PRED)} SELECT grid, count(*) AS n, {r('sum(est2)', 4)} AS total FROM pred GROUP BY grid""")
+def appended_table(spark, sf):
+    """First windows, then all, then all again: no key is there twice."""
+    path, p = shared_path(spark, "appended"), fx.predictions(spark, sf).select("grid", "sim_idx", "win", "est2")
+    for rows in (p.where(c("win") <= 2), p, p):
+        sinks.append_missing(spark, rows, path, ["grid", "sim_idx", "win"])
+    return round_doubles(spark.read.parquet(path).groupBy("grid").agg(F.count(F.lit(1)).alias("n"), F.sum("est2").alias("total")), 4)
+
+
+@query("patched_table", f"""{with_views(PRED)} SELECT grid, count(*) AS n, {r("sum(CASE WHEN line % 5 = 0 THEN 0.5 ELSE est2 END)", 4)} AS patched, {r('sum(est2)', 4)} AS original FROM pred GROUP BY grid""")
+def patched_table(spark, sf):
+    """A fix of one column beside the untouched original, made twice."""
+    old, new = shared_path(spark, "original"), shared_path(spark, "patched")
+    key = ["grid", "sim_idx", "win"]
+    sinks.write_table(fx.predictions(spark, sf).select(*key, "line", "est2"), old)
+    for _ in range(2):
+        sinks.patch_table(spark, old, new, lambda d: d.withColumn("est2", F.when(F.pmod("line", F.lit(5)) == 0, 0.5).otherwise(c("est2"))), ["est2"])
+    both = spark.read.parquet(new).join(spark.read.parquet(old).select(*key, c("est2").alias("was")), key)
+    return round_doubles(both.groupBy("grid").agg(F.count(F.lit(1)).alias("n"), F.sum("est2").alias("patched"), F.sum("was").alias("original")), 4)
+
+
+@query("stored_windows", f"""{with_views(SIG, EPISODES, OVW)}
+SELECT v.sim_idx % 2 AS grid, v.sim_idx AS rec, v.win_end, {r('any_value(ia::FLOAT::DOUBLE) FILTER (n = win_end - 40)')} AS first_ia, {r('any_value(vb::FLOAT::DOUBLE) FILTER (n = win_end - 1)')} AS last_vb,
+ {r('sum(vc::FLOAT::DOUBLE)', 5)} AS sum_vc FROM ovw v JOIN sig s ON s.rec = v.sim_idx AND s.n >= v.win_end - 40 AND s.n < v.win_end GROUP BY 1, 2, 3 HAVING count(*) = 40""")
+def stored_windows(spark, sf):
+    """Raw windows written as FLOAT arrays beside their keys, a folder per grid, and read back."""
+    w = windows.overlap_windows(fx.timed_episodes(spark, sf), CFG).select(c("sim_idx").alias("rec"), "win_end")
+    df = windows.raw_windows(fx.sig(spark, sf), w, ["rec"], CH, CFG).withColumn("grid", F.pmod("rec", F.lit(2)))
+    path = shared_path(spark, "windows")
+    sinks.write_windows(df, path, CH, ["grid"])
+    back = spark.read.parquet(path)
+    total = F.aggregate("vc", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return round_doubles(back.select(c("grid").cast("bigint").alias("grid"), "rec", "win_end", F.get("ia", F.lit(0)).cast("double").alias("first_ia"),
+                                     F.element_at("vb", -1).cast("double").alias("last_vb"), F.round(total, 5).alias("sum_vc")))
+
+
 @query("publish_batches", f"""{with_views(PRED)} SELECT grid, win % 3 AS batch, count(*) AS n, {r('sum(est2)', 4)} AS total, 3::BIGINT AS added FROM pred GROUP BY 1, 2""")
 def publish_batches(spark, sf):
     """Three batches published; one run is killed between its two steps, then all are run again, twice."""

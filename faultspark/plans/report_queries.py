@@ -305,6 +305,13 @@ def format_metrics(spark, sf):
     return round_doubles(text.join(m.select("name", scalar.floor_to(c("a"), 0.1).alias("at_least")), "name"))
 
 
+@query("named_metrics", f"""{with_views(PRED, SCORED)} SELECT 'error' || grid || replace(replace(etype, '_', ''), '1ph', 'Onep').replace('2ph', 'Twop') AS name, format('{{:,.2f}}', sum(e)) AS text FROM sc GROUP BY 1""")
+def named_metrics(spark, sf):
+    kind = F.regexp_replace(F.regexp_replace(F.regexp_replace("etype", "_", ""), "1ph", "Onep"), "2ph", "Twop")
+    m = scored(spark, sf).groupBy(F.concat(F.lit("error"), "grid", kind).alias("name")).agg(F.sum("e").alias("v"))
+    return report.named_metrics(m, "name", "v", 2)
+
+
 @query("switch_rule", f"""{with_views(PRED)}
 SELECT grid, {r(f"avg({err('CASE WHEN post_ms >= 20 - 1e-6 AND est IS NOT NULL THEN est ELSE est2 END')})")} AS mae FROM pred GROUP BY grid""")
 def switch_rule_query(spark, sf):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from faultspark.config import SignalConfig
 from faultspark.functions import scalar
-from faultspark.operators import arrays, joins, numbering, quality, resample
+from faultspark.operators import arrays, joins, numbering, quality, report, resample
 from faultspark.sources import records, sinks, tables
 
 
@@ -216,3 +216,11 @@ def test_rows_without_order_or_group(spark):
     reps = resample.hash_replicates(df, ["g"], "ep", {"e": F.col("e")}, 20).collect()
     assert {(r.g, r.rep) for r in reps} == {(g, k) for g in ("a", None) for k in range(20)}
     assert all(r.wins == (10 if r.g else 6) for r in reps)
+
+
+def test_metric_names(spark):
+    m = spark.createDataFrame([("errorA", 1234.567), ("errorB", 0.5)], "name string, v double")
+    assert {(r.name, r.text) for r in report.named_metrics(m, "name", "v", 2).collect()} == {("errorA", "1,234.57"), ("errorB", "0.50")}
+    for bad in ("error_a", "error1", "", None, "errorA"):
+        with pytest.raises(Exception, match="letters only|not unique"):
+            report.named_metrics(m.unionByName(spark.createDataFrame([(bad, 1.0)], "name string, v double")), "name", "v", 2).collect()
