@@ -89,8 +89,15 @@ def map_attribute(df: DataFrame, dim: DataFrame, key: list[str], attrs: list[str
     return must(out, reduce(lambda x, y: x & y, [F.col(a).isNotNull() for a in attrs]), "unknown key")
 
 
-def best_then_rows(preds: DataFrame, group: list[str], model: str, err: str) -> DataFrame:
-    """Rows of the model with the smallest mean error in each group."""
+def best_then_rows(preds: DataFrame, group: list[str], model: str, err: str, salts: int = 256) -> DataFrame:
+    """Rows of the model with the smallest mean error in each group.
+
+    Groups and models are few and may hold most rows each, so the join key has
+    a salt: a group's rows are spread over up to ``salts`` tasks, and its one
+    winner goes to each of them.
+    """
     means = preds.groupBy(*group, model).agg(F.avg(err).alias("_mae"))
     best = best_row(means, group, F.col("_mae"), F.col(model)).select(*group, model)
-    return preds.join(best, [*group, model])
+    best = best.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("_salt"))
+    rows = preds.withColumn("_salt", F.pmod(F.xxhash64(*preds.columns), F.lit(salts)))
+    return rows.join(best, [*group, model, "_salt"]).drop("_salt")

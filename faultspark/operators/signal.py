@@ -149,19 +149,24 @@ def rms_prefix(samples: DataFrame, keys: list[str], cols: list[str], seconds: fl
 
 
 def add_noise(samples: DataFrame, keys: list[str], cols: list[str], snr_db: float, seed: int,
-              cfg: SignalConfig, seconds: float = 0.09) -> DataFrame:
+              cfg: SignalConfig, seconds: float = 0.09, portable: bool = False) -> DataFrame:
     """White noise at ``snr_db`` below each channel's leading RMS.
 
-    The draw depends only on (seed, key, channel, n). The per-record RMS table
+    The draw depends only on (seed, key, channel, n); ``portable`` draws by
+    MD5, as another SQL engine can. The per-record RMS table
     is joined on the record key; AQE broadcasts it when it is small and splits
     hot records otherwise.
     """
     rms = rms_prefix(samples, keys, cols, seconds, cfg)
     gain = 10.0 ** (-snr_db / 20.0)
-    key = F.concat_ws(":", *[F.col(k) for k in keys])
     noisy = samples.join(rms, keys)
-    out = {c: F.col(c) + (F.col(f"rms_{c}") + 1e-12) * gain * draws.normal(seed, key, c, F.col("n"))
-           for c in cols}
+
+    def normal(c: str) -> Column:
+        if portable:
+            return draws.normal(seed, F.concat_ws(":", *[F.col(k) for k in keys]), c, F.col("n"))
+        return draws.fast_normal(seed, *[F.col(k) for k in keys], c, F.col("n"))
+
+    out = {c: F.col(c) + (F.col(f"rms_{c}") + 1e-12) * gain * normal(c) for c in cols}
     return noisy.withColumns(out).drop(*[f"rms_{c}" for c in cols])
 
 

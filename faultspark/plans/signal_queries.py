@@ -100,7 +100,7 @@ def _noise_sql(c: str) -> str:
 @query("add_noise", f"""{with_views(SIG, 'rms AS (SELECT rec, sqrt(avg(ia * ia)) AS rms_ia, sqrt(avg(vb * vb)) AS rms_vb FROM sig WHERE n < 72 GROUP BY rec)')}
 SELECT rec, n, {r(_noise_sql('ia'))} AS ia, {r(_noise_sql('vb'))} AS vb FROM sig JOIN rms USING (rec)""")
 def add_noise(spark, sf):
-    df = signal.add_noise(fx.sig(spark, sf).select("rec", "n", "ia", "vb"), ["rec"], ["ia", "vb"], 40.0, 7, CFG)
+    df = signal.add_noise(fx.sig(spark, sf).select("rec", "n", "ia", "vb"), ["rec"], ["ia", "vb"], 40.0, 7, CFG, portable=True)
     return round_doubles(df.select("rec", "n", "ia", "vb"))
 
 

@@ -171,3 +171,16 @@ def test_one_shuffle_for_all_sample_work(spark, sf):
 def test_complex_division_by_zero_is_undefined(spark):
     r = spark.sql("select 1D a_re, 2D a_im, 0D b_re, 0D b_im").select((cx("a") / cx("b")).re.alias("x")).first()
     assert r.x is None
+
+
+def test_fast_draws(spark):
+    """Moments, ranges, no link between neighbouring keys, the same draw in any partition."""
+    from faultspark.functions import draws
+
+    df = spark.range(40000).select("id", draws.fast_uniform(5, F.col("id"), "ia").alias("u"), draws.fast_normal(5, F.col("id"), "ia").alias("z"))
+    r = df.agg(F.avg("u"), F.min("u"), F.max("u"), F.avg("z"), F.stddev_pop("z"), F.kurtosis("z")).first()
+    assert abs(r[0] - 0.5) < 0.01 and 0 < r[1] < r[2] < 1 and abs(r[3]) < 0.02 and abs(r[4] - 1) < 0.02 and abs(r[5]) < 0.1
+    lag = df.alias("a").join(df.alias("b"), F.col("a.id") + 1 == F.col("b.id")).agg(F.corr("a.z", "b.z")).first()[0]
+    assert abs(lag) < 0.02
+    again = spark.range(40000).repartition(9).select("id", draws.fast_normal(5, F.col("id"), "ia").alias("w"))
+    assert df.join(again, "id").where("z <> w").count() == 0
