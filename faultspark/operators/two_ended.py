@@ -154,24 +154,24 @@ def fault_cycles(samples: DataFrame, episodes: DataFrame, keys: list[str], cols:
                  starts: dict[str, int], term: str = "term") -> DataFrame:
     """Phasors of both ends over named cycles of each episode, in one aggregate: (keys, nf, ``s_p_ia_re`` ...).
 
-    ``starts`` maps a name to the cycle's first sample after inception. Only
-    episodes with every cycle whole at both ends are returned.
+    ``starts`` maps a name to the cycle's first sample after inception. Every
+    episode has its row; a cycle that is not whole at an end is NULL there.
     """
     cells = F.array(*[F.struct(F.lit(k).alias("_st"), (F.col("nf") + v).alias("pre")) for k, v in starts.items()])
     want = episodes.select(*keys, "nf").distinct().select(*keys, "nf", F.inline(cells)).select("*", F.explode(F.sequence(
         F.floor(F.col("pre") / cfg.cycle), F.floor((F.col("pre") + cfg.cycle - 1) / cfg.cycle))).alias("_slot"))
     hit = (samples.withColumn("_slot", F.floor(F.col("n") / cfg.cycle)).join(want, [*keys, "_slot"])
            .where((F.col("n") >= F.col("pre")) & (F.col("n") < F.col("pre") + cfg.cycle)))
-    g, aggs, whole = 2.0 / cfg.cycle, [], F.lit(True)
+    g, aggs = 2.0 / cfg.cycle, []
     for t, tag in ((0, "s"), (1, "r")):
         for st in starts:
             at = f"{term} = {t} AND _st = '{st}'"
-            aggs.append(F.expr(f"count_if({at})").alias(f"_n_{tag}{st}"))
-            whole = whole & (F.col(f"_n_{tag}{st}") == cfg.cycle)
+            whole = f"CASE WHEN count_if({at}) = {cfg.cycle} THEN"
             for c in cols:
-                aggs.append(F.expr(f"sum(CASE WHEN {at} THEN {c} * _cos END) * {g!r}D").alias(f"{tag}_{st}_{c}_re"))
-                aggs.append(F.expr(f"sum(CASE WHEN {at} THEN {c} * _sin END) * {-g!r}D").alias(f"{tag}_{st}_{c}_im"))
-    return windows.with_dft_terms(hit, cfg).groupBy(*keys, "nf").agg(*aggs).where(whole)
+                aggs.append(F.expr(f"{whole} sum(CASE WHEN {at} THEN {c} * _cos END) * {g!r}D END").alias(f"{tag}_{st}_{c}_re"))
+                aggs.append(F.expr(f"{whole} sum(CASE WHEN {at} THEN {c} * _sin END) * {-g!r}D END").alias(f"{tag}_{st}_{c}_im"))
+    found = windows.with_dft_terms(hit, cfg).groupBy(*keys, "nf").agg(*aggs)
+    return episodes.select(*keys, "nf").distinct().join(found, [*keys, "nf"], "left")
 
 
 def seq1(prefix: str, kind: str) -> Cx:

@@ -184,3 +184,14 @@ def test_fast_draws(spark):
     assert abs(lag) < 0.02
     again = spark.range(40000).repartition(9).select("id", draws.fast_normal(5, F.col("id"), "ia").alias("w"))
     assert df.join(again, "id").where("z <> w").count() == 0
+
+
+def test_episode_without_whole_cycle_is_null(spark):
+    """One episode inside the record, one whose fault cycle runs past its end, one of an unknown line."""
+    s, p = two_source_line(spark, 0.3)
+    last = s.agg(F.max("n")).first()[0]
+    eps = spark.createDataFrame([(1, 100), (1, last - 5), (9, 100)], "line int, nf int")
+    rows = two_ended.fault_cycles(s, eps, ["line"], ["ia"], CFG, {"p": -2 * CFG.cycle, "f": CFG.cycle}).collect()
+    got = {(r.line, r.nf): (r.s_p_ia_re is not None, r.r_f_ia_im is not None) for r in rows}
+    assert got == {(1, 100): (True, True), (1, last - 5): (True, False), (9, 100): (False, False)}
+    assert two_ended.episode_locator(s, eps, ["line"], CFG).where("d is null").count() == 2
