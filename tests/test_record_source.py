@@ -59,3 +59,11 @@ def test_only_what_is_wanted(spark, folder):
     assert read(spark, folder).where(F.col("sim_idx").isin(12, 99)).count() == 90
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BatchScan") == 1 and "Join" not in plan
+
+
+def test_read_records_query_gives_every_sample(spark, sf):
+    from faultspark.plans.catalog import QUERIES
+
+    df = QUERIES["read_records"](spark, sf)
+    assert {"sim_idx", "bus", "n", "ia", "ib", "ic", "va", "vb", "vc"} == set(df.columns)
+    assert df.groupBy("sim_idx", "bus").count().where("count > 1").count() > 0
