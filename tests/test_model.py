@@ -27,3 +27,11 @@ def test_ablations_resume(spark):
     groups = {"first": TD_FEATURES[:3], "rest": TD_FEATURES[3:6]}
     rows = model.run_ablations(t, [(["a"], "b"), (["b"], "a")], p, groups, done={("first", "a_to_b")}).collect()
     assert {(r.ablation, r.direction) for r in rows} == {("first", "b_to_a"), ("rest", "a_to_b"), ("rest", "b_to_a")}
+
+
+def test_ablations_query_has_every_group_and_direction():
+    from faultspark.plans.catalog import SQL
+
+    for group in ("phasor", "td", "all"):
+        for direction in ("('{}', 'even_to_odd', 'odd')", "('{}', 'odd_to_even', 'even')"):
+            assert direction.format(group) in SQL["model_ablations"]
