@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultspark.functions.draws import hash64, index_draw
-from faultspark.operators.numbering import join_groups, number_rows, quantiles
+from faultspark.functions.draws import hash64, md5_60
+from faultspark.operators.numbering import join_groups, number_rows, plain_keys, quantiles
 
 #: Episodes per multinomial bucket.
 BUCKET = 2048
@@ -33,9 +37,23 @@ def hash_replicates(df: DataFrame, by: list[str], episode: str, errors: dict[str
     any SQL engine can repeat it.
     """
     ep = indexed(episode_sums(df, by, episode, errors), by, episode)
-    draws = ep.select(*by, F.col("n_ep"), F.col("idx").alias("_slot"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("rep"))
-    draws = draws.select(*by, "rep", index_draw(F.col("n_ep"), seed, F.col("rep"), F.col("_slot")).alias("idx"))
-    hit = join_groups(draws, ep.select(*by, "idx", *errors, "wins"), [*by, "idx"])
+    key = list(plain_keys(ep, by))
+    sums = ep.select(*[v.alias(k) for k, v in plain_keys(ep, by).items()], *by, "idx", "n_ep", *errors, "wins")
+    slots = sums.select(*key, "n_ep", "idx")
+    schema = ", ".join([*[f"`{k}` {t}" for k, t in slots.dtypes if k in key], "rep int", "idx bigint"])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot, n = batch.column("idx").to_numpy(), batch.column("n_ep").to_numpy()
+            for rep in range(b):
+                cells = [pa.array(np.full(len(slot), rep, np.int32)), pa.array(md5_60(f"{seed}|{rep}|", slot) % n)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in key], *cells], names=[*key, "rep", "idx"])
+
+    # Few bytes make many draws, so they are spread by number of rows and not by size.
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = slots.repartition(spread, *key, "idx").mapInArrow(draw, schema)
+    # An episode meets about b draws: a hash table of its side spares the sort of all draws.
+    hit = draws.join(sums.drop("n_ep").hint("shuffle_hash"), [*key, "idx"])
     return hit.groupBy(*by, "rep").agg(*[F.sum(k).alias(k) for k in errors], F.sum("wins").alias("wins"))
 
 
@@ -46,8 +64,6 @@ def _bucket_counts(n: int, bucket: int, b: int, seed: int, size: int):
     each split is a binomial seeded by its range, so all tasks agree on it
     without exchanging anything, and the counts are exactly multinomial.
     """
-    import numpy as np
-
     lo, hi = 0, -(-n // size)
     left_of = lambda k: min(k * size, n)
     m = np.full(b, n, dtype=np.int64)
@@ -76,20 +92,20 @@ def multinomial_replicates(df: DataFrame, by: list[str], episode: str, errors: d
     schema = ", ".join([*[f"`{k}` {fields[k]}" for k in by], "rep int", *[f"`{n}` double" for n in names]])
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         pdf = pdf.sort_values("idx")
         bucket, n = int(pdf["_bucket"].iloc[0]), int(pdf["n_ep"].iloc[0])
         m = _bucket_counts(n, bucket, b, seed, size)
         rng = np.random.default_rng([seed, bucket, n, 1])
-        values = pdf[names].to_numpy(float)
+        values = [np.ascontiguousarray(pdf[k].to_numpy(float)) for k in names]
         sums = np.zeros((b, len(names)))
         for lo in range(0, b, 256):  # replicates in slices keep the draws small
             part = m[lo:lo + 256]
             picks = rng.integers(0, len(pdf), int(part.sum()))
-            rep = np.repeat(np.arange(len(part)), part)
-            for k in range(len(names)):
-                sums[lo:lo + len(part), k] = np.bincount(rep, weights=values[picks, k], minlength=len(part))
+            drawn = np.flatnonzero(part)  # draws of a replicate lie together, so they are summed in runs
+            starts = (np.cumsum(part) - part)[drawn]
+            for k, v in enumerate(values):
+                if len(drawn):
+                    sums[lo + drawn, k] = np.add.reduceat(v[picks], starts)
         out = pd.DataFrame(sums, columns=names)
         out.insert(0, "rep", np.arange(b, dtype="int32"))
         for k in reversed(by):

@@ -632,7 +632,8 @@ def bootstrap_multinomial(spark, sf):
     """
     d = scored(spark, sf)
     ci = resample.bootstrap_ci(d, ["grid"], "sim_idx", c("e"), 2000, 0)
-    ep = resample.episode_sums(d, ["grid"], "sim_idx", {"s": c("e")}).join(ci.select("grid", "mae"), "grid")
+    mean = d.groupBy("grid").agg(F.avg("e").alias("mae"))  # not from ci, whose replicates would be drawn twice
+    ep = resample.episode_sums(d, ["grid"], "sim_idx", {"s": c("e")}).join(mean, "grid")
     se = ep.groupBy("grid").agg((F.sqrt(F.sum((c("s") - c("mae") * c("wins")) ** 2)) / F.sum("wins")).alias("se"))
     width = (c("ci_hi") - c("ci_lo")) / (c("se") * 2 * 1.96)
     out = ci.join(se, "grid").select("grid", "n", "mae", ((c("ci_lo") < c("mae")) & (c("mae") < c("ci_hi"))).alias("holds"),

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultspark.config import SignalConfig
-from faultspark.functions import scalar
+from faultspark.functions import draws, scalar
 from faultspark.operators import arrays, joins, numbering, quality, report, resample
 from faultspark.sources import records, sinks, tables
 
@@ -224,3 +224,43 @@ def test_metric_names(spark):
     for bad in ("error_a", "error1", "", None, "errorA"):
         with pytest.raises(Exception, match="letters only|not unique"):
             report.named_metrics(m.unionByName(spark.createDataFrame([(bad, 1.0)], "name string, v double")), "name", "v", 2).collect()
+
+
+def test_prefix_sums_sort_rows_once(spark):
+    df = spark.range(40).selectExpr("IF(id % 4 = 0, NULL, id % 4) AS g", "IF(id % 5 = 0, NULL, 'x') AS t", "id AS x")
+    joins = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = numbering.number_rows(df, ["g", "t"], ["x"], F.floor(F.col("x") / 7), "n", total="size")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows = out.collect()
+    finally:
+        for k, v in joins.items():
+            spark.conf.set(k, v)
+    assert sum("Sort [" in line for line in plan.splitlines()) == 6  # of the rows one only
+    groups = {}
+    for r in sorted(rows, key=lambda r: r.x):
+        groups.setdefault((r.g, r.t), []).append(r)
+    assert sum(map(len, groups.values())) == 40
+    for g in groups.values():
+        assert [(r.n, r["size"]) for r in g] == [(k, len(g)) for k in range(len(g))]
+
+
+def test_draws_of_arrays_are_those_of_columns(spark):
+    numbers = np.array([0, 9, 10, 99, 12345, 10 ** 7, 10 ** 18], np.int64)
+    df = spark.createDataFrame([(int(v),) for v in numbers], "v bigint")
+    assert [r.h for r in df.select(draws.hash64(3, F.lit(49), F.col("v")).alias("h")).collect()] == list(draws.md5_60("3|49|", numbers))
+
+
+def test_hash_replicates_join_without_a_sort_of_draws(spark):
+    df = spark.range(60).selectExpr("IF(id % 2 = 0, NULL, 'o') AS grid", "id % 20 AS ep", "id * 1.0 AS e")
+    reps = resample.hash_replicates(df, ["grid"], "ep", {"s": F.col("e")}, 4)
+    assert "ShuffledHashJoin" in reps._jdf.queryExecution().executedPlan().toString()
+    sums = {g: sorted((r.ep, r.s, r.w) for r in df.where(F.col("grid").eqNullSafe(g)).groupBy("ep").agg(F.sum("e").alias("s"), F.count("*").alias("w")).collect())
+            for g in (None, "o")}
+    found = {(r.grid, r.rep): (r.s, r.wins) for r in reps.collect()}
+    assert len(found) == 8
+    for (g, rep), (s, wins) in found.items():
+        picks = draws.md5_60(f"0|{rep}|", np.arange(len(sums[g]))) % len(sums[g])
+        assert (s, wins) == (sum(sums[g][k][1] for k in picks), sum(sums[g][k][2] for k in picks))
