@@ -168,6 +168,28 @@ def test_one_shuffle_for_all_sample_work(spark, sf):
     assert sum("hashpartitioning(line" in ln and "blk" in ln for ln in plan.splitlines()) == 1
 
 
+def test_window_arrays_stay_where_they_are_made(spark, sf):
+    ends = spark.createDataFrame([(1, 40, 7), (1, 44, 8), (1, 44, 9), (3, 38, 7), (None, 40, 7)], "rec bigint, win_end int, k int")
+    s, pair, p = fx.sig(spark, sf), fx.two_terminal(spark, sf), lines.totals(fx.line_params(spark, sf, "line"))
+    joins = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = windows.raw_windows(s, ends, ["rec"], ["ia", "vc"], COMPACT)
+        both = two_ended.raw_windows(pair, p, ends.withColumnRenamed("rec", "line"), ["line"], COMPACT)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (found, both)]
+        rows = {(r.win_end, r.k): r for r in found.collect()}
+    finally:
+        for k, v in joins.items():
+            spark.conf.set(k, v)
+    for plan in plans:  # nothing is dealt by window
+        assert not [ln for ln in plan.splitlines() if "hashpartitioning" in ln and "win_end" in ln]
+    assert sorted(rows) == [(40, 7), (44, 8), (44, 9)]
+    ia = np.array([r.ia for r in s.where("rec = 1 and n < 44").orderBy("n").collect()], np.float32)
+    for (end, _), r in rows.items():
+        assert np.array_equal(np.array(r.ia, np.float32), ia[end - 40:end])
+
+
 def test_complex_division_by_zero_is_undefined(spark):
     r = spark.sql("select 1D a_re, 2D a_im, 0D b_re, 0D b_im").select((cx("a") / cx("b")).re.alias("x")).first()
     assert r.x is None
