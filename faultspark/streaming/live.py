@@ -36,15 +36,21 @@ def slope_weights(half: int) -> np.ndarray:
     return m / second + 2 * m[:, None] * bow / (bow * bow).sum()
 
 
+def no_rows(*shape: int) -> np.ndarray:
+    return np.zeros((0, *shape))
+
+
 @dataclass
 class LineState:
     """What a line carries from one micro-batch to the next."""
 
     first: int = 0  # number of the first sample kept
-    kept: list[np.ndarray] = field(default_factory=list)  # samples without a gap from there on: 2 ends x 6 channels
-    ahead: dict[int, dict[int, np.ndarray]] = field(default_factory=dict)  # number: end: channels
+    kept: np.ndarray = field(default_factory=lambda: no_rows(2, len(CHANNELS)))  # samples without a gap from there on: 2 ends x 6 channels
+    ahead: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # number * 2 + end of samples behind a gap, ascending
+    waiting: np.ndarray = field(default_factory=lambda: no_rows(len(CHANNELS)))  # their channels
     summed: int = 0  # samples that are in the pane sums
-    panes: dict[int, np.ndarray] = field(default_factory=dict)  # pane: sums of u w and w w
+    pane: int = 0  # number of the first pane kept
+    panes: np.ndarray = field(default_factory=lambda: no_rows(2))  # sums of u w and w w by pane
     emitted: int = 0  # last window end
     late: int = 0
     said: int = 0  # late samples that a row has told of
@@ -52,14 +58,22 @@ class LineState:
     last_ts: float = 0.0
 
     def add(self, end: int, n: int, values: np.ndarray) -> None:
-        there = self.ahead.get(n, {})
-        if n < self.first + len(self.kept) or end in there or end not in (0, 1) or not np.isfinite(values).all():
-            self.late += 1
-            return
-        self.ahead.setdefault(n, there)[end] = values
-        while len(self.ahead.get(self.first + len(self.kept), ())) == 2:
-            both = self.ahead.pop(self.first + len(self.kept))
-            self.kept.append(np.stack([both[0], both[1]]))
+        self.add_all(np.array([end]), np.array([n]), np.array([values], float))
+
+    def add_all(self, end: np.ndarray, n: np.ndarray, values: np.ndarray) -> None:
+        """Samples in the order in which they came; of repeated ones the first counts."""
+        top = self.first + len(self.kept)
+        good = ((end == 0) | (end == 1)) & (n >= top) & np.isfinite(values).all(axis=1)
+        code, at = np.unique(n[good].astype(np.int64) * 2 + end[good].astype(np.int64), return_index=True)
+        fresh = ~np.isin(code, self.ahead)
+        self.late += len(n) - int(fresh.sum())
+        code = np.concatenate([self.ahead, code[fresh]])
+        order = np.argsort(code)
+        code, rows = code[order], np.concatenate([self.waiting, values[good][at[fresh]]])[order]
+        gap = np.flatnonzero(code != 2 * top + np.arange(len(code)))
+        k = (int(gap[0]) if len(gap) else len(code)) // 2 * 2
+        self.kept = np.concatenate([self.kept, rows[:k].reshape(-1, 2, len(CHANNELS))])
+        self.ahead, self.waiting = code[k:], rows[k:]
 
     def advance(self, cfg: SignalConfig, closing: bool) -> list[tuple[int, float]]:
         """Sum what can be summed; (window end, estimate) of windows that are complete now."""
@@ -67,7 +81,7 @@ class LineState:
         until = top if closing else top - half
         if self.params is None or top < 2 * half + 1 or until <= self.summed:
             return []
-        x = np.stack(self.kept)  # samples x ends x channels
+        x = self.kept  # samples x ends x channels
         n = np.arange(self.summed, until)
         centre = np.clip(n, half, top - 1 - half)
         weights = slope_weights(half)[n - centre + half]
@@ -84,16 +98,21 @@ class LineState:
         u = v[:, 0] - v[:, 1] + r * i[:, 1] + inductance * d[:, 1]
         w = r * (i[:, 0] + i[:, 1]) + inductance * (d[:, 0] + d[:, 1])
         sums = np.stack([(u * w).sum(1), (w * w).sum(1)], axis=1)
-        for pane in np.unique(n // hop):
-            self.panes[int(pane)] = self.panes.get(int(pane), np.zeros(2)) + sums[n // hop == pane].sum(0)
-        self.summed = until
+        number = n // hop - self.pane
+        panes = np.zeros((number[-1] + 1, 2))
+        panes[:len(self.panes)] = self.panes
+        begins = np.flatnonzero(np.diff(number, prepend=-1))
+        panes[number[begins]] += np.add.reduceat(sums, begins)
+        self.panes, self.summed = panes, until
+        ends = np.arange(max(self.emitted + hop, cfg.win), until // hop * hop + 1, hop)
         out = []
-        for end in range(max(self.emitted + hop, cfg.win), until // hop * hop + 1, hop):
-            uw, ww = sum(self.panes[p] for p in range((end - cfg.win) // hop, end // hop))
-            out.append((end, float(uw / (ww + 1e-12))))
-            self.emitted = end
-        for pane in [p for p in self.panes if (p + cfg.win_panes) * hop <= self.emitted]:
-            del self.panes[pane]
+        if len(ends):
+            rolled = np.lib.stride_tricks.sliding_window_view(panes, cfg.win_panes, axis=0).sum(axis=-1)
+            uw, ww = rolled[(ends - cfg.win) // hop - self.pane].T
+            out = list(zip(ends.tolist(), (uw / (ww + 1e-12)).tolist()))
+            self.emitted = out[-1][0]
+        done = max(0, self.emitted // hop - cfg.win_panes + 1 - self.pane)
+        self.panes, self.pane = self.panes[done:], self.pane + done
         drop = max(0, min(self.summed - half, top - 2 * half - 1) - self.first)  # the end may be fitted on the last samples
         self.kept, self.first = self.kept[drop:], self.first + drop
         return out
@@ -107,22 +126,22 @@ def td_estimate(samples: DataFrame, key: str, ts: str, cfg: SignalConfig, waterm
         line = pickle.loads(state.get[0]) if state.exists else LineState()
         if state.hasTimedOut:
             found = line.advance(cfg, True)
-            line.late += sum(2 for ends in line.ahead.values() if len(ends) == 2)  # beyond a gap that was never filled
+            line.late += 2 * int((np.unique(line.ahead // 2, return_counts=True)[1] == 2).sum())  # beyond a gap that was never filled
             if not found and line.late > line.said:
                 found = [(None, None)]
             state.remove()
         else:
             for pdf in frames:
-                known = pdf[["z1r", "z1x"]].dropna()
-                if line.params is None and len(known):
-                    line.params = tuple(map(float, known.iloc[0]))
+                if line.params is None:
+                    known = pdf[["z1r", "z1x"]].dropna()
+                    line.params = tuple(map(float, known.iloc[0])) if len(known) else None
                 values = pdf[CHANNELS].to_numpy(dtype=float)
-                whole = pdf["n"].notna() & pdf["term"].notna()
-                for k, (end, n) in enumerate(zip(pdf["term"], pdf["n"])):
-                    if whole.iloc[k]:
-                        line.add(int(end), int(n), values[k])
-                    else:
-                        line.late += 1
+                end, n = pdf["term"], pdf["n"]
+                if end.hasnans or n.hasnans:
+                    whole = (n.notna() & end.notna()).to_numpy()
+                    line.late += int((~whole).sum())
+                    end, n, values = end[whole], n[whole], values[whole]
+                line.add_all(end.to_numpy(dtype=np.int64), n.to_numpy(dtype=np.int64), values)
                 line.last_ts = max(line.last_ts, pdf[ts].max().timestamp())
             found = line.advance(cfg, False)
             line.said = line.late if found else line.said

@@ -66,3 +66,27 @@ def test_stream_equals_batch(spark, tmp_path):
     assert set(got) == set(want) and len(rows) - len(got) <= 2 and len(want) > 40
     assert max(abs(got[k] - want[k]) for k in want) < 1e-6
     assert max(r.late for r in rows if r.line == 1) == 4 and max(r.late for r in rows if r.line == 2) == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_batches_at_once_equal_rows_one_by_one(seed):
+    x, rng = record(121, seed), np.random.default_rng(seed)
+    n = np.concatenate([np.repeat(np.arange(121), 2), rng.integers(-2, 125, 40)])
+    end = np.concatenate([np.tile([0, 1], 121), rng.integers(-1, 3, 40)])
+    values = np.array([x[k, e] if 0 <= k < 121 and e in (0, 1) else np.ones(6) for k, e in zip(n, end)])
+    values[-5:, 2] = np.nan
+    near = np.argsort(n + rng.random(len(n)) * 40, kind="stable")
+    n, end, values = n[near], end[near], values[near]
+    one, all_, found = live.LineState(params=(0.4, 1.3)), live.LineState(params=(0.4, 1.3)), []
+    for lo in range(0, len(n), 37):
+        for k in range(lo, min(lo + 37, len(n))):
+            one.add(end[k], n[k], values[k])
+        all_.add_all(end[lo:lo + 37], n[lo:lo + 37], values[lo:lo + 37])
+        assert one.late == all_.late
+        a, b = one.advance(CFG, False), all_.advance(CFG, False)
+        assert a == b
+        found += b
+    found += all_.advance(CFG, True)
+    want = whole(x)
+    got = dict(found)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want if k <= 110) and all_.late > 0
