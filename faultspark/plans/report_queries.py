@@ -402,7 +402,8 @@ def assemble(spark, sf):
 def assemble_stored(spark, sf):
     """The base and its parts stored once in buckets of the key: the chain of checked joins shuffles nothing."""
     s = scored(spark, sf).where(c("est").isNotNull() | (c("est2") > 0.5))
-    cut = lambda *cols: buckets.write_bucketed(s.select(*KEY, *cols), shared_path(spark, "parts"), KEY, 8)
+    n = buckets.bucket_count(fx.table(spark, sf, "lineitem").count())
+    cut = lambda *cols: buckets.write_bucketed(s.select(*KEY, *cols), shared_path(spark, "parts"), KEY, n)
     return round_doubles(joins.assemble(cut(), [cut(c("e").alias("e_a")), cut(c("e2").alias("e_b"))], KEY))
 
 

@@ -6,6 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+#: Rows of a bucket, which one task sorts.
+BUCKET_ROWS = 250_000
+
+
+def bucket_count(rows: int, least: int = 8) -> int:
+    """Buckets of a table of about ``rows`` rows: their number grows with the table, not their size."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
 
 def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int, name: str | None = None) -> DataFrame:
     """Write once, in ``buckets`` sorted files, and read through the catalog, which knows the layout.

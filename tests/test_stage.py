@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from faultspark.plans import fixtures as fx
+from faultspark.sources import buckets
 from faultspark.sources.stage import CLEANUP, materialise
 
 
@@ -43,3 +44,8 @@ def test_samples_are_numbered_once(spark, sf, name, monkeypatch):
     monkeypatch.setattr(fx, "number_rows", lambda *a, **k: calls.append(1) or whole(*a, **k))
     plan = entry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert len(calls) == 1 and "l_orderkey" not in plan
+
+
+def test_buckets_grow_in_number():
+    assert [buckets.bucket_count(n) for n in (0, 600_000)] == [8, 8]
+    assert buckets.bucket_count(216_000_000) >= 27 * 8
