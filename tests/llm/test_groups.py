@@ -274,6 +274,34 @@ def test_starts_shared(spark, monkeypatch):
         assert {(bytes(r.content), a) for r in got for x in r.ranges for a in range(x.a, x.b + 1)} == want
 
 
+def test_repeats_border_strings(spark, monkeypatch):
+    """Texts that share a frequent run pass on a few blocks and strings at each border, not one for each byte around it."""
+    rng = random.Random(8)
+    phrase = "".join(rng.choices("abcdefgh", k=30))
+    rows = [(i, "".join(rng.choices("abcdefgh", k=700)) + phrase * 40 + "".join(rng.choices("abcdefgh", k=700))) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "x", 0, "y", "z") for i, t in rows], SCHEMA)
+    passed, plain = [], repeats.stored
+
+    def counted(df):
+        made = plain(df)
+        passed.extend([made.where("s is not null").count()] if "s" in made.columns else [])
+        return made
+
+    monkeypatch.setattr(repeats, "stored", counted)
+    got = Counter(map(tuple, repeats.remove(docs, big=3).collect()))
+    assert got == Counter((i, *w) for (i, _), w in zip(rows, brute_removed([t.encode() for _, t in rows], 400)))
+    assert sum(passed) < 100 * len(rows)
+
+
+def test_repeats_windows():
+    """Windows of one place part its starts, and each start lies in the window that ends at its distance."""
+    p, a, b = np.array([400, 900]), np.array([99, 899]), np.array([395, 900])
+    v, lo, hi = repeats.windows(p, a, b, 50)
+    assert sorted(x for s, e in zip(lo, hi) for x in range(s, e + 1)) == [*range(99, 396), 899, 900]
+    assert sum(hi - lo + 1) == 297 + 2 and all(v - 49 <= lo) and all(lo <= hi) and all(hi <= v)
+    assert set(v) == {400 - 50 * k for k in range(7)} | {900}
+
+
 def test_repeats_stretches():
     rng = random.Random(1)
     texts = [bytes(rng.choices(b"abcd", k=rng.randint(0, 300))) for _ in range(6)]
