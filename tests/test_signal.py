@@ -217,3 +217,33 @@ def test_episode_without_whole_cycle_is_null(spark):
     got = {(r.line, r.nf): (r.s_p_ia_re is not None, r.r_f_ia_im is not None) for r in rows}
     assert got == {(1, 100): (True, True), (1, last - 5): (True, False), (9, 100): (False, False)}
     assert two_ended.episode_locator(s, eps, ["line"], CFG).where("d is null").count() == 2
+
+
+def test_wide_rows_are_rounded_together(spark):
+    """The same in every bit as Spark's round, ties, large and undefined values included, with one rounding expression a row."""
+    import random
+
+    from faultspark.plans import registry
+
+    rng = random.Random(3)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1e300, 123456789.12345, -98765432109.87655]
+    xs = odd + [k / 20000.0 for k in range(-2001, 2001)] + [rng.gauss(0, 10.0 ** rng.randint(-6, 7)) for _ in range(3000)]
+    xs += [round(rng.uniform(-1000, 1000), 4) + 0.00005 for _ in range(1000)]
+    wide = spark.createDataFrame([(x,) for x in xs], "x double").select("x", *[(F.col("x") * (1 if i == 0 else i)).alias(f"c{i}") for i in range(20)])
+    names = [f"c{i}" for i in range(20)]
+    got = registry.round_cols(wide, names, 4)
+    assert got.columns == wide.columns
+    want = wide.withColumns({n: F.round(n, 4) + 0.0 for n in names})
+    bits = lambda df: sorted(map(repr, df.collect()))
+    assert bits(got) == bits(want)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("round(") <= 2
+
+
+def test_phasor_windows_copy_no_samples(spark):
+    """Samples are summed by pane before anything is copied to blocks."""
+    line = spark.createDataFrame([(1, 0.1, 0.3, 0.2, 0.9)], "rec int, z1r double, z1x double, z0r double, z0x double")
+    samples = sinusoid(spark)
+    for x in features.signal.CHANNELS:
+        samples = samples if x in samples.columns else samples.withColumn(x, samples["ia"])
+    plan = features.window_sums(samples, line, ["rec"], CFG, td=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Aggregate")  # the copying stands above the sums
