@@ -38,8 +38,11 @@ STATISTICS = ("words", "word_length", "long_words", "upper", "digits", "symbols"
 
 
 def _share(part: float, whole: float, weight: float = 1.0) -> float:
-    """Logit of a share, with ``weight`` units of each kind added so that short texts stay near the middle."""
-    return float(np.log((part + weight * 0.02) / (whole - part + weight)))
+    """Logit of a share, with ``weight`` units of each kind added so that short texts stay near the middle.
+
+    Marks counted against words may outnumber them ("10.0.0.1" has three stops), so what is left has a floor.
+    """
+    return float(np.log((part + weight * 0.02) / max(whole - part + weight, weight * 0.02)))
 
 
 def statistics(text: str) -> list[float]:

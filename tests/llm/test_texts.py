@@ -65,6 +65,17 @@ def test_quality_odd(spark, odd, docs, labels):
     assert kept.columns == docs.columns and 0.7 * docs.count() < kept.count() < docs.count()
 
 
+def test_quality_more_marks_than_words(spark):
+    """Marks counted against words may outnumber them by the weight of a share, or by more: scores stay defined."""
+    made = ["10.0.0.1 10.0.0.2.", "Wait" + "." * 40, "|a|b|c|d|e|f|g|", "......", "x" + "\t" * 6]
+    assert np.isfinite(quality.statistic_rows(made)).all()
+    texts = [("word " * (i % 7 + 3) + "end.", i % 2) for i in range(60)] + [(t, i % 2) for i, t in enumerate(made * 4)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, quality int")
+    scores = [r.score for r in quality.classify(docs, labels).collect()]
+    assert len(scores) == len(texts) and all(0 <= s <= 1 for s in scores)
+
+
 def test_quality_density():
     rng = np.random.default_rng(0)
     x = np.r_[rng.normal(0, 1, (300, 17)), rng.normal(0.8, 2, (300, 17))]
