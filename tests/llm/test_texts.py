@@ -223,6 +223,16 @@ def test_secrets_forest(docs):
     assert "Python" not in secrets.scan(docs, forest)._jdf.queryExecution().toString()
 
 
+def test_secrets_search_once(docs):
+    """Neither fitting nor scanning repeats the search in a filter made from its result, and the query searches texts once."""
+    forest = secrets.fit(secrets.label_findings(docs))
+    for df in (secrets.label_findings(docs), secrets.scan(docs, forest)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE(text#") == 2  # which rows, and their findings
+    both = secrets.fit_and_scan(docs)
+    assert "documents.parquet" not in both._jdf.queryExecution().toString()
+    assert sorted(both.collect()) == sorted(secrets.scan(docs, forest).collect())
+
+
 def test_secrets_assigned_values(spark, docs):
     """Values after a cue word that are short, have no digit or hold other characters, by a forest fitted on sf0.01 with them."""
     values = ["Tr0ub4dor3", "pa$$w0rd!x.y", "qWzKvRtPxM", "x7!Kq2"]
