@@ -28,9 +28,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from faultspark.operators.signal import CHANNELS
 from faultspark.sources.records import FILE_ID, NUMBER, TERMINAL_PATTERN
+from faultspark.sources.stage import no_shuffle_files
 
 HEAD_BYTES = 1 << 20
 SPLIT_BYTES = 32 << 20
+#: Small files are read together, up to this many bytes a task.
+PACK_BYTES = 4 << 20
 #: Bytes parsed at once.
 CHUNK_BYTES = 8 << 20
 
@@ -43,6 +46,11 @@ class FileRange(InputPartition):
     end: int
 
 
+@dataclass
+class FileRanges(InputPartition):
+    ranges: list[FileRange]
+
+
 def open_path(path: str):
     """The file system and the path in it."""
     from pyarrow import fs
@@ -81,22 +89,29 @@ class RecordReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[FileRange]:
+    def partitions(self) -> list[FileRanges]:
         from pyarrow import fs
 
         system, root = open_path(self.path)
-        out = []
+        out, held = [], PACK_BYTES
         for info in system.get_file_info(fs.FileSelector(root, recursive=True)):
             found = re.search(FILE_ID, info.path)
             if info.type != fs.FileType.File or not found or self.ids is not None and int(found.group(1)) not in self.ids:
                 continue
             for start in range(0, info.size, self.split):
-                out.append(FileRange(info.path, int(found.group(1)), start, min(info.size, start + self.split)))
+                part = FileRange(info.path, int(found.group(1)), start, min(info.size, start + self.split))
+                if held + part.end - part.start > min(PACK_BYTES, self.split):
+                    out.append(FileRanges([]))
+                    held = 0
+                out[-1].ranges.append(part)
+                held += part.end - part.start
         return out
 
-    def read(self, part: FileRange | None) -> Iterator[pa.RecordBatch]:
-        if part is None:
-            return
+    def read(self, partition: FileRanges | None) -> Iterator[pa.RecordBatch]:
+        for part in partition.ranges if partition else ():
+            yield from self._range(part)
+
+    def _range(self, part: FileRange) -> Iterator[pa.RecordBatch]:
         system, _ = open_path(self.path)
         with system.open_input_file(part.path) as f:
             head = self._head(f)
@@ -201,6 +216,11 @@ def write_records(lines: DataFrame, path: str, name: str = "result{}.csv") -> in
     A file is written under a name of its task's attempt and moved to its own name when it is complete, so a lost or repeated
     task leaves whole files only. Lines stream through; none is held but the current one.
     """
+    return write_dealt(lines.where("sim_idx is not null").repartition("sim_idx").sortWithinPartitions("sim_idx", "n"), path, name)
+
+
+def write_dealt(lines: DataFrame, path: str, name: str = "result{}.csv") -> int:
+    """``write_records`` of lines of which each record's are in one partition and in order already."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -224,5 +244,5 @@ def write_records(lines: DataFrame, path: str, name: str = "result{}.csv") -> in
             close()
         yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["files"])
 
-    dealt = lines.where("sim_idx is not null").repartition("sim_idx").sortWithinPartitions("sim_idx", "n")
-    return dealt.select("sim_idx", "value").mapInArrow(run, "files long").agg(F.sum("files")).first()[0] or 0
+    with no_shuffle_files(lines.sparkSession):
+        return lines.select("sim_idx", "value").mapInArrow(run, "files long").agg(F.sum("files")).first()[0] or 0

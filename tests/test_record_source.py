@@ -67,3 +67,22 @@ def test_read_records_query_gives_every_sample(spark, sf):
     df = QUERIES["read_records"](spark, sf)
     assert {"sim_idx", "bus", "n", "ia", "ib", "ic", "va", "vb", "vc"} == set(df.columns)
     assert df.groupBy("sim_idx", "bus").count().where("count > 1").count() > 0
+
+
+def test_whole_records_move_once(spark, sf, monkeypatch, tmp_path):
+    """Records written in parts, from samples that move once and as numbers, are the files of ``record_lines``."""
+    from faultspark.plans import fixtures as fx
+    from faultspark.plans import other_queries as oq
+
+    stored = fx.stored_sig(spark, sf)
+    whole = oq.whole_records(fx.two_terminal(spark, sf, stored))
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted(whole.collect()) == sorted(oq.record_lines(spark, sf, stored).select("sim_idx", "n", "value").collect())
+    rows = sorted(map(repr, oq.read_records(spark, sf).collect()))
+    monkeypatch.setattr(fx, "PART_ROWS", 2000)
+    assert len(fx.sample_parts(spark, sf, "line")) > 2
+    assert sorted(map(repr, oq.read_records(spark, sf).collect())) == rows
+
+
+def test_small_files_share_a_task(spark, folder):
+    assert read(spark, folder).rdd.getNumPartitions() == 1
