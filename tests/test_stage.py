@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from faultspark.plans import fixtures as fx
+from faultspark.plans import other_queries
 from faultspark.sources import buckets
-from faultspark.sources.stage import CLEANUP, materialise
+from faultspark.sources.stage import CLEANUP, discard, materialise, parts, shared_path
 
 
 def test_rows_are_made_once(spark):
@@ -49,3 +50,31 @@ def test_samples_are_numbered_once(spark, sf, name, monkeypatch):
 def test_buckets_grow_in_number():
     assert [buckets.bucket_count(n) for n in (0, 600_000)] == [8, 8]
     assert buckets.bucket_count(216_000_000) >= 27 * 8
+
+
+@pytest.mark.parametrize("name", ["filtered_scenarios", "regenerate_and_compare"])
+def test_parts_give_the_whole_result(spark, sf, name, monkeypatch):
+    """Steps are stored part by part, so no job holds the shuffle files of all samples; the result is that of one part."""
+    kept, whole = [], other_queries.materialise
+    monkeypatch.setattr(other_queries, "materialise", lambda *a: kept.append(whole(*a)) or kept[-1])
+    rows = sorted(map(repr, entry.queries()[name](spark, sf).collect()))
+    once = len(kept)
+    monkeypatch.setattr(fx, "PART_ROWS", 3500)
+    df = entry.queries()[name](spark, sf)
+    assert len(fx.sample_parts(spark, sf, "rec")) == 2 and len(kept) - once == 2 * once
+    if name == "filtered_scenarios":  # estimates and flags of a chain are stored, not joined in one job with those of all others
+        assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, df.collect())) == rows
+
+
+def test_parts_hold_every_row_once(spark):
+    keys = spark.range(1000).selectExpr("if(id = 7, null, id) as k")
+    found = [keys.where(p).collect() for p in parts(1000, "k", 300)]
+    assert len(found) == 4 and sorted(map(repr, sum(found, []))) == sorted(map(repr, keys.collect()))
+
+
+def test_discard(spark):
+    path = shared_path(spark, "gone")
+    assert materialise(spark.range(3), path).count() == 3
+    discard(spark, path)
+    assert not glob.glob(path.removeprefix("file:"))
