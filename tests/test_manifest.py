@@ -3,6 +3,8 @@
 import hashlib
 import os
 
+import pytest
+
 from faultspark.sources import manifest
 
 
@@ -27,3 +29,23 @@ def test_freeze_and_changes(spark, tmp_path):
     (folder / "sub/b.csv").rename(folder / "e.csv")
     now = manifest.freeze(spark, str(folder), first)
     assert now.count() == 3 and names(manifest.changed_files(first, now)) == {("a.csv", "changed"), ("b.csv", "missing"), ("e.csv", "added")}
+
+
+def test_large_files_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    """Files that may not be one row have the same digests, whatever their names."""
+    for name, size in (("a b.bin", 5000), ("c%20d.bin", 3001), ("e.bin", 10)):
+        (tmp_path / name).write_bytes(os.urandom(size))
+    whole = {r.path: r.sha256 for r in manifest.freeze(spark, str(tmp_path)).collect()}
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "2000")  # in place of two gigabytes
+    try:
+        with pytest.raises(Exception, match="max length"):
+            manifest.freeze(spark, str(tmp_path)).collect()
+        monkeypatch.setattr(manifest, "WHOLE_BYTES", 2000)
+        first = manifest.freeze(spark, str(tmp_path))
+        assert {r.path: r.sha256 for r in first.collect()} == whole and len(whole) == 3
+        old = spark.createDataFrame(first.collect())
+        (tmp_path / "a b.bin").write_bytes(b"z" * 4000)
+        now = manifest.freeze(spark, str(tmp_path), old)
+        assert names(manifest.changed_files(old, now)) == {("a b.bin", "changed")}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
